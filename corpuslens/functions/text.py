@@ -84,14 +84,16 @@ def _cls(chars: str) -> str:
 def ngrams(tokens, n: int) -> Column:
     """Contiguous n-grams of a token array, joined by a single space.
 
-    Guarded because ``sequence(0, -1)`` counts down in Spark.
+    Built from ``n`` shifted slices zipped together, so the token array is
+    referenced a fixed number of times per row (a lambda indexing into an
+    expression would re-evaluate it per element). Empty when size < n.
     """
     t = col_of(tokens)
-    return F.when(
-        F.size(t) >= n,
-        F.transform(F.sequence(F.lit(0), F.size(t) - n),
-                    lambda i: F.array_join(F.slice(t, i + 1, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    length = F.greatest(F.size(t) - (n - 1), F.lit(0))
+    if n == 1:
+        return t
+    zipped = F.arrays_zip(*[F.slice(t, k + 1, length).alias(f"g{k}") for k in range(n)])
+    return F.transform(zipped, lambda s: F.concat_ws(" ", *[s[f"g{k}"] for k in range(n)]))
 
 
 def last_period_prefix(text) -> Column:

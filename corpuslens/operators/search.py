@@ -150,11 +150,9 @@ def context_phrases(docs: DataFrame, entities: DataFrame, *, window: int = 3,
         "doc_id", "entity_id", "entity",
         F.posexplode(F.regexp_extract_all(F.col("text"), F.col("_pat"), 0)).alias("match_no", "span"),
     )
-    trims = spans.select(
-        "doc_id", "entity_id", "entity", "match_no",
-        ws_tokens(F.col("span")).alias("_w"),
-        F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("_t"),
-    )
+    trims = spans.select("doc_id", "entity_id", "entity", "match_no",
+                         ws_tokens(F.col("span")).alias("_w")) \
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("_t"))
     n = F.size("_w")
     phrase = F.array_join(F.slice(F.col("_w"), F.col("_t") + 1,
                                   F.greatest(n - 2 * F.col("_t"), F.lit(0))), " ")
