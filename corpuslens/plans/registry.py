@@ -6,7 +6,7 @@ import importlib
 
 from .catalog import REGISTRY
 
-_MODULES = ["privacy_q", "descriptive_q", "classify_q", "quality_q", "canary_q", "coref_q"]
+_MODULES = ["privacy_q", "descriptive_q", "classify_q", "quality_q", "canary_q", "coref_q", "records_q"]
 
 
 def _load():
