@@ -85,6 +85,17 @@ def join_scalars(*frames: DataFrame) -> DataFrame:
     return out.drop("_one")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a frame that arrives in fewer partitions than the cluster
+    has cores (e.g. one large row group), so CPU-heavy text work runs on every
+    core. Inputs that are already split (the normal case at scale) pass
+    through untouched, without a shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only when a row count proves it is small.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.records import rank_within
+from ..session import spread
 
 
 def load_corpus(spark: SparkSession, src, fmt: str = "parquet", *, text_col: str = "text",
@@ -33,7 +34,8 @@ def load_corpus(spark: SparkSession, src, fmt: str = "parquet", *, text_col: str
         raise TypeError(f"text column {text_col!r} must be a string")
     if id_col not in df.columns:
         df = df.withColumn(id_col, F.monotonically_increasing_id())
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    out = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    return spread(out)
 
 
 def read_splits(spark: SparkSession, base: str, splits=("train", "validation", "test", "synthetic"),

@@ -83,8 +83,10 @@ def test_jaccard_brute_force(spark, sf):
     a = [set(r.text.split()) for r in syn.collect()]
     b = [set(r.text.split()) for r in ref.collect()]
     brute = np.mean([len(p & q) / len(p | q) for p in a for q in b])
-    got = S.jaccard_mean(syn, ref, hot_df=3, salt=4).first().jaccard
+    got = S.jaccard_mean(syn, ref).first().jaccard
     assert abs(got - brute) < 1e-9
+    got_join = S.jaccard_mean(syn, ref, hot_df=3, salt=4, index_rows=0).first().jaccard
+    assert abs(got_join - brute) < 1e-9
 
 
 def test_entity_report_ties(spark):
