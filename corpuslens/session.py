@@ -93,7 +93,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target)
+    # hash of the whole row: deterministic on retry without the sort that a
+    # round-robin repartition needs
+    return df.repartition(target, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
