@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_ROWS, join_scalars
+from ..session import DEFAULT_BROADCAST_ROWS, join_scalars, persist
 from .search import context_phrases, entity_mentions, phrases_found_in
 
 
@@ -84,6 +84,8 @@ def span_memorisation(syn: DataFrame, ref: DataFrame, entities: DataFrame, *, wi
         .select("entity", "phrase", "context_len")
     if remove_duplicates:
         phrases = phrases.dropDuplicates(["entity", "phrase", "context_len"])
+    # used by the size check, the semi-join and the final count: extract once
+    phrases = persist(phrases)
     found = phrases_found_in(phrases.select("phrase"), ref, text_col=text_col, id_col=id_col,
                              broadcast_rows=broadcast_rows)
     return (phrases.join(found, "phrase", "left_semi")
