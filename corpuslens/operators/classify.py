@@ -164,3 +164,24 @@ def multilabel_metrics(pred: DataFrame, k: int, *, ground: str = "ground", predi
         F.coalesce("f1_macro", F.lit(0.0)).alias("f1_macro"),
         ((fp + fn) / (n * F.lit(k))).alias("hamming_loss"), "subset_accuracy",
         (n * F.lit(k) - tp - fp - fn).alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp"))
+
+
+# ---------------------------------------------------------------------------
+# X3 / J12
+
+
+def classification_dataset(df: DataFrame, label_col: str, id_col: str = "id", *, multilabel: bool = False,
+                           sep: str = ",", label_map: DataFrame | None = None, train_ratio: float = 0.8,
+                           val_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42):
+    """Encode labels (building the map unless one is given) and assign exact-size
+    splits; returns (rows with ``label_idx`` and ``split``, label map)."""
+    from .ranking import exact_split
+    lm = label_map if label_map is not None else label_index(df, label_col, multilabel, sep)
+    enc = encode_labels(df, label_col, lm, multilabel=multilabel, sep=sep, id_col=id_col)
+    return exact_split(enc, id_col, train_ratio=train_ratio, val_ratio=val_ratio, test_ratio=test_ratio,
+                       seed=seed), lm
+
+
+def attach_columns(pred: DataFrame, source: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+    """Keep chosen source columns (e.g. subgroups) beside predictions, by id."""
+    return pred.join(source.select(id_col, *cols), id_col, "left")

@@ -232,3 +232,35 @@ def doc_stats(docs: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.coalesce(F.array_max(F.transform("clusters", lambda c: F.size(c))), F.lit(0))),
                    F.lit(-1)).alias("max_cluster_size"),
         F.coalesce(F.max(F.size("clusters")), F.lit(-1)).alias("max_clusters"))
+
+
+def attach_clusters(docs: DataFrame, predicted: DataFrame, key: str = "doc_key",
+                    col: str = "clusters") -> DataFrame:
+    """Left join predicted clusters onto documents; documents without a
+    prediction get an empty cluster list."""
+    p = predicted.select(key, F.col(col).alias("_pc"))
+    j = docs.join(p, key, "left")
+    return j.withColumn(col, F.coalesce("_pc", F.array().cast(p.schema["_pc"].dataType))).drop("_pc")
+
+
+def nest_clusters(mentions: DataFrame) -> DataFrame:
+    """(doc_key, cluster, start, end) -> (doc_key, clusters: array<array<array<int>>>),
+    clusters ordered by key, mentions by position."""
+    per = mentions.groupBy("doc_key", "cluster").agg(
+        F.array_sort(F.collect_list(F.array(F.col("start").cast("int"), F.col("end").cast("int")))).alias("c"))
+    return per.groupBy("doc_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("cluster", "c"))), lambda s: s["c"]).alias("clusters"))
+
+
+def sentences(df: DataFrame, text_col: str = "text", key: str = "doc_key") -> DataFrame:
+    """Coref-style documents: sentences split after . ! ? and tokenised into
+    words and punctuation; speakers '-' per token; empty annotations."""
+    from ..functions.text import TREEBANK_LIKE
+    sent = F.filter(F.split(F.col(text_col), r"(?U)(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > 0)
+    toks = F.transform(sent, lambda s: F.regexp_extract_all(s, F.lit(TREEBANK_LIKE), 0))
+    d = df.select(F.col(key).cast("string").alias("doc_key"), toks.alias("sentences"))
+    return d.select("doc_key", "sentences",
+                    F.transform("sentences", lambda s: F.transform(s, lambda _: F.lit("-"))).alias("speakers"),
+                    F.array().cast("array<string>").alias("constituents"),
+                    F.array().cast("array<string>").alias("ner"),
+                    F.array().cast("array<array<array<int>>>").alias("clusters"))

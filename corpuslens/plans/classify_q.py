@@ -256,3 +256,25 @@ def argmax_labels(spark, sf):
     e = roles.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return e.select("vec_id", C.argmax_label(F.col("v")).alias("predicted"),
                     F.array_join(C.sigmoid_labels(F.col("v")), ",").alias("multi"))
+
+
+@register("classification_dataset", f"""
+WITH m AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx
+           FROM (SELECT DISTINCT lang AS label FROM documents WHERE lang IS NOT NULL)),
+e AS (SELECT d.doc_id AS id, m.idx AS label_idx FROM documents d LEFT JOIN m ON d.lang = m.label),
+r AS (SELECT id, label_idx, row_number() OVER (ORDER BY md5('42:' || CAST(id AS VARCHAR))) AS r,
+             count(*) OVER () AS n FROM e)
+SELECT id, label_idx, CASE WHEN r <= ceil(ceil(n * 0.2) * 0.5) THEN 'test'
+                           WHEN r <= ceil(n * 0.2) THEN 'validation' ELSE 'train' END AS split FROM r""")
+def classification_dataset(spark, sf):
+    d = roles.documents(spark, sf).select(F.col("doc_id").alias("id"), "lang")
+    out, _ = C.classification_dataset(d, "lang", "id")
+    return out.select("id", "label_idx", "split")
+
+
+@register("predictions_with_subgroups", f"""
+SELECT p.id, p.ground, p.predicted, d.lang, d.source FROM {PRED1} p LEFT JOIN documents d ON p.id = d.doc_id""")
+def predictions_with_subgroups(spark, sf):
+    p = roles.single_label_predictions(spark, sf).drop("subgroup")
+    src = roles.documents(spark, sf).select(F.col("doc_id").alias("id"), "lang", "source")
+    return C.attach_columns(p, src, "id", ["lang", "source"])

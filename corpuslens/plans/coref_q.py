@@ -163,3 +163,26 @@ def coref_doc_stats(spark, sf):
         F.array_sort(F.collect_list(F.array("turn", "turn"))).alias("cluster"))
     docs = per_role.groupBy("conv_id").agg(F.collect_list("cluster").alias("clusters"))
     return CO.doc_stats(docs)
+
+
+@register("coref_attach_clusters", """
+WITH p AS (SELECT conv_id AS doc_key, CAST(length(text) % 3 AS VARCHAR) AS cluster, turn FROM conversations
+           WHERE conv_id % 4 <> 0),
+pc AS (SELECT doc_key, count(DISTINCT cluster) AS n_clusters, count(*) AS n_mentions FROM p GROUP BY doc_key),
+d AS (SELECT DISTINCT conv_id AS doc_key FROM conversations)
+SELECT d.doc_key, coalesce(n_clusters, 0) AS n_clusters, coalesce(n_mentions, 0) AS n_mentions
+FROM d LEFT JOIN pc USING (doc_key)""")
+def coref_attach_clusters(spark, sf):
+    c = roles.table(spark, sf, "conversations")
+    pred = roles.coref_pred(spark, sf).filter(F.col("doc_key") % 4 != 0)
+    docs = c.select(F.col("conv_id").alias("doc_key")).distinct()
+    out = CO.attach_clusters(docs, CO.nest_clusters(pred))
+    return out.select("doc_key", F.size("clusters").alias("n_clusters"),
+                      F.size(F.flatten("clusters")).alias("n_mentions"))
+
+
+@register("coref_sentences")
+def coref_sentences(spark, sf):
+    c = roles.table(spark, sf, "conversations")
+    return CO.sentences(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_key"), "text")).select(
+        "doc_key", F.size("sentences").alias("n_sentences"), F.size(F.flatten("sentences")).alias("n_tokens"))
