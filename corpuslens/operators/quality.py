@@ -228,12 +228,20 @@ def perplexity_from_logprobs(lp: DataFrame) -> DataFrame:
                                     F.exp(-F.avg("logp")).alias("ppl"))
 
 
+def lm_vocab_size(model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """One row ``V``: distinct tokens of the fitted corpus, including the start
+    symbol. Every other token follows something, so it is a bigram's ``tok``;
+    counting those avoids another pass over the text."""
+    bigrams, _ = model
+    return bigrams.agg((F.count_distinct("tok") + F.when(F.count("*") > 0, 1).otherwise(0)).alias("V"))
+
+
 def corpus_perplexity(syn: DataFrame, ref: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
                       k: float = 1.0) -> DataFrame:
     """Per-document perplexities under a bigram LM fitted on ``ref`` and their mean
     per corpus: (corpus, n_docs, mean_perplexity)."""
     model = ngram_lm_fit(ref, text_col=text_col)
-    vocab = (ref.select(F.explode(lm_tokens(F.col(text_col))).alias("t")).agg(F.count_distinct("t").alias("V")))
+    vocab = lm_vocab_size(model)
     out = []
     for name, d in (("synthetic", syn), ("real", ref)):
         p = perplexity_from_logprobs(ngram_token_logprobs(d, model, vocab, text_col=text_col,
