@@ -112,5 +112,5 @@ def pick_positions(df: DataFrame, id_col: str, total: int, seed: int = 42) -> Da
     n = eligible.agg(F.count("*").alias("_ne"))
     chk = n.select(F.when(F.col("_ne") < total, F.raise_error(
         F.lit(f"cannot pick {total} rows: too few eligible rows"))).otherwise(F.lit(True)).alias("_ok"))
-    return (join_scalars(ranked.filter(F.col("_r") <= total), chk.filter("_ok")).drop("_ok")
+    return (join_scalars(ranked.filter(F.col("_r") <= total), chk).filter(F.col("_ok")).drop("_ok")
             .withColumnRenamed("_r", "pick"))

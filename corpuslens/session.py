@@ -75,14 +75,20 @@ def persist(df: DataFrame) -> DataFrame:
 
 
 def join_scalars(*frames: DataFrame) -> DataFrame:
-    """Put single-row aggregates side by side (equi-join on a constant key).
+    """Attach single-row aggregates to the first frame as scalar subqueries.
 
-    Every frame passed here is a global aggregate with exactly one row.
+    Every frame after the first is a global aggregate with exactly one row.
+    Each becomes one uncorrelated scalar subquery (its columns packed in a
+    struct), evaluated once and inlined as a constant: no join, no shuffle.
     """
-    out = frames[0].withColumn("_one", F.lit(1))
-    for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_one", F.lit(1))), "_one")
-    return out.drop("_one")
+    out = frames[0]
+    for k, f in enumerate(frames[1:]):
+        name = f"_scalar{k}"
+        packed = f.select(F.struct(*[F.col(f"`{c}`") for c in f.columns]).alias(name)).scalar()
+        keep = [F.col(f"`{c}`") for c in out.columns]
+        out = out.withColumn(name, packed).select(
+            *keep, *[F.col(name).getField(c).alias(c) for c in f.columns])
+    return out
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
