@@ -249,7 +249,7 @@ def multi_hot(spark, sf):
 
 
 @register("argmax_labels", """
-SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS predicted,
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS predicted,
        array_to_string(list_filter(range(0, len(embedding)), lambda i: 1 / (1 + exp(-embedding[i + 1])) >= 0.5), ',') AS multi
 FROM embeddings""")
 def argmax_labels(spark, sf):
@@ -273,7 +273,8 @@ def classification_dataset(spark, sf):
 
 
 @register("predictions_with_subgroups", f"""
-SELECT p.id, p.ground, p.predicted, d.lang, d.source FROM {PRED1} p LEFT JOIN documents d ON p.id = d.doc_id""")
+SELECT p.id, CAST(p.ground AS BIGINT) AS ground, CAST(p.predicted AS BIGINT) AS predicted, d.lang, d.source
+FROM {PRED1} p LEFT JOIN documents d ON p.id = d.doc_id""")
 def predictions_with_subgroups(spark, sf):
     p = roles.single_label_predictions(spark, sf).drop("subgroup")
     src = roles.documents(spark, sf).select(F.col("doc_id").alias("id"), "lang", "source")

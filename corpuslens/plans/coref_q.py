@@ -153,8 +153,8 @@ def coref_link_clusters(spark, sf):
 
 
 @register("coref_doc_stats", """
-SELECT coalesce(max(n), -1) AS max_mentions, coalesce(max(mx), -1) AS max_cluster_size,
-       coalesce(max(k), -1) AS max_clusters
+SELECT CAST(coalesce(max(n), -1) AS BIGINT) AS max_mentions, CAST(coalesce(max(mx), -1) AS BIGINT) AS max_cluster_size,
+       CAST(coalesce(max(k), -1) AS BIGINT) AS max_clusters
 FROM (SELECT conv_id, sum(c) AS n, max(c) AS mx, count(*) AS k
       FROM (SELECT conv_id, role, count(*) AS c FROM conversations GROUP BY ALL) GROUP BY conv_id)""")
 def coref_doc_stats(spark, sf):
