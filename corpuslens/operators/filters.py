@@ -33,7 +33,8 @@ def normalise_text(text, stopwords: list[str] | None = None, lemmas: dict[str, s
     map words through an optional lemma table, join with single spaces."""
     sw = default_stopwords() if stopwords is None else stopwords
     t = strip_ws(F.lower(F.regexp_replace(col_of(text), r"(?U)[^a-zA-Z\s]", "")))
-    words = F.filter(ws_tokens(t), lambda w: ~F.array_contains(F.array(*[F.lit(s) for s in sw]), w))
+    # IN over literals becomes a hash-set probe (InSet), not a list scan
+    words = F.filter(ws_tokens(t), lambda w: ~w.isin(list(sw)))
     if lemmas:
         m = F.create_map(*[x for kv in lemmas.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
         words = F.transform(words, lambda w: F.coalesce(F.element_at(m, w), w))

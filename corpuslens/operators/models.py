@@ -31,8 +31,7 @@ def topic_tokens(text: Column, stopwords=TOPIC_STOPWORDS, min_len: int = 3) -> C
     t = F.regexp_replace(t, r"<[^>]*>", " ")
     t = F.regexp_replace(t, r"(?U)[^\w\s]|_|\d", " ")
     words = F.filter(F.split(t, r"(?U)\s+"), lambda w: F.length(w) >= min_len)
-    sw = F.array(*[F.lit(s) for s in stopwords])
-    return F.filter(words, lambda w: ~F.array_contains(sw, w))
+    return F.filter(words, lambda w: ~w.isin(list(stopwords)))
 
 
 def topic_model(docs: DataFrame, *, text_col: str = "text", k: int = 3, max_iter: int = 10,

@@ -56,16 +56,21 @@ def leakage_report(docs: DataFrame, entities: DataFrame, *, text_col: str = "tex
     avg_leaked_per_doc: entity entries found per distinct text;
     avg_unique_leaked_per_doc: distinct entities per distinct text;
     n_unique_leaked: distinct entities found anywhere.
+
+    Identical texts have identical hits, so every document is searched where
+    it lies and one representative (smallest id) per SHA-256 of the text is
+    kept: only (digest, id) pairs are shuffled, never the texts.
     """
-    texts = (docs.filter(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text"))
-             .agg(F.min(id_col).alias("_tid")))
-    hits = entity_mentions(texts, entities, text_col="text", id_col="_tid",
-                           broadcast_rows=broadcast_rows)
+    d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"),
+                                                         F.col(text_col).alias("text"))
+    reps = d.groupBy(F.sha2("text", 256).alias("_digest")).agg(F.min("doc_id").alias("doc_id"))
+    hits = entity_mentions(d, entities, text_col="text", id_col="doc_id", broadcast_rows=broadcast_rows) \
+        .join(reps.select("doc_id"), "doc_id", "left_semi")
     per_text = hits.groupBy("doc_id").agg(F.count("*").alias("n"),
                                           F.count_distinct("entity").alias("u"))
     tot = per_text.agg(F.sum("n").alias("n"), F.sum("u").alias("u"))
     uniq = hits.agg(F.count_distinct("entity").alias("n_unique_leaked"))
-    n_texts = texts.agg(F.count("*").alias("n_texts"))
+    n_texts = reps.agg(F.count("*").alias("n_texts"))
     return (join_scalars(n_texts, tot, uniq)
             .select("n_texts",
                     (F.coalesce("n", F.lit(0)) / F.col("n_texts")).alias("avg_leaked_per_doc"),
