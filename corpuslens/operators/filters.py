@@ -37,7 +37,7 @@ def normalise_text(text, stopwords: list[str] | None = None, lemmas: dict[str, s
     words = F.filter(ws_tokens(t), lambda w: ~w.isin(list(sw)))
     if lemmas:
         m = F.create_map(*[x for kv in lemmas.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-        words = F.transform(words, lambda w: F.coalesce(F.element_at(m, w), w))
+        words = F.transform(words, lambda w: F.coalesce(F.try_element_at(m, w), w))
     return F.array_join(words, " ")
 
 

@@ -44,8 +44,8 @@ def entity_leakage(docs: DataFrame, entities: DataFrame, *, text_col: str = "tex
         .agg(F.count_distinct("e").alias("n_entities"))
     return (join_scalars(n_docs, h, n_ent)
             .select("n_docs", "n_leaked",
-                    (F.col("n_leaked") / F.col("n_docs")).alias("avg_leaked_per_doc"),
-                    (F.col("n_distinct_leaked") / F.col("n_entities")).alias("share_entities_leaked")))
+                    F.try_divide("n_leaked", "n_docs").alias("avg_leaked_per_doc"),
+                    F.try_divide("n_distinct_leaked", "n_entities").alias("share_entities_leaked")))
 
 
 def leakage_report(docs: DataFrame, entities: DataFrame, *, text_col: str = "text",
@@ -73,8 +73,8 @@ def leakage_report(docs: DataFrame, entities: DataFrame, *, text_col: str = "tex
     n_texts = reps.agg(F.count("*").alias("n_texts"))
     return (join_scalars(n_texts, tot, uniq)
             .select("n_texts",
-                    (F.coalesce("n", F.lit(0)) / F.col("n_texts")).alias("avg_leaked_per_doc"),
-                    (F.coalesce("u", F.lit(0)) / F.col("n_texts")).alias("avg_unique_leaked_per_doc"),
+                    F.try_divide(F.coalesce("n", F.lit(0)), F.col("n_texts")).alias("avg_leaked_per_doc"),
+                    F.try_divide(F.coalesce("u", F.lit(0)), F.col("n_texts")).alias("avg_unique_leaked_per_doc"),
                     "n_unique_leaked"))
 
 

@@ -49,7 +49,8 @@ def centroid_cosine(syn: DataFrame, real: DataFrame, *, col: str = "embedding",
         v = F.col(col).cast("array<double>")
         return join_scalars(df.select(id_col, v.alias("_v")), c).select(
             F.lit(name).alias("corpus"), id_col,
-            (_dot(F.col("_v"), F.col("centroid")) / (_norm(F.col("_v")) * _norm(F.col("centroid")))).alias("score"))
+            F.try_divide(_dot(F.col("_v"), F.col("centroid")),
+                         _norm(F.col("_v")) * _norm(F.col("centroid"))).alias("score"))
     scores = score(syn, "synthetic").unionByName(score(real, "real"))
     summary = scores.groupBy("corpus").agg(F.avg("score").alias("mean_score"))
     return scores, summary
@@ -145,8 +146,7 @@ def mauve_from_histogram(hist: DataFrame, *, cluster: str = "cluster", corpus: s
         F.sum(F.when(F.col(corpus) == p_name, F.col(count)).otherwise(0)).alias("cp"),
         F.sum(F.when(F.col(corpus) == q_name, F.col(count)).otherwise(0)).alias("cq"))
     tot = h.agg(F.sum("cp").alias("np"), F.sum("cq").alias("nq"))
-    pq = join_scalars(h, tot).select((F.col("cp") / F.col("np")).alias("p"),
-                                      (F.col("cq") / F.col("nq")).alias("q"))
+    pq = join_scalars(h, tot).select(F.try_divide("cp", "np").alias("p"), F.try_divide("cq", "nq").alias("q"))
     wq = pq.select("p", "q", F.explode(F.array(*[F.lit(w) for w in weights])).alias("w"))
     r = F.col("w") * F.col("p") + (1 - F.col("w")) * F.col("q")
     kl = wq.groupBy("w").agg(
@@ -254,7 +254,7 @@ def corpus_perplexity(syn: DataFrame, ref: DataFrame, *, text_col: str = "text",
 def perplexity_from_losses(losses: DataFrame, *, key: str = "seq_id", loss: str = "loss") -> DataFrame:
     """exp(sum loss / #non-zero losses) per sequence (padding positions carry 0)."""
     return losses.groupBy(key).agg(
-        F.exp(F.sum(loss) / F.count_if(F.col(loss) != 0)).alias("ppl"))
+        F.exp(F.try_divide(F.sum(loss), F.count_if(F.col(loss) != 0))).alias("ppl"))
 
 
 # ---------------------------------------------------------------------------

@@ -31,11 +31,11 @@ from ..session import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
 def _longest(arr: Column) -> Column:
     """Longest element of a string array (ties: smallest), NULL when empty."""
-    return F.element_at(
+    return F.try_element_at(
         F.array_sort(arr, lambda a, b: F.when(F.length(a) != F.length(b),
                                                F.length(b) - F.length(a))
                      .when(a < b, -1).when(a > b, 1).otherwise(0)),
-        1,
+        F.lit(1),
     )
 
 
