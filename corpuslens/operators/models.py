@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
+from ..session import join_scalars
 from .classify import argmax_label, multiclass_metrics
 
 # Short stop-word list for topic preprocessing.
@@ -72,7 +73,7 @@ def topic_explorer(lda, vocab: list[str], feats: DataFrame, lam: float = 0.6, to
         rows.extend((t, vocab[i], float(pwt[i, t])) for i in top)
     tt = spark.createDataFrame(rows, "topic int, term string, p_term_topic double")
     total = term_freq.agg(F.sum("tf").alias("_n"))
-    pw = term_freq.join(F.broadcast(total)).select("term", (F.col("tf") / F.col("_n")).alias("p_term"))
+    pw = join_scalars(term_freq, total).select("term", (F.col("tf") / F.col("_n")).alias("p_term"))
     out = tt.join(pw, "term").join(share, "topic").withColumn(
         "relevance", lam * F.log("p_term_topic") + (1 - lam) * F.log(F.col("p_term_topic") / F.col("p_term")))
     return out.select("topic", "term", "p_term_topic", "p_term", "relevance", "topic_share")

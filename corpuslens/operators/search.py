@@ -57,12 +57,20 @@ def keyed_candidates(docs: DataFrame, items: DataFrame, *, doc_id: str, doc_toke
 
 
 def scan_candidates(docs: DataFrame, items: DataFrame, condition: Column,
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Theta join for items that have no usable key (few by construction)."""
+                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame | None:
+    """Theta join for items that have no usable key (few by construction);
+    ``None`` when there are none, so no nested-loop join is planned at all."""
+    if items.limit(1).count() == 0:
+        return None
     small_items, _ = bounded_broadcast(items, broadcast_rows)
     return docs.join(small_items, condition)
 
 
+def _union(keyed: DataFrame, unkeyed: DataFrame | None, cols: list[str]) -> DataFrame:
+    out = keyed.select(*cols)
+    return out if unkeyed is None else out.unionByName(unkeyed.select(*cols))
+
+
 # ---------------------------------------------------------------------------
 # Case-insensitive whole-word entity search
 
@@ -104,8 +112,7 @@ def entity_mentions(docs: DataFrame, entities: DataFrame, *, text_col: str = "te
     unkeyed = scan_candidates(
         d, e.filter(F.col("_key").isNull()),
         F.contains(fold(F.col("text")), F.col("_folded")) & verify, broadcast_rows)
-    cols = ["doc_id", "entity_id", "entity"]
-    return keyed.select(*cols).unionByName(unkeyed.select(*cols))
+    return _union(keyed, unkeyed, ["doc_id", "entity_id", "entity"])
 
 
 # ---------------------------------------------------------------------------
@@ -144,8 +151,7 @@ def context_phrases(docs: DataFrame, entities: DataFrame, *, window: int = 3,
                              doc_tokens=ws_tokens(F.col("text")), item_key="_key",
                              verify=verify, broadcast_rows=broadcast_rows)
     unkeyed = scan_candidates(d, e.filter(F.col("_key").isNull()), verify, broadcast_rows)
-    cand = keyed.select("doc_id", "entity_id", "entity", "text", "_pat").unionByName(
-        unkeyed.select("doc_id", "entity_id", "entity", "text", "_pat"))
+    cand = _union(keyed, unkeyed, ["doc_id", "entity_id", "entity", "text", "_pat"])
     spans = cand.select(
         "doc_id", "entity_id", "entity",
         F.posexplode(F.regexp_extract_all(F.col("text"), F.col("_pat"), 0)).alias("match_no", "span"),
@@ -186,5 +192,5 @@ def phrases_found_in(phrases: DataFrame, refs: DataFrame, *, phrase_col: str = "
                              doc_tokens=ws_tokens(F.col("_ref_text")), item_key="_key",
                              verify=verify, broadcast_rows=broadcast_rows)
     unkeyed = scan_candidates(r, p.filter(F.col("_key").isNull()), verify, broadcast_rows)
-    found = keyed.select("_phrase").unionByName(unkeyed.select("_phrase")).distinct()
+    found = _union(keyed, unkeyed, ["_phrase"]).distinct()
     return found.withColumnRenamed("_phrase", phrase_col)

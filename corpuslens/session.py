@@ -99,9 +99,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    # hash of the whole row: deterministic on retry without the sort that a
-    # round-robin repartition needs
-    return df.repartition(target, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    # round-robin: no partitioning expression, so column pruning and filters
+    # still reach the scan below it (Spark sorts before a round-robin
+    # repartition to keep it deterministic on retry)
+    return df.repartition(target)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.records import rank_within
-from ..session import spread
+from ..session import join_scalars, spread
 
 
 def load_corpus(spark: SparkSession, src, fmt: str = "parquet", *, text_col: str = "text",
@@ -131,7 +131,7 @@ def align_corpora(syn: DataFrame, real: DataFrame, *, max_real_chars: int | None
         real = real.filter(F.length(text_col) < max_real_chars)
     rs = rank_within(syn.withColumn("_all", F.lit(0)), "_all", id_col).drop("_all")
     rr = rank_within(real.withColumn("_all", F.lit(0)), "_all", id_col).drop("_all")
-    n = syn.agg(F.count("*").alias("a")).join(real.agg(F.count("*").alias("b"))).select(
+    n = join_scalars(syn.agg(F.count("*").alias("a")), real.agg(F.count("*").alias("b"))).select(
         F.least("a", "b").alias("_n"))
-    keep = lambda d: d.join(F.broadcast(n), F.col("position") <= F.col("_n")).drop("_n")
+    keep = lambda d: join_scalars(d, n).filter(F.col("position") <= F.col("_n")).drop("_n")
     return keep(rs), keep(rr)
