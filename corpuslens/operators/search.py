@@ -88,10 +88,29 @@ def prepare_entities(entities: DataFrame, entity_col: str = "entity",
     )
 
 
+def rarest_keys(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, _key): for each prepared entity, its word run with the
+    smallest document frequency in ``docs`` (ties: longer, then smaller).
+
+    One extra pass over the corpus: document runs are semi-joined to the
+    entities' runs before counting, so only entity words are aggregated
+    (partial aggregation, one row per entity word after the shuffle).
+    """
+    runs = entities.select("entity_id", F.explode(F.array_distinct(word_runs(F.col("entity")))).alias("run"))
+    vocab, _ = bounded_broadcast(runs.select("run").distinct())
+    doc_runs = docs.select(F.explode(F.array_distinct(word_runs(F.col("text")))).alias("run"))
+    dfreq = doc_runs.join(vocab, "run", "left_semi").groupBy("run").agg(F.count("*").alias("_df"))
+    ranked = runs.join(dfreq, "run", "left").select(
+        "entity_id", "run", F.coalesce("_df", F.lit(0)).alias("_df"))
+    return ranked.groupBy("entity_id").agg(
+        F.min(F.struct("_df", (-F.length("run")).alias("_neg_len"), "run")).alias("_m")) \
+        .select("entity_id", F.col("_m.run").alias("_key"))
+
+
 def entity_mentions(docs: DataFrame, entities: DataFrame, *, text_col: str = "text",
                     id_col: str = "doc_id", entity_col: str = "entity",
                     entity_id_col: str = "entity_id",
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS, key: str = "longest") -> DataFrame:
     """(doc_id, entity_id, entity) for every entity entry found in a document.
 
     Match rule: ``\\b<escaped entity>\\b``, case-insensitive, with the entity's
@@ -100,11 +119,16 @@ def entity_mentions(docs: DataFrame, entities: DataFrame, *, text_col: str = "te
 
     Every ``\\w+`` run of a matching entity is a whole ``\\w+`` run of the
     document (the ``\\b`` anchors close the outer runs), so the entity's longest
-    run is the join key.
+    run is the join key. ``key='rarest'`` instead picks the run with the
+    smallest document frequency (one extra corpus pass, fewer candidates when
+    entities contain common words).
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
         .filter(F.col("text").isNotNull())
     e = prepare_entities(entities, entity_col, entity_id_col)
+    if key == "rarest":
+        rk = rarest_keys(d, e.filter(F.col("_key").isNotNull()))
+        e = e.drop("_key").join(rk, "entity_id", "left")
     verify = F.regexp(F.col("text"), F.col("_pat"))
     keyed = keyed_candidates(d, e.filter(F.col("_key").isNotNull()), doc_id="doc_id",
                              doc_tokens=word_runs(F.col("text")), item_key="_key",

@@ -87,3 +87,9 @@ def epo_found_phrases(spark, sf):
 
 
 __all__ = ["F"]
+
+
+@register("leakage_pairs_rarest_key", leak_hits("documents") + "SELECT doc_id, entity_id, entity FROM hits")
+def leakage_pairs_rarest_key(spark, sf):
+    """Same hits as ``leakage_pairs``, keyed on each entity's rarest word."""
+    return search.entity_mentions(roles.documents(spark, sf), roles.entities(spark, sf), key="rarest")

@@ -110,3 +110,15 @@ def test_phrase_semijoin_shuffle_path(spark, sf):
     brute = {p.phrase for p in phrases.collect() if any(p.phrase in t for t in texts)}
     assert a == b == brute
     assert ph.count() == 0
+
+
+def test_rarest_key_equals_longest_key(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    ents = spark.read.parquet(f"{sf}/benchmark.parquet").select(
+        F.col("item_id").alias("entity_id"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("entity"))
+    extra = spark.createDataFrame([(1000, "the"), (1001, '"!!"'), (1002, "Nora Vance")], "entity_id long, entity string")
+    ents = ents.unionByName(extra)
+    a = {tuple(r) for r in search.entity_mentions(docs, ents).collect()}
+    b = {tuple(r) for r in search.entity_mentions(docs, ents, key="rarest").collect()}
+    c = {tuple(r) for r in search.entity_mentions(docs, ents, key="rarest", broadcast_rows=0).collect()}
+    assert a == b == c
