@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -47,13 +50,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set one when it is unset.
+    """The shared scratch folder: the session's ``spark.checkpoint.dir``.
 
-    The fallback (a fresh scratch folder) is meant for tests and local runs; a
-    cluster names a shared folder in ``spark.checkpoint.dir``.
+    Only where it is unset *and* the master is local (tests, bench) a fresh
+    scratch folder is made; on a cluster executors could not see a folder of
+    the driver's machine, so the setting is required there.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="corpuslens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     jsc = spark.sparkContext._jsc
@@ -63,6 +69,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path inside the shared scratch folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpuslens-{uuid.uuid4().hex}/{tag}"
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage with a table written in the shared scratch folder.
+
+    The table outlives lost executors, is computed once and can be read with
+    column pruning by every later branch.
+    """
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (once per application)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpuslens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="corpuslens-zip-"), "corpuslens.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._corpuslens_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
