@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int
     for b in batches:
         if not b.num_rows:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > max_bytes:
