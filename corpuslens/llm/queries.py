@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, simhash_dedup
+from . import secret_scan, simhash_dedup, source_mixing, topk_search
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,49 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select("doc_id", *[count(k) for k in secret_scan.KINDS], F.sha2(text(own), 256).alias("base_sha256"),
                         text(F.col("spans")).alias("spans"), "n_oversize")
+
+
+@query("op7_source_mixing", sql=r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM d GROUP BY source
+), w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][kind + 1] AS weight FROM s
+), r AS (
+  SELECT *, sum(2.0 * source_size) OVER o - 2.0 * source_size AS held_before, sum(weight) OVER () - sum(weight) OVER o + weight AS open_weight,
+         1.5 * sum(source_size) OVER () AS share, 2.0 * source_size / weight AS stop
+  FROM w WINDOW o AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), rate AS (SELECT max((share - held_before) / open_weight) AS x FROM r WHERE (share - held_before) / open_weight <= stop
+), t AS (SELECT source, source_size, kind, least(2.0 * source_size, (SELECT x FROM rate) * weight) AS target FROM r
+), p AS (
+  SELECT d.*, t.source_size, t.kind, t.target, CAST(round(t.target) AS BIGINT) AS goal,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), k AS (
+  SELECT *, greatest(least(goal - start, size), 0) AS one, greatest(least(goal - start - source_size, size), 0) AS two FROM p
+), u AS (SELECT *, (start + one / 2) / greatest(target, 1) AS u1, (start + source_size + two / 2) / greatest(target, 1) AS u2 FROM k)
+SELECT doc_id, source, size, source_size, round(target, 6) AS target, CAST(one + two AS BIGINT) AS taken,
+  CASE WHEN one > 0 THEN round(CASE kind WHEN 0 THEN 6 * u1 / (4.5 + sqrt(20.25 - 18 * u1)) WHEN 1 THEN u1 ELSE 4 * u1 / (1 + sqrt(1 + 8 * u1)) END, 6) END AS position,
+  CASE WHEN two > 0 THEN round(CASE kind WHEN 0 THEN 6 * u2 / (4.5 + sqrt(20.25 - 18 * u2)) WHEN 1 THEN u2 ELSE 4 * u2 / (1 + sqrt(1 + 8 * u2)) END, 6) END AS second_position
+FROM u
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mixing.mix(table(spark, sf_dir, "documents"))
+    at = lambda k: F.round(F.get("passes", F.lit(k))["position"], 6)
+    return mixed.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken",
+                        at(0).alias("position"), at(1).alias("second_position"))
+
+
+@query("op8_topk_search", sql="""
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
