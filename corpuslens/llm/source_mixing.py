@@ -46,15 +46,15 @@ def integral(schedule: Schedule) -> float:
 
 def inverse(schedule: Schedule, share: Column) -> Column:
     """The time by which the schedule has used the given share of its integral."""
-    area, out = integral(schedule), F.lit(schedule[-1][0])
-    before = area
-    for (t0, w0), (t1, w1) in reversed(list(zip(schedule, schedule[1:]))):
+    area, before, out = integral(schedule), 0.0, F.lit(schedule[0][0])
+    for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
         here = (t1 - t0) * (w0 + w1) / 2
-        before -= here
         slope, rest = (w1 - w0) / (t1 - t0), F.greatest(share * area - before, F.lit(0.0))
         root = F.sqrt(F.greatest(F.lit(w0 * w0) + 2 * slope * rest, F.lit(0.0)))
         step = F.when(root + w0 > 0, 2 * rest / (root + w0)).otherwise(0.0)
-        out = F.when(share * area >= before, F.least(t0 + step, F.lit(t1))).otherwise(out) if here else out
+        if here:  # the last line that begins by this share holds it
+            out = F.when(share * area >= before, F.least(t0 + step, F.lit(t1))).otherwise(out)
+        before += here
     return out
 
 

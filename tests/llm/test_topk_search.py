@@ -14,8 +14,9 @@ def brute(rows, k, every):
             asked[i] = min(asked.get(i, (v, len(v))), (v, len(v)))
     out = []
     for i, (v, _) in asked.items():
-        near = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ok if j != i and len(w) == len(v))[:k]
-        out += [(i, r + 1, j, max(-(2**63 - 1), min(2**63 - 1, -s))) for r, (s, j) in enumerate(near)]
+        product = lambda w: max(-(2**63 - 1), min(2**63 - 1, sum(a * b for a, b in zip(v, w))))
+        near = sorted((-product(w), j) for j, w in ok if j != i and len(w) == len(v))[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near)]
     return sorted(out)
 
 
