@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, simhash_dedup, source_mixing, topk_search, warc
-from .common import table
+from . import language_id, quality_pu, secret_scan, simhash_dedup, source_mixing, topk_search, warc
+from .common import id_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.col("record_type") == "response"  # its figures come from the payload read back, a revisit's from its header
     return back.select(F.col("record_id").alias("page_id"), F.when(own, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
                        F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_fold("doc_id", 4) == 2, F.lit(False))
+    found = language_id.identify(docs, language_id.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query("op9_quality_pu")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = quality_pu.featurise(table(spark, sf_dir, "documents"))
+    held_out = F.coalesce(id_fold("doc_id", 5) == 0, F.lit(False))
+    training = F.col("doc_id").isNotNull() & ~held_out
+    scored = quality_pu.score(features, quality_pu.fit(features, table(spark, sf_dir, "labels"), training))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
