@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_pu, secret_scan, simhash_dedup, source_mixing, topk_search, warc
+from . import decontaminate, language_id, quality_pu, secret_scan, simhash_dedup, source_mixing, topk_search, warc
 from .common import id_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = F.col("doc_id").isNotNull() & ~held_out
     scored = quality_pu.score(features, quality_pu.fit(features, table(spark, sf_dir, "labels"), training))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_decontaminate")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
