@@ -121,7 +121,7 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, share: float
     out = rows.withColumn("passes", F.filter(F.array(*passes), lambda p: p["words"] > 0))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"])
     return (out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "passes")
-            .orderBy(F.get("passes", F.lit(0))["position"].asc_nulls_last()))
+            .orderBy(F.get("passes", F.lit(0))["position"].asc_nulls_last(), id_col))  # the id spreads the untaken
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
