@@ -2,7 +2,7 @@
 
 Trusted positives are documents labelled good; everything else is unlabelled
 web text, a mixture of good and bad in unknown shares. An additive logistic
-model over the quantile bins of a few text statistics minimises the
+model over binned text statistics minimises the
 non-negative unbiased risk
 
     prior * E_pos[loss(+1)] + max(0, E_unl[loss(-1)] - prior * E_pos[loss(-1)])
@@ -91,7 +91,7 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 @dataclass
 class Model:
-    edges: list[np.ndarray]  # inner bin edges of each statistic
+    edges: list[np.ndarray]  # of each statistic
     weights: np.ndarray
     bias: float
     prior: float
@@ -101,7 +101,8 @@ class Model:
 
 
 def bin_edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
-    return [np.unique(np.quantile(c, np.arange(1, bins) / bins)) for c in x.T]
+    """Quantiles, where the bulk lies, and even steps over the range, where the rare bad texts lie."""
+    return [np.unique(np.concatenate([np.quantile(c, np.arange(1, bins) / bins), np.linspace(c.min(), c.max(), bins + 1)[1:-1]])) for c in x.T]
 
 
 def design(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -115,9 +116,10 @@ def minimise(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int =
     w = np.zeros(pos.shape[1] + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    mean = lambda a, r: np.concatenate([r @ a, [r.sum()]]) / len(a)
+    mean = lambda a, r: np.concatenate([r.astype(a.dtype) @ a, [r.sum()]]) / len(a)
     for t in range(1, steps + 1):
-        sp, su = sigma(pos @ w[:-1] + w[-1]), sigma(unl @ w[:-1] + w[-1])
+        now = w[:-1].astype(pos.dtype)
+        sp, su = sigma((pos @ now).astype(np.float64) + w[-1]), sigma((unl @ now).astype(np.float64) + w[-1])
         grad_pos, grad_unl = mean(pos, sp - 1), mean(unl, su)
         if prior is None:
             grad = grad_pos + grad_unl
