@@ -44,8 +44,8 @@ def words(text: Column) -> Column:
 
 def gram_hashes(w: Column, size: int) -> Column:
     """Hashes of all runs of ``size`` words, in order."""
-    return F.transform(F.sequence(F.lit(0), F.size(w) - size),
-                       lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
+    runs = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
+    return F.when(F.size(w) >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def grams(w: Column, size: Column) -> Column:
@@ -53,16 +53,15 @@ def grams(w: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
 
 
-def simhash(hashes: Column) -> Column:
-    """Majority bits of 64-bit hashes; two 32-bit counters share a long."""
-    lanes = F.lit(0x0000000100000001)
-    out = F.lit(0).cast("long")
-    for j in range(32):
-        two = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(lanes))  # noqa: B023
-        low, high = two.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(two, 32)
-        for count, at in ((low, j), (high, j + 32)):
-            out = out.bitwiseOR(F.when(2 * count > F.size(hashes), F.shiftleft(F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long")))
-    return out
+def with_simhash(df: DataFrame, words_col: str = "w", out: str = "fp") -> DataFrame:
+    """Adds the majority bits of the words' 64-bit hashes; two 32-bit counters
+    share a long. Each array is a projection of its own that later ones refer to
+    more than once, so it is made once a row and not again for each element."""
+    keep = df.columns
+    df = df.withColumn("_hashes", F.transform(words_col, lambda x: F.xxhash64(x)))
+    df = df.withColumn("_lanes", F.expr("transform(sequence(0, 31), j -> aggregate(_hashes, 0L, (a, h) -> a + (shiftrightunsigned(h, j) & 4294967297L)))"))
+    half = "aggregate(sequence(0, 31), 0L, (a, j) -> a | if(2 * (shiftrightunsigned(_lanes[j], {0}) & 4294967295L) > size(_hashes), shiftleft(1L, j + {0}), 0L))"
+    return df.select(*keep, F.expr(half.format(0)).bitwiseOR(F.expr(half.format(32))).alias(out))
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
@@ -73,23 +72,24 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 
 def prepare_items(benchmark: DataFrame, id_col: str, text_col: str, shingle_words: int, threshold: float) -> DataFrame:
-    """``(item_id, w, n, g, m, e, fp)``: words, their number, shingle length,
-    number of shingles, shingles a match may miss, fingerprint."""
+    """``(item_id, n, g, m, e, fp, grams)``: words, shingle length, number of
+    shingles, shingles a match may miss, fingerprint, shingles."""
     rows = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), words(F.col(f"`{text_col}`")).alias("w")).filter(F.size("w") > 0)
     rows = rows.withColumn("n", F.size("w")).withColumn("g", F.least("n", F.lit(shingle_words))).withColumn("m", F.col("n") - F.col("g") + 1)
     miss = F.col("m") - F.ceil(F.round(2 * threshold / (1 + threshold) * F.col("m"), 9)).cast("int")
-    return rows.withColumn("e", miss).withColumn("fp", simhash(F.transform("w", lambda x: F.xxhash64(x))))
+    rows = with_simhash(rows.withColumn("e", miss))
+    return rows.withColumn("grams", grams(F.col("w"), F.col("g"))).drop("w")
 
 
 def _anchors(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
     """Where documents hold a shingle of an item: ``(doc_id, key, n_doc, p, item_id, n, m, e)``."""
     out = None
     for g in [r.g for r in items.select("g").distinct().collect()]:  # at most shingle_words values
-        listed = (items.filter(F.col("g") == g).select("item_id", "n", "m", "e", F.explode(F.array_distinct(gram_hashes(F.col("w"), g))).alias("h")))
+        listed = (items.filter(F.col("g") == g).select("item_id", "n", "m", "e", F.explode(F.array_distinct(F.transform("grams", lambda x: F.xxhash64(*[F.get(F.split(x, " "), F.lit(k)) for k in range(g)])))).alias("h")))  # noqa: B023
         hashes = listed.select("h").distinct()
         if hashes.count() <= broadcast_rows:  # 8 bytes each; above that, both sides are shuffled by h
             hashes = F.broadcast(hashes)
-        found = (docs.filter(F.size("w") >= g).select("doc_id", "key", F.size("w").alias("n_doc"), F.posexplode(gram_hashes(F.col("w"), g)).alias("p", "h"))
+        found = (docs.select("doc_id", "key", F.size("w").alias("n_doc"), F.posexplode(gram_hashes(F.col("w"), g)).alias("p", "h"))
                  .join(hashes, "h"))
         found = materialise(found, "shingles-found")
         found = found.join(listed, "h").select("doc_id", "key", "n_doc", "p", "item_id", "n", "m", "e")
@@ -138,16 +138,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     window of every document and item it holds (ties: fewer bits, earlier)."""
     items = materialise(prepare_items(benchmark, item_id_col, item_text_col, shingle_words, threshold), "items")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
-    texts = texts.filter(F.col("t").isNotNull()).select("doc_id", F.xxhash64("t").alias("key"), words(F.col("t")).alias("w"))
-    anchors = _anchors(texts, items, broadcast_rows)
+    texts = texts.filter(F.col("t").isNotNull()).select("doc_id", F.xxhash64("t").alias("key"), "t")
+    anchors = _anchors(texts.select("doc_id", "key", words(F.col("t")).alias("w")), items, broadcast_rows)
     if anchors is None:  # no item has a word
         anchors = texts.limit(0).select("doc_id", "key", F.lit(0).alias("n_doc"), F.lit(0).alias("p")).join(items.select("item_id", "n", "m", "e"), F.lit(False))
     starts = materialise(_windows(anchors), "window-starts")
     held = starts.groupBy("doc_id", "key").agg(F.collect_set(F.struct("n", "s")).alias("at"))  # at most a window per word and item size
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
-    rows = (texts.alias("d").join(materialise(held, "windows-by-document").alias("h"), same("d", "h")).select("d.doc_id", "d.key", "d.w", F.explode("h.at").alias("a"))
-            .select("doc_id", "key", "a.n", "a.s", F.slice("w", F.col("a.s") + 1, F.col("a.n")).alias("w")))
-    windows = materialise(rows.withColumn("fp", simhash(F.transform("w", lambda x: F.xxhash64(x)))), "windows")
+    rows = (texts.alias("d").join(materialise(held, "windows-by-document").alias("h"), same("d", "h")).select("d.doc_id", "d.key", words(F.col("d.t")).alias("w"), "h.at")
+            .select("doc_id", "key", "w", F.explode("at").alias("a")).select("doc_id", "key", "a.n", "a.s", F.slice("w", F.col("a.s") + 1, F.col("a.n")).alias("w")))
+    windows = materialise(with_simhash(rows), "windows")
     index = items.select("item_id", "n", "fp", F.explode(block_values(F.col("fp"), blocks, radius // blocks)).alias("b")).select("item_id", "n", "b.*", F.col("fp").alias("item_fp"))
     probes = windows.select("doc_id", "key", "n", "s", "fp", F.explode(block_values(F.col("fp"), blocks)).alias("b")).select("doc_id", "key", "n", "s", "fp", "b.*")
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
@@ -155,8 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              .select("doc_id", "key", "n", "s", "item_id", "hamming").distinct())
     checked = (pairs.alias("p").join(windows.alias("x"), same("p", "x") & (F.col("p.n") == F.col("x.n")) & (F.col("p.s") == F.col("x.s")))
                .join(items.alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("p.n") == F.col("i.n"))))
-    size = lambda w: F.least(F.size(w), F.lit(shingle_words))
-    scored = checked.select("p.doc_id", "p.item_id", "p.hamming", "p.s", "p.n", weighted_jaccard(grams(F.col("x.w"), size(F.col("x.w"))), grams(F.col("i.w"), size(F.col("i.w")))).alias("similarity"))
-    best = F.max(F.struct(F.col("similarity"), (-F.col("hamming")).alias("h"), (-F.col("s")).alias("s"), "n")).alias("b")
-    return (scored.filter(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(best)
+    held = checked.select("p.doc_id", "p.item_id", "p.hamming", "p.s", "p.n", grams(F.col("x.w"), F.least(F.size("x.w"), F.lit(shingle_words))).alias("a"), F.col("i.grams").alias("b"))
+    best = F.max(F.struct(weighted_jaccard(F.col("a"), F.col("b")).alias("similarity"), (-F.col("hamming")).alias("h"), (-F.col("s")).alias("s"), "n")).alias("b")
+    return (held.groupBy("doc_id", "item_id").agg(best).filter(F.col("b.similarity") >= threshold)
             .select(F.col("doc_id").alias(id_col), "item_id", "b.similarity", (-F.col("b.h")).alias("hamming"), (-F.col("b.s")).alias("start_word"), F.col("b.n").alias("n_words")))

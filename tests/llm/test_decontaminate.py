@@ -81,7 +81,7 @@ def test_simhash_and_blocks(spark):
     import xxhash
     rng = random.Random(3)
     ws = [[f"w{rng.randrange(20)}" for _ in range(n)] for n in (1, 2, 3, 40, 400)]
-    out = spark.createDataFrame([(w,) for w in ws], "w array<string>").select(D.simhash(F.transform("w", lambda x: F.xxhash64(x))).alias("fp"), "w").collect()
+    out = spark.createDataFrame([(w,) for w in ws], "w array<string>").transform(D.with_simhash).collect()
     for r in out:
         hs = [xxhash.xxh64_intdigest(x, 42) for x in r.w]
         assert r.fp % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
