@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality_pu, secret_scan, simhash_dedup, source_mixing, topk_search, warc
+from . import decontaminate, language_id, license_scan, quality_pu, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search, warc
 from .common import id_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,67 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontaminate")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _tree(docs: DataFrame) -> DataFrame:
+    """``documents`` as a file tree: source/lang/block of 64 ids. A document that
+    opens with a licence notice plays the directory's licence file; by its id it
+    stands in the block, language or source directory."""
+    top, mid = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    opens = F.lower(F.substring_index("text", "\n", 1)).contains("licen")
+    block = F.floor(F.col("doc_id") / 64).cast("string")
+    place = F.when(opens & (F.col("doc_id") % 7 == 0), top).when(opens & (F.col("doc_id") % 3 == 0), F.concat_ws("/", top, mid)).otherwise(F.concat_ws("/", top, mid, block))
+    name = F.when(opens, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.select("doc_id", F.concat_ws("/", place, name).alias("path"), "text")
+
+
+_NOTICES = ", ".join("('{}', '{}')".format(*t) for t in license_scan.TEMPLATES)
+
+
+@query("op1_license_scan", sql=r"""
+WITH tpl(license_id, text) AS (VALUES """ + _NOTICES + r"""),
+tt AS (SELECT license_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:\.\p{N}+)*')) AS token FROM tpl),
+tc AS (SELECT license_id, token, count(*) AS tf FROM tt GROUP BY ALL),
+idf AS (SELECT token, ln((1 + (SELECT count(*) FROM tpl)) / (1.0 + count(*))) + 1 AS idf FROM tc GROUP BY token),
+tw AS (SELECT license_id, token, tf * idf AS x FROM tc JOIN idf USING (token)),
+tn AS (SELECT license_id, sqrt(sum(x * x)) AS norm FROM tw GROUP BY 1),
+w AS (SELECT license_id, token, x / norm AS w FROM tw JOIN tn USING (license_id)),
+d AS (
+  SELECT doc_id, text, coalesce(source, 'none') AS top, coalesce(lang, 'none') AS mid, contains(lower(split_part(text, chr(10), 1)), 'licen') AS opens FROM documents
+), f AS (
+  SELECT doc_id, text, CASE WHEN opens AND doc_id % 7 = 0 THEN top WHEN opens AND doc_id % 3 = 0 THEN top || '/' || mid
+                            ELSE top || '/' || mid || '/' || CAST(doc_id // 64 AS VARCHAR) END AS dir, coalesce(opens, false) AS opens FROM d
+), u AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM f UNION SELECT doc_id, text FROM f WHERE opens
+), ud AS (SELECT DISTINCT unit FROM u),
+ut AS (SELECT unit, unnest(regexp_extract_all(lower(unit), '[\p{L}\p{N}]+(?:\.\p{N}+)*')) AS token FROM ud),
+uc AS (SELECT unit, token, count(*) AS tf FROM ut GROUP BY ALL),
+ux AS (SELECT unit, token, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM tpl)) + 1) AS x FROM uc LEFT JOIN idf USING (token)),
+un AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM ux GROUP BY 1),
+us AS (SELECT unit, license_id, round(sum(x * w) / any_value(norm), 6) AS score FROM ux JOIN w USING (token) JOIN un USING (unit) GROUP BY 1, 2),
+own AS (
+  SELECT doc_id, license_id, score FROM (
+    SELECT doc_id, license_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license_id) AS r FROM u JOIN us USING (unit) WHERE score >= 0.7
+  ) WHERE r = 1
+), dl AS (
+  SELECT dir, license_id, score FROM (
+    SELECT dir, license_id, score, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license_id) AS r FROM f JOIN own USING (doc_id) WHERE opens
+  ) WHERE r = 1
+), inh AS (
+  SELECT doc_id, dl.dir AS up, dl.license_id AS dir_license, dl.score AS dir_score, row_number() OVER (PARTITION BY doc_id ORDER BY length(dl.dir) DESC) AS r
+  FROM f JOIN dl ON f.dir = dl.dir OR starts_with(f.dir, dl.dir || '/')
+)
+SELECT f.doc_id, coalesce(own.license_id, dir_license) AS license_id, coalesce(own.score, dir_score) AS score,
+       CASE WHEN own.license_id IS NOT NULL THEN 'header' WHEN dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+       CASE WHEN own.license_id IS NULL THEN up END AS licensed_by
+FROM f LEFT JOIN own USING (doc_id) LEFT JOIN (SELECT * FROM inh WHERE r = 1) i USING (doc_id)
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_tree(table(spark, sf_dir, "documents")), license_scan.templates(spark))
+    return found.select(F.regexp_extract("path", r"(\d+)(?:\.txt)?$", 1).cast("long").alias("doc_id"), "license_id", "score", "how", "licensed_by")
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.section_tokens(table(spark, sf_dir, "documents"), rule="most")
+    return counted.select("doc_id", "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing", "doc_tokens")
