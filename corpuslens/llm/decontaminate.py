@@ -23,7 +23,7 @@ which has at most one window per word and item size.
 
 Defined results: null and empty texts and items without a word match nothing; an
 item of fewer words than a shingle is one shingle; a document shorter than the
-item is one window; repeated documents are reported once per id; a null id is
+item is one window; repeated documents are reported once; a null id is
 reported as null; repeated items are reported each; empty tables give no rows;
 other columns are ignored.
 """
@@ -134,8 +134,9 @@ def _masks(width: int, near: int) -> list[int]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
                  shingle_words: int = 5, threshold: float = 0.8, radius: int = 15, blocks: int = 4, broadcast_rows: int = 4_000_000) -> DataFrame:
-    """``(id, item_id, similarity, hamming, start_word, n_words)``: the best
-    window of every document and item it holds (ties: fewer bits, earlier)."""
+    """``(id, text_key, item_id, similarity, hamming, start_word, n_words)``: the
+    best window of every document and item it holds (ties: fewer bits, earlier);
+    ``text_key`` is xxhash64 of the text, which tells apart texts of one id."""
     items = materialise(prepare_items(benchmark, item_id_col, item_text_col, shingle_words, threshold), "items")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
     texts = texts.filter(F.col("t").isNotNull()).select("doc_id", F.xxhash64("t").alias("key"), "t")
@@ -155,7 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              .select("doc_id", "key", "n", "s", "item_id", "hamming").distinct())
     checked = (pairs.alias("p").join(windows.alias("x"), same("p", "x") & (F.col("p.n") == F.col("x.n")) & (F.col("p.s") == F.col("x.s")))
                .join(items.alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("p.n") == F.col("i.n"))))
-    held = checked.select("p.doc_id", "p.item_id", "p.hamming", "p.s", "p.n", grams(F.col("x.w"), F.least(F.size("x.w"), F.lit(shingle_words))).alias("a"), F.col("i.grams").alias("b"))
+    held = checked.select("p.doc_id", "p.key", "p.item_id", "p.hamming", "p.s", "p.n", grams(F.col("x.w"), F.least(F.size("x.w"), F.lit(shingle_words))).alias("a"), F.col("i.grams").alias("b"))
     best = F.max(F.struct(weighted_jaccard(F.col("a"), F.col("b")).alias("similarity"), (-F.col("hamming")).alias("h"), (-F.col("s")).alias("s"), "n")).alias("b")
-    return (held.groupBy("doc_id", "item_id").agg(best).filter(F.col("b.similarity") >= threshold)
-            .select(F.col("doc_id").alias(id_col), "item_id", "b.similarity", (-F.col("b.h")).alias("hamming"), (-F.col("b.s")).alias("start_word"), F.col("b.n").alias("n_words")))
+    return (held.groupBy("doc_id", "key", "item_id").agg(best).filter(F.col("b.similarity") >= threshold)
+            .select(F.col("doc_id").alias(id_col), F.col("key").alias("text_key"), "item_id", "b.similarity", (-F.col("b.h")).alias("hamming"), (-F.col("b.s")).alias("start_word"), F.col("b.n").alias("n_words")))

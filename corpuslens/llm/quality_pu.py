@@ -181,3 +181,17 @@ def score(features: DataFrame, model: Model | None, id_col: str = "doc_id") -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=[id_col, "score"])
 
     return features.select(F.col(f"`{id_col}`"), "x").mapInArrow(run, T.StructType([features.schema[id_col], T.StructField("score", T.DoubleType())]))
+
+
+def keep(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores at least ``least``."""
+    if model is None:
+        return docs if least <= 0.5 else docs.limit(0)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, place):
+            x = np.array([statistics(t) for t in strings(b.column(place))])
+            yield b.filter(pa.array(model.score(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
