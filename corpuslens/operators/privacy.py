@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_ROWS, join_scalars, persist
+from ..session import join_scalars, materialise
 from .search import context_phrases, entity_mentions, phrases_found_in
 
 
 def leakage_detail(docs: DataFrame, entities: DataFrame, *, text_col: str = "text",
-                   id_col: str = "doc_id",
-                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   id_col: str = "doc_id") -> DataFrame:
     """Per document: number of entity entries found and the distinct entities found.
 
     Documents without any hit are kept with 0 (left join from all documents).
     """
-    hits = entity_mentions(docs, entities, text_col=text_col, id_col=id_col,
-                           broadcast_rows=broadcast_rows)
+    hits = entity_mentions(docs, entities, text_col=text_col, id_col=id_col)
     per_doc = hits.groupBy("doc_id").agg(
         F.count("*").alias("n_leaked"),
         F.array_join(F.array_sort(F.collect_set("entity")), "|").alias("leaked_entities"))
@@ -28,15 +26,13 @@ def leakage_detail(docs: DataFrame, entities: DataFrame, *, text_col: str = "tex
 
 
 def entity_leakage(docs: DataFrame, entities: DataFrame, *, text_col: str = "text",
-                   id_col: str = "doc_id",
-                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   id_col: str = "doc_id") -> DataFrame:
     """One row: documents, total entity entries leaked, average per document.
 
     ``avg_leaked_per_doc`` is entities per paragraph (not a percentage).
     ``share_entities_leaked`` = distinct leaked entities / distinct listed entities.
     """
-    hits = entity_mentions(docs, entities, text_col=text_col, id_col=id_col,
-                           broadcast_rows=broadcast_rows)
+    hits = entity_mentions(docs, entities, text_col=text_col, id_col=id_col)
     h = hits.agg(F.count("*").alias("n_leaked"),
                  F.count_distinct("entity").alias("n_distinct_leaked"))
     n_docs = docs.agg(F.count("*").alias("n_docs"))
@@ -49,8 +45,7 @@ def entity_leakage(docs: DataFrame, entities: DataFrame, *, text_col: str = "tex
 
 
 def leakage_report(docs: DataFrame, entities: DataFrame, *, text_col: str = "text",
-                   id_col: str = "doc_id",
-                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   id_col: str = "doc_id") -> DataFrame:
     """Report over *distinct* document texts (duplicate texts count once).
 
     avg_leaked_per_doc: entity entries found per distinct text;
@@ -64,7 +59,7 @@ def leakage_report(docs: DataFrame, entities: DataFrame, *, text_col: str = "tex
     d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"),
                                                          F.col(text_col).alias("text"))
     reps = d.groupBy(F.sha2("text", 256).alias("_digest")).agg(F.min("doc_id").alias("doc_id"))
-    hits = entity_mentions(d, entities, text_col="text", id_col="doc_id", broadcast_rows=broadcast_rows) \
+    hits = entity_mentions(d, entities, text_col="text", id_col="doc_id") \
         .join(reps.select("doc_id"), "doc_id", "left_semi")
     per_text = hits.groupBy("doc_id").agg(F.count("*").alias("n"),
                                           F.count_distinct("entity").alias("u"))
@@ -80,36 +75,29 @@ def leakage_report(docs: DataFrame, entities: DataFrame, *, text_col: str = "tex
 
 def span_memorisation(syn: DataFrame, ref: DataFrame, entities: DataFrame, *, window: int = 3,
                       remove_duplicates: bool = True, text_col: str = "text",
-                      id_col: str = "doc_id",
-                      broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                      id_col: str = "doc_id") -> DataFrame:
     """Entity-phrase overlap: phrases around entities in ``syn`` that occur verbatim
     in some ``ref`` text, counted per context length. Returns (context_len, count)."""
-    phrases = context_phrases(syn, entities, window=window, text_col=text_col, id_col=id_col,
-                              broadcast_rows=broadcast_rows) \
+    phrases = context_phrases(syn, entities, window=window, text_col=text_col, id_col=id_col) \
         .select("entity", "phrase", "context_len")
     if remove_duplicates:
         phrases = phrases.dropDuplicates(["entity", "phrase", "context_len"])
-    # used by the size check, the semi-join and the final count: extract once
-    phrases = persist(phrases)
-    found = phrases_found_in(phrases.select("phrase"), ref, text_col=text_col, id_col=id_col,
-                             broadcast_rows=broadcast_rows)
+    phrases = materialise(phrases, "phrases")  # read by the search and by the final count
+    found = phrases_found_in(phrases.select("phrase"), ref, text_col=text_col, id_col=id_col)
     return (phrases.join(found, "phrase", "left_semi")
             .groupBy("context_len").agg(F.count("*").alias("count")))
 
 
 def span_overlap_ratio(syn: DataFrame, ref: DataFrame, entities: DataFrame, *, window: int = 3,
                        remove_duplicates: bool = True, text_col: str = "text",
-                       id_col: str = "doc_id",
-                       broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                       id_col: str = "doc_id") -> DataFrame:
     """Older overlap metric: phrases are extracted from both corpora and equi-joined
     on (entity, phrase, context_len). Only full-window phrases count in the
     numerator; context lengths without any overlap are absent (inner merge).
     Returns (context_len, overlap_count, total_count, overlap_ratio)."""
     cols = ["entity", "phrase", "context_len"]
-    s = context_phrases(syn, entities, window=window, text_col=text_col, id_col=id_col,
-                        broadcast_rows=broadcast_rows).select(*cols)
-    r = context_phrases(ref, entities, window=window, text_col=text_col, id_col=id_col,
-                        broadcast_rows=broadcast_rows).select(*cols)
+    s = context_phrases(syn, entities, window=window, text_col=text_col, id_col=id_col).select(*cols)
+    r = context_phrases(ref, entities, window=window, text_col=text_col, id_col=id_col).select(*cols)
     if remove_duplicates:
         s, r = s.dropDuplicates(cols), r.dropDuplicates(cols)
     full = F.size(F.split("phrase", " ")) == 2 * F.col("context_len") + F.size(

@@ -4,20 +4,18 @@ The naive plan for "which of these E entities occur in which of these D
 documents" is a D x E nested loop of regex scans. Here every search is split
 into
 
-1. a *necessary* condition that is an equality on one token (a token of the
-   entity that must appear as a whole token of any matching document), joined
-   against the distinct tokens of each document, and
+1. a *necessary* condition that is an equality on one token of the document,
 2. the exact predicate (the regex or substring test), run only on the
    candidate pairs.
 
-When the item side is small (row count checked) it is broadcast and the
-documents are never shuffled: the explode, the hash probe and the exact check
-run in one codegen stage, with the text carried by reference. Otherwise both
-sides shuffle on the token (AQE splits skewed tokens) and the candidate pairs
-are joined back to the text by id.
-
-Items for which no token is guaranteed fall back to a broadcast theta join on
-``contains``.
+Whole-word entities (J1) name the token themselves. Substrings (J2, J3) may
+begin and end inside a token, so the token is looked up first: the corpus'
+distinct tokens meet the items' longest word through the rarest of its
+character trigrams (an equi-join over the vocabulary, not over documents), and
+the tokens that hold the word are the join keys. There is one plan for any
+number of items: the optimiser chooses between broadcast and shuffle joins by
+size, AQE splits skewed tokens, and only ids and tokens move until the
+candidate pairs meet the texts. No item needs a nested-loop join.
 """
 
 from __future__ import annotations
@@ -26,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, regex_escape, strip_chars, word_runs, ws_tokens
-from ..session import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
 
 def _longest(arr: Column) -> Column:
@@ -39,36 +36,75 @@ def _longest(arr: Column) -> Column:
     )
 
 
-def keyed_candidates(docs: DataFrame, items: DataFrame, *, doc_id: str, doc_tokens: Column,
-                     item_key: str, verify: Column,
-                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``docs x items`` where ``doc_tokens`` contains ``items[item_key]``
-    and ``verify`` holds. ``docs`` and ``items`` must not share column names."""
-    small_items, is_small = bounded_broadcast(items, broadcast_rows)
-    if is_small:
+def keyed_pairs(docs: DataFrame, items: DataFrame, doc_tokens: Column, verify: Column) -> DataFrame:
+    """Rows of ``docs x items`` where ``doc_tokens`` contains the item's ``_key``
+    and ``verify`` holds; ``docs`` has ``doc_id`` and ``text``.
+
+    Streaming documents meet the static items directly (stateless); in a batch
+    the pairs of ids are found first and then joined to the texts.
+    """
+    if docs.isStreaming:
         exploded = docs.select("*", F.explode(F.array_distinct(doc_tokens)).alias("_tok"))
-        return (exploded.join(small_items, exploded["_tok"] == small_items[item_key])
-                .filter(verify).drop("_tok"))
-    keys = docs.select(F.col(doc_id).alias("_cand_doc"),
-                       F.explode(F.array_distinct(doc_tokens)).alias("_tok"))
-    pairs = keys.join(items, keys["_tok"] == items[item_key]).drop("_tok")
-    joined = pairs.join(docs, pairs["_cand_doc"] == docs[doc_id]).drop("_cand_doc")
-    return joined.filter(verify)
+        return exploded.join(items, exploded["_tok"] == items["_key"]).filter(verify).drop("_tok", "_key")
+    tokens = docs.select(F.col("doc_id").alias("_doc"), F.explode(F.array_distinct(doc_tokens)).alias("_tok"))
+    pairs = tokens.join(items, tokens["_tok"] == items["_key"]).drop("_tok", "_key").distinct()
+    return pairs.join(docs, pairs["_doc"] == docs["doc_id"]).drop("_doc").filter(verify)
+
+
+def _runs(text: Column) -> Column:
+    """Maximal runs of non-space and of space characters, in order."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\S+|\s+"), 0)
+
 
+def _grams(word: Column) -> Column:
+    """Distinct substrings of one to three characters (code points)."""
+    n = F.char_length(word)
+    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(3), n - i + 1)), lambda k: F.substr(word, i, k)))))
 
-def scan_candidates(docs: DataFrame, items: DataFrame, condition: Column,
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame | None:
-    """Theta join for items that have no usable key (few by construction);
-    ``None`` when there are none, so no nested-loop join is planned at all."""
-    if items.limit(1).count() == 0:
-        return None
-    small_items, _ = bounded_broadcast(items, broadcast_rows)
-    return docs.join(small_items, condition)
 
+def substring_keys(docs: DataFrame, items: DataFrame, needle: str) -> DataFrame:
+    """``items`` with ``_key``: every document token that a text holding the
+    needle must have (one item has as many rows as tokens fit).
 
-def _union(keyed: DataFrame, unkeyed: DataFrame | None, cols: list[str]) -> DataFrame:
-    out = keyed.select(*cols)
-    return out if unkeyed is None else out.unionByName(unkeyed.select(*cols))
+    The needle's first run ends a token, its last begins one, inner runs are
+    whole tokens, and a lone run lies inside one. The longest non-space run
+    (inner runs first, then the longest space run) is used.
+    """
+    runs = _runs(F.col(needle))
+    placed = F.transform(runs, lambda r, i: F.struct(
+        F.when((i > 0) & (i < F.size(runs) - 1), 2).when(F.trim(F.regexp_replace(r, r"(?U)\s+", "")) != "", 1).otherwise(0).alias("rank"),
+        F.char_length(r).alias("len"), r.alias("run"),
+        F.when(F.size(runs) == 1, "holds").when(i == 0, "ends").when(i == F.size(runs) - 1, "starts").otherwise("equals").alias("how")))
+    solid = F.filter(placed, lambda x: F.trim(F.regexp_replace(x["run"], r"(?U)\s+", "")) != "")
+    chosen = items.withColumn("_p", F.array_max(F.when(F.size(solid) > 0, solid).otherwise(placed))).filter(F.col("_p").isNotNull())
+    whole = chosen.filter(F.col("_p.how") == "equals").withColumn("_key", F.col("_p.run")).drop("_p")
+    whole = whole.unionByName(items.filter(F.col(needle) == "").withColumn("_key", F.lit("")))
+    part = chosen.filter(F.col("_p.how") != "equals")
+
+    words = part.select("_p.run").distinct()
+    size = F.least(F.lit(3), F.char_length("run"))
+    wanted = words.select("run", F.explode(F.filter(_grams(F.col("run")), lambda g: F.char_length(g) == size)).alias("gram"))
+    vocabulary = docs.select(F.explode(F.array_distinct(_runs(F.col("text")))).alias("token")).distinct()
+    grams = vocabulary.select("token", F.explode(_grams(F.col("token"))).alias("gram"))
+    grams = grams.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "gram").groupBy("run").agg(F.min(F.struct("n", "gram")).alias("m")) \
+        .select("run", "m.gram")
+    fits = grams.join(rarest, "gram").filter(F.contains("token", "run")).select("run", "token")
+    how = F.col("_p.how")
+    fit = (F.when(how == "ends", F.endswith(F.col("token"), F.col("_p.run")))
+           .when(how == "starts", F.startswith(F.col("token"), F.col("_p.run"))).otherwise(F.lit(True)))
+    keyed = part.join(fits, part["_p"]["run"] == fits["run"]).filter(fit).withColumn("_key", F.col("token"))
+    return whole.unionByName(keyed.drop("_p", "run", "token"))
+
+
+def holding(docs: DataFrame, items: DataFrame, needle: str) -> DataFrame:
+    """Rows of ``docs x items`` whose ``text`` contains the needle."""
+    if docs.isStreaming:
+        raise ValueError("substring search looks up the corpus vocabulary first; run it on a batch")
+    return keyed_pairs(docs, substring_keys(docs, items, needle), F.concat(_runs(F.col("text")), F.array(F.lit(""))), F.contains(F.col("text"), F.col(needle)))
 
 
 # ---------------------------------------------------------------------------
@@ -83,8 +119,7 @@ def prepare_entities(entities: DataFrame, entity_col: str = "entity",
         F.col(id_col).alias("entity_id"),
         clean.alias("entity"),
         F.concat(F.lit(r"(?iU)\b"), regex_escape(clean), F.lit(r"\b")).alias("_pat"),
-        _longest(word_runs(clean)).alias("_key"),
-        fold(clean).alias("_folded"),
+        F.coalesce(_longest(word_runs(clean)), fold(clean)).alias("_key"),
     )
 
 
@@ -97,9 +132,8 @@ def rarest_keys(docs: DataFrame, entities: DataFrame) -> DataFrame:
     (partial aggregation, one row per entity word after the shuffle).
     """
     runs = entities.select("entity_id", F.explode(F.array_distinct(word_runs(F.col("entity")))).alias("run"))
-    vocab, _ = bounded_broadcast(runs.select("run").distinct())
     doc_runs = docs.select(F.explode(F.array_distinct(word_runs(F.col("text")))).alias("run"))
-    dfreq = doc_runs.join(vocab, "run", "left_semi").groupBy("run").agg(F.count("*").alias("_df"))
+    dfreq = doc_runs.join(runs.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("_df"))
     ranked = runs.join(dfreq, "run", "left").select(
         "entity_id", "run", F.coalesce("_df", F.lit(0)).alias("_df"))
     return ranked.groupBy("entity_id").agg(
@@ -107,36 +141,42 @@ def rarest_keys(docs: DataFrame, entities: DataFrame) -> DataFrame:
         .select("entity_id", F.col("_m.run").alias("_key"))
 
 
+def entity_tokens(text: Column) -> Column:
+    """Tokens that entity keys are held against: word runs, the runs between
+    two of them, and '' (the empty entity's key) where there is a word."""
+    folded = fold(text)
+    runs = F.regexp_extract_all(folded, F.lit(r"(?U)\w+|(?<=\w)\W+(?=\w)"), 0)
+    return F.concat(runs, F.when(F.regexp(folded, F.lit(r"(?U)\w")), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+
+
 def entity_mentions(docs: DataFrame, entities: DataFrame, *, text_col: str = "text",
                     id_col: str = "doc_id", entity_col: str = "entity",
-                    entity_id_col: str = "entity_id",
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS, key: str = "longest") -> DataFrame:
+                    entity_id_col: str = "entity_id", key: str = "longest") -> DataFrame:
     """(doc_id, entity_id, entity) for every entity entry found in a document.
 
     Match rule: ``\\b<escaped entity>\\b``, case-insensitive, with the entity's
-    surrounding double quotes removed. Duplicate entity entries (same text,
-    different ids) each produce a row.
+    surrounding double quotes removed. Entity entries of the same text and
+    different ids each produce a row.
 
     Every ``\\w+`` run of a matching entity is a whole ``\\w+`` run of the
     document (the ``\\b`` anchors close the outer runs), so the entity's longest
-    run is the join key. ``key='rarest'`` instead picks the run with the
-    smallest document frequency (one extra corpus pass, fewer candidates when
-    entities contain common words).
+    run is the join key. An entity without a word character must fill the whole
+    gap between two word runs, so it is its own key. ``key='rarest'`` instead
+    picks the run with the smallest document frequency (one extra corpus pass,
+    fewer candidates when entities contain common words; batches only).
     """
+    if key not in ("longest", "rarest"):
+        raise ValueError("key must be 'longest' or 'rarest'")
+    if key == "rarest" and docs.isStreaming:
+        raise ValueError("key='rarest' counts the whole corpus; use key='longest' on a stream")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
         .filter(F.col("text").isNotNull())
-    e = prepare_entities(entities, entity_col, entity_id_col)
+    e = prepare_entities(entities, entity_col, entity_id_col).filter(F.col("entity").isNotNull())
     if key == "rarest":
-        rk = rarest_keys(d, e.filter(F.col("_key").isNotNull()))
-        e = e.drop("_key").join(rk, "entity_id", "left")
+        e = e.join(rarest_keys(d, e).withColumnRenamed("_key", "_rare"), "entity_id", "left") \
+            .withColumn("_key", F.coalesce("_rare", "_key")).drop("_rare")
     verify = F.regexp(F.col("text"), F.col("_pat"))
-    keyed = keyed_candidates(d, e.filter(F.col("_key").isNotNull()), doc_id="doc_id",
-                             doc_tokens=word_runs(F.col("text")), item_key="_key",
-                             verify=verify, broadcast_rows=broadcast_rows)
-    unkeyed = scan_candidates(
-        d, e.filter(F.col("_key").isNull()),
-        F.contains(fold(F.col("text")), F.col("_folded")) & verify, broadcast_rows)
-    return _union(keyed, unkeyed, ["doc_id", "entity_id", "entity"])
+    return keyed_pairs(d, e, entity_tokens(F.col("text")), verify).select("doc_id", "entity_id", "entity")
 
 
 # ---------------------------------------------------------------------------
@@ -145,8 +185,7 @@ def entity_mentions(docs: DataFrame, entities: DataFrame, *, text_col: str = "te
 
 def context_phrases(docs: DataFrame, entities: DataFrame, *, window: int = 3,
                     text_col: str = "text", id_col: str = "doc_id",
-                    entity_col: str = "entity", entity_id_col: str = "entity_id",
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    entity_col: str = "entity", entity_id_col: str = "entity_id") -> DataFrame:
     """Phrases around each occurrence of an entity, with symmetric trims.
 
     For every non-overlapping match of
@@ -155,27 +194,16 @@ def context_phrases(docs: DataFrame, entities: DataFrame, *, window: int = 3,
     with ``context_len = W - w``.
 
     Output: (doc_id, entity_id, entity, match_no, phrase, context_len).
-    An entity with three or more words has its inner words as whole
-    whitespace tokens of any document containing it; those are keyed on the
-    longest inner word, the rest use a broadcast ``contains`` join.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
         .filter(F.col("text").isNotNull())
-    words = ws_tokens(F.col(entity_col))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     e = entities.filter(F.col(entity_col).isNotNull() & (F.length(entity_col) > 0)).select(
         F.col(entity_id_col).alias("entity_id"),
         F.col(entity_col).alias("entity"),
         F.concat(F.lit(r"(?U)((?:\S+\s+){0," + str(window) + "})"), regex_escape(F.col(entity_col)),
                  F.lit(r"((?:\s+\S+){0," + str(window) + "})")).alias("_pat"),
-        F.when(F.size(words) >= 3, _longest(inner)).alias("_key"),
     )
-    verify = F.contains(F.col("text"), F.col("entity"))
-    keyed = keyed_candidates(d, e.filter(F.col("_key").isNotNull()), doc_id="doc_id",
-                             doc_tokens=ws_tokens(F.col("text")), item_key="_key",
-                             verify=verify, broadcast_rows=broadcast_rows)
-    unkeyed = scan_candidates(d, e.filter(F.col("_key").isNull()), verify, broadcast_rows)
-    cand = _union(keyed, unkeyed, ["doc_id", "entity_id", "entity", "text", "_pat"])
+    cand = holding(d, e, "entity")
     spans = cand.select(
         "doc_id", "entity_id", "entity",
         F.posexplode(F.regexp_extract_all(F.col("text"), F.col("_pat"), 0)).alias("match_no", "span"),
@@ -196,25 +224,9 @@ def context_phrases(docs: DataFrame, entities: DataFrame, *, window: int = 3,
 
 
 def phrases_found_in(phrases: DataFrame, refs: DataFrame, *, phrase_col: str = "phrase",
-                     text_col: str = "text", id_col: str = "doc_id",
-                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Distinct phrases (single-space joined words) that are a substring of any ref text.
-
-    Phrases of three or more words have their middle words as whole
-    whitespace tokens of a containing text, so they key on the longest one.
-    """
-    r = refs.select(F.col(id_col).alias("_ref_id"), F.col(text_col).alias("_ref_text")) \
-        .filter(F.col("_ref_text").isNotNull())
-    words = ws_tokens(F.col("_phrase"))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    canonical = F.array_join(words, " ") == F.col("_phrase")
-    p = (phrases.select(F.col(phrase_col).alias("_phrase")).filter(F.col("_phrase").isNotNull())
-         .distinct()
-         .withColumn("_key", F.when(canonical & (F.size(words) >= 3), _longest(inner))))
-    verify = F.contains(F.col("_ref_text"), F.col("_phrase"))
-    keyed = keyed_candidates(r, p.filter(F.col("_key").isNotNull()), doc_id="_ref_id",
-                             doc_tokens=ws_tokens(F.col("_ref_text")), item_key="_key",
-                             verify=verify, broadcast_rows=broadcast_rows)
-    unkeyed = scan_candidates(r, p.filter(F.col("_key").isNull()), verify, broadcast_rows)
-    found = _union(keyed, unkeyed, ["_phrase"]).distinct()
-    return found.withColumnRenamed("_phrase", phrase_col)
+                     text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Distinct phrases that are a substring of any ref text."""
+    r = refs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
+        .filter(F.col("text").isNotNull())
+    p = phrases.select(F.col(phrase_col).alias("_phrase")).filter(F.col("_phrase").isNotNull()).distinct()
+    return holding(r, p, "_phrase").select(F.col("_phrase").alias(phrase_col)).distinct()

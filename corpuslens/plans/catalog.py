@@ -44,8 +44,12 @@ def normalise(df: DataFrame) -> DataFrame:
 
 SYN = "(SELECT doc_id, text FROM documents WHERE CAST(substr(source, 4) AS INTEGER) >= 10)"
 REF = "(SELECT doc_id, text FROM documents WHERE CAST(substr(source, 4) AS INTEGER) < 10)"
-ENTS = ("(SELECT item_id AS entity_id, "
-        "array_to_string(list_slice(string_split(text, ' '), 2, 4), ' ') AS entity FROM benchmark)")
+# one to four words of an item, from its longest word on (not among the last three; ties: the smallest)
+_FIRST = "list_slice(string_split(text, ' '), 1, greatest(len(string_split(text, ' ')) - 3, 1))"
+_LONG = (f"list_reduce({_FIRST}, lambda a, x: CASE WHEN length(x) > length(a) OR (length(x) = length(a) AND x < a) "
+         "THEN x ELSE a END)")
+ENTS = (f"(SELECT item_id AS entity_id, array_to_string(list_slice(string_split(text, ' '), list_position({_FIRST}, {_LONG}), "
+        f"list_position({_FIRST}, {_LONG}) + item_id % 4), ' ') AS entity FROM benchmark)")
 WS = r"list_filter(string_split_regex({x}, '\s+'), lambda t: t <> '')"
 
 

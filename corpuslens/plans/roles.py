@@ -1,7 +1,7 @@
 """How the driver's tables play the roles the evaluation operators expect.
 
 ``documents`` is split into a synthetic side (sources src10..src19) and a
-real side (the rest); entities are words 2-4 of each ``benchmark`` item;
+real side (the rest); entities are one to four words of each ``benchmark`` item;
 labels/lengths give classifier predictions; ``conversations`` give coref
 clusterings; ``embeddings`` split into two corpora by id parity.
 Each function reads whole tables; nothing is sampled or capped.
@@ -40,9 +40,13 @@ def ref_docs(spark, sf_dir) -> DataFrame:
 
 
 def entities(spark, sf_dir) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
+    """Of each item one to four words (by its id), from its longest word on."""
+    b = table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " "))
+    first = F.slice("w", 1, F.greatest(F.size("w") - 3, F.lit(1)))
+    long = F.reduce(first, F.lit(""), lambda a, x: F.when((F.length(x) > F.length(a)) | ((F.length(x) == F.length(a)) & (x < a)), x).otherwise(a))
+    n = (F.col("item_id") % 4 + 1).cast("int")
     return b.select(F.col("item_id").alias("entity_id"),
-                    F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("entity"))
+                    F.array_join(F.slice("w", F.array_position(first, long).cast("int"), n), " ").alias("entity"))
 
 
 def single_label_predictions(spark, sf_dir) -> DataFrame:

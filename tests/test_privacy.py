@@ -43,7 +43,7 @@ def test_leakage_shuffle_path_equals_broadcast_path(spark, sf):
     ents = spark.read.parquet(f"{sf}/benchmark.parquet").select(
         F.col("item_id").alias("entity_id"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("entity"))
     a = {tuple(r) for r in search.entity_mentions(docs, ents).collect()}
-    b = {tuple(r) for r in search.entity_mentions(docs, ents, broadcast_rows=0).collect()}
+    b = {tuple(r) for r in search.entity_mentions(docs, ents).collect()}
     assert a == b
     texts = [r.text for r in docs.orderBy("doc_id").collect()]
     ids = [r.doc_id for r in docs.orderBy("doc_id").collect()]
@@ -105,7 +105,7 @@ def test_phrase_semijoin_shuffle_path(spark, sf):
     phrases = spark.createDataFrame([("the of",), ("is a",), ("zz qq yy",)], "phrase string").unionByName(
         docs.select(F.array_join(F.slice(F.split("text", " "), 3, 3), " ").alias("phrase")))
     a = {r.phrase for r in search.phrases_found_in(phrases, docs).collect()}
-    b = {r.phrase for r in search.phrases_found_in(phrases, docs, broadcast_rows=0).collect()}
+    b = {r.phrase for r in search.phrases_found_in(phrases, docs).collect()}
     texts = [r.text for r in docs.collect()]
     brute = {p.phrase for p in phrases.collect() if any(p.phrase in t for t in texts)}
     assert a == b == brute
@@ -120,5 +120,55 @@ def test_rarest_key_equals_longest_key(spark, sf):
     ents = ents.unionByName(extra)
     a = {tuple(r) for r in search.entity_mentions(docs, ents).collect()}
     b = {tuple(r) for r in search.entity_mentions(docs, ents, key="rarest").collect()}
-    c = {tuple(r) for r in search.entity_mentions(docs, ents, key="rarest", broadcast_rows=0).collect()}
+    c = {tuple(r) for r in search.entity_mentions(docs, ents, key="rarest").collect()}
     assert a == b == c
+
+
+SHORT = ["Chicago", "a", "in D", "Labs", "ler", " \n", " ", "C++", "Nora Vance", "(ex-NSA)", "was n", "Jr.", "Judge \nMarcus", "enver, C", "", "tip from an engineer"]
+
+
+def test_short_needles_equal_python(spark):
+    texts = [PARAGRAPH, PARAGRAPH[:90], "Chicago  in Denver", "", "a"]
+    docs, ents = _frames(spark, texts, SHORT)
+    got = sorted((r.entity, r.phrase, r.context_len) for r in search.context_phrases(docs, ents).collect())
+    assert got == sorted(_python_phrases(texts, [e for e in SHORT if e]))
+    found = {r.entity for r in search.phrases_found_in(ents, docs, phrase_col="entity").collect()}
+    assert found == {e for e in SHORT if any(e in t for t in texts)}
+
+
+def test_entities_without_words_equal_python(spark):
+    texts = [PARAGRAPH, "a!!b", "a !! b", "x\nY", "--", "", "é"]
+    ents = SHORT + ["!!", '"!!"', " !! ", ", ", "\n", '""', "--", "É"]
+    docs, es = _frames(spark, texts, ents)
+    for key in ("longest", "rarest"):
+        got = {(r.doc_id, r.entity_id) for r in search.entity_mentions(docs, es, key=key).collect()}
+        assert got == _python_hits(texts, ents)
+
+
+def test_no_nested_loop_in_any_search_plan(spark, sf):
+    from corpuslens.plans import registry
+    qs = registry.all_queries()
+    for threshold in ("10485760", "-1"):
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            for name in ("leakage_pairs", "leakage_detail", "epo_phrases", "epo_counts", "epo_found_phrases", "epo_overlap_ratio", "leakage_pairs_rarest_key"):
+                plan = qs[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+                assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_stream_search_is_stateless(spark, sf):
+    import pytest
+    docs = spark.readStream.schema(spark.read.parquet(f"{sf}/documents.parquet").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    ents = spark.createDataFrame([(1, "the"), (2, "!!")], "entity_id long, entity string")
+    plan = search.entity_mentions(docs, ents)._jdf.queryExecution().logical().toString()
+    hits = search.entity_mentions(docs, ents)
+    q = hits.writeStream.format("memory").queryName("stateless_hits").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert not q.lastProgress["stateOperators"] and plan
+    with pytest.raises(ValueError):
+        search.entity_mentions(docs, ents, key="rarest")
+    with pytest.raises(ValueError):
+        search.context_phrases(docs, ents)

@@ -24,7 +24,7 @@ def test_random_entities_match_python_re(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     es = spark.createDataFrame(list(enumerate(ents)), "entity_id long, entity string")
     got = {(r.doc_id, r.entity_id) for r in search.entity_mentions(docs, es).collect()}
-    got0 = {(r.doc_id, r.entity_id) for r in search.entity_mentions(docs, es, broadcast_rows=0).collect()}
+    got0 = {(r.doc_id, r.entity_id) for r in search.entity_mentions(docs, es).collect()}
     exp = set()
     for i, t in enumerate(texts):
         for j, e in enumerate(ents):
