@@ -84,10 +84,10 @@ def nested_split(df: DataFrame, id_col: str, *, keep_ratio: float = 0.9, train_r
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
-    """Seeded shuffle then first ``n`` rows (``n = -1`` keeps all), i.e. the
-    rows with the ``n`` smallest seeded keys (a top-n, not a sort)."""
+    """Seeded shuffle then first ``n`` rows: those with the ``n`` smallest
+    seeded keys (a top-n, not a sort); ``n = -1`` keeps all, range-sorted."""
     if n < 0:
-        return df
+        return df.withColumn("_key", seeded_key(id_col, seed)).orderBy("_key").drop("_key")
     return (df.withColumn("_key", seeded_key(id_col, seed)).orderBy("_key").limit(n).drop("_key"))
 
 

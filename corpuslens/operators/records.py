@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_paragraphs
-from ..session import bounded_broadcast, join_scalars
+from ..session import join_scalars
 
 
 # ---------------------------------------------------------------------------
@@ -24,16 +24,18 @@ def first_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     return picked.select("_r.*")
 
 
-def top_k_values(df: DataFrame, array_col: str, k: int) -> DataFrame:
-    """(value, cnt, rank) of the k most frequent array elements (ties: value)."""
-    counts = df.select(F.explode(array_col).alias("value")).groupBy("value").agg(F.count("*").alias("cnt"))
-    top = counts.orderBy(F.desc("cnt"), "value").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "value")))
+def top_k_values(df: DataFrame, array_col: str, k: int, order_col: str) -> DataFrame:
+    """(value, cnt, rank) of the k most frequent array elements; ties keep the
+    order of first appearance (by ``order_col``, then place in the array)."""
+    seen = df.select(F.col(order_col).alias("_o"), F.posexplode(array_col).alias("_p", "value"))
+    counts = seen.groupBy("value").agg(F.count("*").alias("cnt"), F.min(F.struct("_o", "_p")).alias("_first"))
+    top = counts.orderBy(F.desc("cnt"), "_first").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "_first"))).drop("_first")
 
 
-def keep_top_codes(df: DataFrame, array_col: str, k: int) -> DataFrame:
+def keep_top_codes(df: DataFrame, array_col: str, k: int, order_col: str) -> DataFrame:
     """Rows whose codes intersect the k most frequent codes, codes pruned to those."""
-    top = top_k_values(df, array_col, k).agg(F.collect_list("value").alias("_top"))  # k values
+    top = top_k_values(df, array_col, k, order_col).agg(F.collect_list("value").alias("_top"))  # k values
     j = join_scalars(df, top)
     return (j.filter(F.arrays_overlap(array_col, "_top"))
             .withColumn(array_col, F.filter(array_col, lambda x: F.array_contains(F.col("_top"), x)))
@@ -96,11 +98,11 @@ def annotation_mentions(df: DataFrame, ann_col: str = "annotations", id_col: str
                         types: list[str] | None = None, first_annotator_only: bool = False) -> DataFrame:
     """(doc_id, annotator, pos, entity_type, identifier_type, span_text) from
     ``map<annotator, struct<entity_mentions: array<struct<...>>>>``; all
-    annotators (duplicates kept) or only the first one (smallest key)."""
-    ex = df.select(id_col, F.explode(ann_col).alias("annotator", "_a"))
+    annotators (duplicates kept) or only the first one in the record."""
+    entries = F.map_entries(ann_col)
     if first_annotator_only:
-        first = ex.groupBy(id_col).agg(F.min("annotator").alias("annotator"))
-        ex = ex.join(first, [id_col, "annotator"])
+        entries = F.slice(entries, 1, 1)
+    ex = df.select(id_col, F.explode(entries).alias("_e")).select(id_col, F.col("_e.key").alias("annotator"), F.col("_e.value").alias("_a"))
     m = ex.select(id_col, "annotator", F.posexplode("_a.entity_mentions").alias("pos", "_m")).select(
         id_col, "annotator", "pos", "_m.entity_type", "_m.identifier_type", "_m.span_text")
     if types is not None:
@@ -180,13 +182,13 @@ def round_robin(df: DataFrame, author: str, id_col: str, draws: DataFrame) -> Da
 def poisson_author_sample(df: DataFrame, author: str, id_col: str, *, q: float, rounds: int,
                           seed: int = 0) -> DataFrame:
     """Each round draws every author independently with probability ``q``
-    (md5-uniform) and takes that author's next record round-robin:
-    (round, author, id)."""
+    (md5-uniform) and takes that author's next record round-robin (the first
+    draw of an author takes its first record): (round, author, id)."""
     authors = df.select(author).distinct()
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(author).cast("string"),
                                              F.col("round").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     drawn = (authors.select(author, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-             .filter(u < q).withColumn("k", F.col("round")))
+             .filter(u < q).withColumn("k", F.row_number().over(Window.partitionBy(author).orderBy("round")) - 1))
     return round_robin(df, author, id_col, drawn).select("round", author, id_col)
 
 
@@ -213,6 +215,3 @@ def pack_prompt_target(ctx: Column, target: Column, seq_len: int, pad_id: int =
     plab = F.slice(F.concat(F.array_repeat(F.lit(-100), pad), labels), 1, seq_len)
     mask = F.slice(F.concat(F.array_repeat(F.lit(0), pad), F.array_repeat(F.lit(1), F.size(ids))), 1, seq_len)
     return pid, plab, mask
-
-
-__all__ = ["bounded_broadcast"]

@@ -115,21 +115,25 @@ def _codes(spark, sf):
     return RC.group_records(li, "l_orderkey", "_o", [], ["code"]).withColumnRenamed("code", "codes")
 
 
+# the most frequent codes; of equal counts the one that appears first
+_TOP_SQL = f"""
+SELECT value, count(*) AS cnt, min(l_orderkey * 1000 + place) AS seen FROM (
+  SELECT l_orderkey, unnest(codes) AS value, unnest(range(0, len(codes))) AS place FROM {_CODES_SQL}) GROUP BY value
+ORDER BY cnt DESC, seen LIMIT 10"""
+
+
 @register("top_codes", f"""
-SELECT value, cnt, row_number() OVER (ORDER BY cnt DESC, value) AS rank FROM (
-  SELECT value, count(*) AS cnt FROM (SELECT unnest(codes) AS value FROM {_CODES_SQL}) GROUP BY value
-  ORDER BY cnt DESC, value LIMIT 10)""")
+SELECT value, cnt, row_number() OVER (ORDER BY cnt DESC, seen) AS rank FROM ({_TOP_SQL})""")
 def top_codes(spark, sf):
-    return RC.top_k_values(_codes(spark, sf), "codes", 10)
+    return RC.top_k_values(_codes(spark, sf), "codes", 10, "l_orderkey")
 
 
 @register("keep_top_codes", f"""
-WITH top AS (SELECT list(value) AS t FROM (SELECT value, count(*) AS cnt FROM
-              (SELECT unnest(codes) AS value FROM {_CODES_SQL}) GROUP BY value ORDER BY cnt DESC, value LIMIT 10))
+WITH top AS (SELECT list(value) AS t FROM ({_TOP_SQL}))
 SELECT l_orderkey, array_to_string(list_filter(codes, lambda x: list_contains(t, x)), ',') AS codes
 FROM {_CODES_SQL}, top WHERE len(list_intersect(codes, t)) > 0""")
 def keep_top_codes(spark, sf):
-    out = RC.keep_top_codes(_codes(spark, sf), "codes", 10)
+    out = RC.keep_top_codes(_codes(spark, sf), "codes", 10, "l_orderkey")
     return out.select("l_orderkey", F.array_join("codes", ",").alias("codes"))
 
 
@@ -282,10 +286,11 @@ def round_robin(spark, sf):
 WITH m AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position,
                   count(*) OVER (PARTITION BY user_id) AS n FROM events),
 a AS (SELECT DISTINCT user_id, n FROM m),
-d AS (SELECT user_id, n, r FROM (SELECT user_id, n, unnest(range(0, 5)) AS r FROM a)
+d AS (SELECT user_id, n, r, row_number() OVER (PARTITION BY user_id ORDER BY r) - 1 AS k
+      FROM (SELECT user_id, n, unnest(range(0, 5)) AS r FROM a)
       WHERE ('0x' || substr(md5('0:' || CAST(user_id AS VARCHAR) || ':' || CAST(r AS VARCHAR)), 1, 8))::BIGINT
             / 4294967296.0 < 0.1)
-SELECT d.r AS round, d.user_id, m.event_id FROM d JOIN m ON m.user_id = d.user_id AND m.position = (d.r % d.n) + 1""")
+SELECT d.r AS round, d.user_id, m.event_id FROM d JOIN m ON m.user_id = d.user_id AND m.position = (d.k % d.n) + 1""")
 def poisson_sample(spark, sf):
     ev = roles.table(spark, sf, "events")
     return RC.poisson_author_sample(ev, "user_id", "event_id", q=0.1, rounds=5)

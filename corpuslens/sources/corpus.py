@@ -100,9 +100,8 @@ def ingest_csvs(spark: SparkSession, paths: list[str], text_col: str, *, sample_
           .option("mode", "DROPMALFORMED").csv(paths))
     df = df.filter(F.col(text_col).isNotNull()).withColumn(
         "_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(text_col))))
-    if sample_size >= 0:
-        df = df.orderBy("_key").limit(sample_size)
-    return df.drop("_key")
+    df = df.orderBy("_key")
+    return (df.limit(sample_size) if sample_size >= 0 else df).drop("_key")
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

@@ -99,3 +99,51 @@ def test_sentences(spark):
     r = CO.sentences(df).first()
     assert r.sentences == [["hello", "there", "."], ["how", "are", "you", "?"], ["fine", "!"]] or \
         [len(s) for s in r.sentences] == [3, 4, 2]
+
+
+def test_first_annotator_is_the_first_in_the_record(spark, tmp_path):
+    import json
+
+    from corpuslens.operators import records
+    from corpuslens.sources.corpus import read_annotations
+    mention = lambda t, s: {"entity_type": t, "identifier_type": "DIRECT", "span_text": s}
+    rec = {"doc_id": "d1", "text": "Ana met Bo in Rome.", "annotations": {"annotator9": {"entity_mentions": [mention("PERSON", "Ana"), mention("LOC", "Rome"), mention("PERSON", "Bo")]},
+                                                                        "annotator1": {"entity_mentions": [mention("PERSON", "Bo")]}}}
+    (tmp_path / "a.json").write_text(json.dumps([rec]))
+    df = read_annotations(spark, str(tmp_path / "a.json")).withColumn("doc_id", F.lit("d1"))
+    assert records.control_code_lines(df).first().control_codes == "PERSON: Ana, Bo\nLOC: Rome"
+
+
+def test_ties_keep_first_appearance(spark):
+    from collections import Counter
+
+    from corpuslens.operators import records
+    rows = [(1, ["z", "b"]), (2, ["a", "z"]), (3, ["b", "a"]), (4, ["c"])]
+    df = spark.createDataFrame(rows, "id long, codes array<string>")
+    want = [v for v, _ in Counter(x for _, c in rows for x in c).most_common(3)]
+    got = [r.value for r in records.top_k_values(df, "codes", 3, "id").orderBy("rank").collect()]
+    assert got == want == ["z", "b", "a"]
+
+
+def test_author_pointer_advances_only_when_drawn(spark):
+    import hashlib
+
+    from corpuslens.operators import records
+    rows = [(a, 100 * a + k) for a in range(12) for k in range(a % 4 + 1)]
+    df = spark.createDataFrame(rows, "author long, id long")
+    got = sorted(tuple(r) for r in records.poisson_author_sample(df, "author", "id", q=0.5, rounds=9).collect())
+    want, pointer = [], {}
+    for r in range(9):
+        for a in range(12):
+            if int(hashlib.md5(f"0:{a}:{r}".encode()).hexdigest()[:8], 16) / 4294967296.0 < 0.5:
+                own = sorted(i for x, i in rows if x == a)
+                want.append((r, a, own[pointer.get(a, 0) % len(own)]))
+                pointer[a] = pointer.get(a, 0) + 1
+    assert got == sorted(want)
+
+
+def test_seeded_order_without_a_sample_size(spark):
+    from corpuslens.operators import ranking
+    df = spark.range(50)
+    every = [r.id for r in ranking.seeded_sample(df, "id", -1).collect()]
+    assert sorted(every) == list(range(50)) and every != list(range(50)) and every[:7] == [r.id for r in ranking.seeded_sample(df, "id", 7).collect()]
