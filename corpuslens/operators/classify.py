@@ -8,10 +8,10 @@ ratios count as 0, like scikit-learn's defaults.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, join_scalars
+from ..session import join_scalars
 
 
 # ---------------------------------------------------------------------------
@@ -30,6 +30,16 @@ def _literal_regex(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
 
 
+def save_label_map(label_map: DataFrame, path: str) -> None:
+    """Write (label, idx) as JSON lines."""
+    label_map.select("label", "idx").write.mode("overwrite").json(path)
+
+
+def load_label_map(spark: SparkSession, path: str) -> DataFrame:
+    """(label, idx) as ``save_label_map`` wrote it."""
+    return spark.read.schema("label string, idx int").json(path)
+
+
 def label_index(df: DataFrame, label_col: str, multilabel: bool = False, sep: str = ",") -> DataFrame:
     """(label, idx): sorted distinct labels numbered 0..k-1 (binary string order).
 
@@ -44,8 +54,7 @@ def encode_labels(df: DataFrame, label_col: str, label_map: DataFrame, *, multil
                   sep: str = ",", out_col: str = "label_idx", id_col: str = "id") -> DataFrame:
     """Map labels through ``label_map`` (label, idx). Single-label: unseen -> NULL.
     Multilabel: list of indices in value order; an unseen label raises."""
-    lm, _ = bounded_broadcast(label_map.select(F.col("label").cast("string").alias("_lab"),
-                                               F.col("idx").alias("_idx")))
+    lm = label_map.select(F.col("label").cast("string").alias("_lab"), F.col("idx").alias("_idx"))
     if not multilabel:
         return df.join(lm, F.col(label_col).cast("string") == F.col("_lab"), "left") \
             .drop("_lab").withColumnRenamed("_idx", out_col)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, join_scalars
+from ..session import join_scalars, materialise
 
 M = ["doc_key", "start", "end"]
 
@@ -196,13 +196,13 @@ def metric_diff(a: DataFrame, b: DataFrame, key: str = "metric") -> DataFrame:
     return j.select(key, *[(F.col(f"b.{c}") - F.col(f"a.{c}")).alias(f"{c}_diff") for c in cols])
 
 
-def clusters_from_links(links: DataFrame, max_rounds: int = 64, checkpoint_every: int = 4) -> DataFrame:
+def clusters_from_links(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Antecedent links (doc_key, mention, antecedent) -> (doc_key, mention, root).
 
     The antecedent always precedes the mention, so links form a forest; its
     components are the clusters. Pointer jumping: parent := parent(parent)
-    until no pointer moves (<= log2(depth) + 1 rounds). Lineage is cut with a
-    reliable checkpoint every few rounds.
+    until no pointer moves (<= log2(depth) + 1 rounds); raises if ``max_rounds`` do
+    not suffice. Each round is written to the shared scratch folder.
     """
     nodes = links.select("doc_key", "mention", F.col("antecedent").alias("parent")).unionByName(
         links.select("doc_key", F.col("antecedent").alias("mention"), F.col("antecedent").alias("parent"))
@@ -210,18 +210,17 @@ def clusters_from_links(links: DataFrame, max_rounds: int = 64, checkpoint_every
     # a mention that is only an antecedent points to itself; one with a link
     # points to its antecedent (which precedes it, hence is smaller)
     cur = nodes
-    for rnd in range(max_rounds):
+    for _ in range(max_rounds):
         up = cur.select("doc_key", F.col("mention").alias("parent"), F.col("parent").alias("grand"))
         nxt = cur.join(up, ["doc_key", "parent"], "left").select(
             "doc_key", "mention", F.coalesce("grand", "parent").alias("parent"))
-        if (rnd + 1) % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
+        nxt = materialise(nxt, "pointers")  # read by the next round and by the test for moves
         moved = nxt.join(cur.withColumnRenamed("parent", "_old"), ["doc_key", "mention"]) \
             .filter(F.col("parent") != F.col("_old")).limit(1).count()
         cur = nxt
         if moved == 0:
-            break
-    return cur.withColumnRenamed("parent", "root")
+            return cur.withColumnRenamed("parent", "root")
+    raise RuntimeError(f"links did not converge in {max_rounds} rounds")
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
-from ..session import join_scalars
+from ..session import join_scalars, materialise
 from .classify import argmax_label, multiclass_metrics
 
 # Short stop-word list for topic preprocessing.
@@ -36,15 +36,18 @@ def topic_tokens(text: Column, stopwords=TOPIC_STOPWORDS, min_len: int = 3) -> C
 
 
 def topic_model(docs: DataFrame, *, text_col: str = "text", k: int = 3, max_iter: int = 10,
-                n_words: int = 5, vocab_size: int = 1 << 16, seed: int = 7):
+                n_words: int = 5, vocab_size: int | None = None, seed: int = 7):
     """LDA (online) on bag-of-words; returns (model, vocabulary, featurised docs,
-    topics table (topic, rank, term, weight))."""
+    topics table (topic, rank, term, weight)). ``vocab_size`` None keeps every
+    term; the features are written once and read by every iteration."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    toks = docs.select("*", topic_tokens(F.col(text_col)).alias("_tok"))
+    toks = materialise(docs.select("*", topic_tokens(F.col(text_col)).alias("_tok")), "topic-tokens")
+    if vocab_size is None:
+        vocab_size = max(1, toks.select(F.explode("_tok").alias("t")).distinct().count())
     cv = CountVectorizer(inputCol="_tok", outputCol="features", vocabSize=vocab_size).fit(toks)
-    feats = cv.transform(toks)
+    feats = materialise(cv.transform(toks), "topic-features")
     lda = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed).fit(feats)
     vocab = cv.vocabulary
     spark = docs.sparkSession

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import ws_tokens
-from ..session import bounded_broadcast, join_scalars
+from ..session import join_scalars, materialise
+from .tiles import tile_apply
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -162,7 +164,7 @@ def mauve_from_histogram(hist: DataFrame, *, cluster: str = "cluster", corpus: s
     return seg.agg(F.sum((F.col("x") - F.col("x0")) * (F.col("y") + F.col("y0")) / 2).alias("mauve"))
 
 
-def mauve(syn: DataFrame, real: DataFrame, *, col: str = "embedding", k: int | None = None,
+def mauve(syn: DataFrame, real: DataFrame, *, col: str = "embedding", k: int,
           pca_dims: int | None = None, seed: int = 25, max_iter: int = 50) -> DataFrame:
     """MAUVE: quantise the union of both embedding sets with k-means (optional
     PCA first), histogram each side over the clusters, take the frontier area."""
@@ -178,9 +180,6 @@ def mauve(syn: DataFrame, real: DataFrame, *, col: str = "embedding", k: int | N
     if pca_dims:
         u = PCA(k=pca_dims, inputCol="features", outputCol="pca").fit(u).transform(u)
         feats = "pca"
-    if k is None:
-        n = u.count()
-        k = max(2, n // 10)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=feats, predictionCol="cluster").fit(u)
     hist = model.transform(u).groupBy("cluster", "corpus").agg(F.count("*").alias("cnt"))
     return mauve_from_histogram(hist)
@@ -261,54 +260,50 @@ def perplexity_from_losses(losses: DataFrame, *, key: str = "seq_id", loss: str
 # Nearest real neighbour, shared entities
 
 
-def nearest_real(syn: DataFrame, real: DataFrame, *, col: str = "embedding", id_col: str = "vec_id",
-                 max_broadcast_rows: int = 200_000, block_rows: int = 50_000) -> DataFrame:
-    """Exact nearest real row (cosine) for every synthetic row: (syn_id, real_id, cosine).
+def nearest_real(syn: DataFrame, real: DataFrame, *, col: str = "embedding", id_col: str = "vec_id", k: int = 1,
+                 syn_rows: int = 4096, real_rows: int = 16_384, fan: int = 32) -> DataFrame:
+    """The k nearest real rows (cosine) of every synthetic row, exactly:
+    (syn_id, rank, real_id, cosine), ties to the smaller id.
 
-    Real rows are unit-normalised and scored in Arrow batches against a block
-    of real rows. When the real side is small (checked) it is one broadcast
-    block; otherwise it is split into hash blocks of about ``block_rows``
-    rows, every synthetic row is scored against each block (a replicated join
-    on the block id; exact search is inherently n_syn x n_real work) and the
-    per-block winners are reduced per synthetic row. Ties: smallest id.
+    Tiles of unit-normalised rows are multiplied; each keeps k rows a synthetic
+    row, and the lists are merged ``fan`` at a time. Join the real ids back to
+    the corpus for the texts.
     """
-    r = real.select(F.col(id_col).alias("rid"), F.col(col).cast("array<double>").alias("rv"))
-    s = syn.select(F.col(id_col).alias("sid"), F.col(col).cast("array<double>").alias("sv"))
-    _, small = bounded_broadcast(r, max_broadcast_rows)
-    nb = 1 if small else -(-r.count() // block_rows)
-    rb = r.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(nb)))
-    packed = rb.groupBy("block").agg(F.collect_list(F.struct("rid", "rv")).alias("rows"))
-    if small:
-        packed = F.broadcast(packed)
-    sb = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("block"))
-    j = sb.join(packed, "block")
-
-    def best(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            out_s, out_r, out_c = [], [], []
-            for _, grp in pdf.groupby("block", sort=False):
-                rows = grp["rows"].iloc[0]
-                rid = np.array([x["rid"] for x in rows])
-                R = np.stack([np.asarray(x["rv"], dtype=np.float64) for x in rows])
-                R = R / np.maximum(np.linalg.norm(R, axis=1, keepdims=True), 1e-300)
-                S = np.stack(grp["sv"].to_numpy()).astype(np.float64)
-                S = S / np.maximum(np.linalg.norm(S, axis=1, keepdims=True), 1e-300)
-                sim = S @ R.T
-                best_val = sim.max(axis=1)
-                # smallest id among the maxima
-                masked = np.where(sim >= best_val[:, None], rid[None, :], np.iinfo(np.int64).max)
-                best_id = masked.min(axis=1)
-                out_s.extend(grp["sid"].tolist())
-                out_r.extend(best_id.tolist())
-                out_c.extend(best_val.tolist())
-            yield pd.DataFrame({"syn_id": out_s, "real_id": out_r, "cosine": out_c})
-
-    per_block = j.mapInPandas(best, "syn_id long, real_id long, cosine double")
-    return per_block.groupBy("syn_id").agg(
-        F.max(F.struct("cosine", (-F.col("real_id")).alias("neg"))).alias("b")) \
-        .select("syn_id", (-F.col("b.neg")).alias("real_id"), F.col("b.cosine").alias("cosine"))
+    rows = lambda df: materialise(df.select(F.col(id_col).alias("id"), F.col(col).cast("array<double>").alias("v")), "vectors")
+    s, r = rows(syn), rows(real)
+
+    def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = t.column("id").to_numpy()
+        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")
+        return ids[order], v[order] / np.maximum(np.linalg.norm(v[order], axis=1, keepdims=True), 1e-300)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], []]
+        if a.num_rows and b.num_rows:
+            part = b.column("_j")[0].as_py()
+            (ids, x), (near, y) = unit(a), unit(b)
+            for at in range(0, len(ids), 256):
+                for i, row in zip(ids[at:at + 256], x[at:at + 256] @ y.T):
+                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else row.min()
+                    top = np.flatnonzero(row >= least)
+                    top = top[np.argsort(-row[top], kind="stable")][:k]
+                    for values, more in zip(out, ([i] * len(top), near[top].tolist(), row[top].tolist(), [part] * len(top))):
+                        values += more
+        return pa.table({"syn_id": pa.array(out[0], pa.int64()), "real_id": pa.array(out[1], pa.int64()),
+                         "cosine": pa.array(out[2], pa.float64()), "part": pa.array(out[3], pa.int64())})
+
+    found = tile_apply(s, r, best, "syn_id long, real_id long, cosine double, part long", left_key="id", right_key="id",
+                       left_rows=syn_rows, right_rows=real_rows)
+    parts = max(1, -(-r.count() // real_rows))
+    while True:
+        parts = -(-parts // fan)
+        found = found.withColumn("part", F.expr(f"part div {fan}"))
+        order = Window.partitionBy("syn_id", "part").orderBy(F.desc("cosine"), "real_id")
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if parts == 1:
+            return found.select("syn_id", "rank", "real_id", "cosine")
+        found = found.drop("rank")
 
 
 def shared_entities(syn_mentions: DataFrame, ref_mentions: DataFrame) -> DataFrame:

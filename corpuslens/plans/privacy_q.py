@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import privacy, search
 from . import roles
 from .catalog import ENTS, REF, SYN, leak_hits, phrases_of, register
@@ -86,9 +84,6 @@ def epo_found_phrases(spark, sf):
     return search.phrases_found_in(ph.select("phrase"), roles.ref_docs(spark, sf))
 
 
-__all__ = ["F"]
-
-
 @register("leakage_pairs_rarest_key", leak_hits("documents") + "SELECT doc_id, entity_id, entity FROM hits")
 def leakage_pairs_rarest_key(spark, sf):
     """Same hits as ``leakage_pairs``, keyed on each entity's rarest word."""

@@ -1,4 +1,4 @@
-"""Session helpers: building a session, lineage cuts and size-checked broadcasts."""
+"""Session helpers: building a session, shared scratch tables, one-row aggregates."""
 
 from __future__ import annotations
 
@@ -8,14 +8,9 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows above which a side is never broadcast, whatever its byte size.
-DEFAULT_BROADCAST_ROWS = 200_000
-
-
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "corpuslens") -> SparkSession:
     """Return the active session or build one configured for this library.
@@ -56,17 +51,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder is made; on a cluster executors could not see a folder of
     the driver's machine, so the setting is required there.
     """
+    sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        conf_dir = tempfile.mkdtemp(prefix="corpuslens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    jsc = spark.sparkContext._jsc
-    current = jsc.sc().getCheckpointDir()
+    current = sc._jsc.sc().getCheckpointDir()
+    if conf_dir:
+        if current.isEmpty():
+            sc.setCheckpointDir(conf_dir)
+        return conf_dir
     if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(conf_dir)
-    return conf_dir
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-ckpt-"))
+        current = sc._jsc.sc().getCheckpointDir()
+    return current.get()
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -102,17 +99,6 @@ def ship_package(spark: SparkSession) -> None:
     sc._corpuslens_shipped = True
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def persist(df: DataFrame) -> DataFrame:
-    """Keep a reused intermediate; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def join_scalars(*frames: DataFrame) -> DataFrame:
     """Attach single-row aggregates to the first frame as scalar subqueries.
 
@@ -128,29 +114,3 @@ def join_scalars(*frames: DataFrame) -> DataFrame:
         out = out.withColumn(name, packed).select(
             *keep, *[F.col(name).getField(c).alias(c) for c in f.columns])
     return out
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a frame that arrives in fewer partitions than the cluster
-    has cores (e.g. one large row group), so CPU-heavy text work runs on every
-    core. Inputs that are already split (the normal case at scale) pass
-    through untouched, without a shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    # round-robin: no partitioning expression, so column pruning and filters
-    # still reach the scan below it (Spark sorts before a round-robin
-    # repartition to keep it deterministic on retry)
-    return df.repartition(target)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when a row count proves it is small.
-
-    Returns ``(frame, is_broadcast)``; callers take a shuffle-join plan when the
-    frame is too big. The count is an action on the (usually small) side.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False

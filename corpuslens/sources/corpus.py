@@ -10,32 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.records import rank_within
-from ..session import join_scalars, spread
+from ..session import join_scalars
 
 
 def load_corpus(spark: SparkSession, src, fmt: str = "parquet", *, text_col: str = "text",
-                id_col: str = "doc_id", schema=None) -> DataFrame:
+                id_col: str = "doc_id", schema=None, multi_line: bool = False) -> DataFrame:
     """(doc_id, text) from a path (csv / parquet / json) or a DataFrame.
 
-    CSV is read with a header, quoted multi-line fields and ``"`` escapes. A
-    missing id column is derived with ``monotonically_increasing_id`` (unique,
+    CSV is read with a header and ``"`` escapes; fields with line breaks need
+    ``multi_line`` (such a file is one task). JSON needs a schema. A missing id column is derived with ``monotonically_increasing_id`` (unique,
     not consecutive). The text column must be a string; NULL texts are dropped.
     """
     if isinstance(src, DataFrame):
         df = src
     elif fmt == "csv":
-        r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         df = (r.schema(schema) if schema is not None else r).csv(src)
     elif fmt == "json":
-        df = spark.read.json(src, schema=schema) if schema is not None else spark.read.json(src)
+        if schema is None:
+            raise ValueError("JSON needs a schema: inferring one reads the whole corpus")
+        df = spark.read.json(src, schema=schema)
     else:
         df = spark.read.parquet(src)
     if not isinstance(df.schema[text_col].dataType, T.StringType):
         raise TypeError(f"text column {text_col!r} must be a string")
     if id_col not in df.columns:
         df = df.withColumn(id_col, F.monotonically_increasing_id())
-    out = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    return spread(out)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
 
 
 def read_splits(spark: SparkSession, base: str, splits=("train", "validation", "test", "synthetic"),

@@ -2,7 +2,7 @@
 
 Entity search and the discard filter are stateless per document, so the
 batch operators apply unchanged to a streaming DataFrame: the entity table
-is static (size-checked broadcast, stream-static join) and each micro-batch
+is static (stream-static join, no state) and each micro-batch
 is searched as it arrives. Output goes to any sink; the checkpoint lives
 under the session's ``spark.checkpoint.dir``.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.filters import discard_filter
 from ..operators.search import entity_mentions
@@ -39,25 +38,21 @@ def filter_stream(stream: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     return discard_filter(stream, text_col, **kw)
 
 
-def start(df: DataFrame, name: str, *, sink: str = "memory", path: str | None = None,
+def start(df: DataFrame, name: str, *, path: str, sink: str = "parquet",
           available_now: bool = True, output_mode: str = "append"):
-    """Start a query with a checkpoint under ``spark.checkpoint.dir/streams/<name>``."""
+    """Start a query into files at ``path``, with a checkpoint under
+    ``spark.checkpoint.dir/streams/<name>``."""
     base = ensure_checkpoint_dir(df.sparkSession)
     w = (df.writeStream.outputMode(output_mode).queryName(name)
          .option("checkpointLocation", os.path.join(base, "streams", name)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    if sink == "memory":
-        return w.format("memory").start()
     return w.format(sink).option("path", path).start()
 
 
-def leakage_monitor(spark: SparkSession, path: str, schema, entities: DataFrame, name: str = "leakage",
+def leakage_monitor(spark: SparkSession, path: str, schema, entities: DataFrame, out: str, name: str = "leakage",
                     glob: str | None = None):
-    """Run the leakage search over all files in ``path`` (availableNow) into a
-    memory table ``name``; returns the finished query."""
-    q = start(leakage_stream(document_stream(spark, path, schema, glob=glob), entities), name)
+    """Run the leakage search over all files in ``path`` (availableNow) into
+    parquet files at ``out``; returns the finished query."""
+    q = start(leakage_stream(document_stream(spark, path, schema, glob=glob), entities), name, path=out)
     q.awaitTermination()
     return q
-
-
-__all__ = ["F"]

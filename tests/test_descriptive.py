@@ -85,7 +85,7 @@ def test_jaccard_brute_force(spark, sf):
     brute = np.mean([len(p & q) / len(p | q) for p in a for q in b])
     got = S.jaccard_mean(syn, ref).first().jaccard
     assert abs(got - brute) < 1e-9
-    got_join = S.jaccard_mean(syn, ref, hot_df=3, salt=4, index_rows=0).first().jaccard
+    got_join = S.jaccard_mean(syn, ref, left_rows=7, right_rows=5).first().jaccard
     assert abs(got_join - brute) < 1e-9
 
 

@@ -43,9 +43,10 @@ def test_filter_stream_matches_batch(spark, sf, tmp_path):
     shutil.copy(f"{sf}/documents.parquet", src / "part-0.parquet")
     batch_df = spark.read.parquet(str(src)).select("doc_id", "text")
     stream = monitor.document_stream(spark, str(src), spark.read.parquet(str(src)).schema).select("doc_id", "text")
-    q = monitor.start(monitor.filter_stream(stream, "text"), "filter_test")
+    out = str(tmp_path / "out")
+    q = monitor.start(monitor.filter_stream(stream, "text"), "filter_test", path=out)
     q.awaitTermination()
-    streamed = {(r.doc_id, r.keep, r.reason) for r in spark.sql("SELECT * FROM filter_test").collect()}
+    streamed = {(r.doc_id, r.keep, r.reason) for r in spark.read.parquet(out).collect()}
     from corpuslens.operators.filters import discard_filter
     batch = {(r.doc_id, r.keep, r.reason) for r in discard_filter(batch_df, "text").collect()}
     assert streamed == batch

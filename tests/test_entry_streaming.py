@@ -30,7 +30,7 @@ def test_stream_equals_batch(spark, sf):
     docs = spark.read.parquet(src)
     ents = spark.read.parquet(f"{sf}/benchmark.parquet").select(
         F.col("item_id").alias("entity_id"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("entity"))
-    monitor.leakage_monitor(spark, src, docs.schema, ents, name="leak_test")
-    streamed = {tuple(r) for r in spark.sql("SELECT doc_id, entity_id, entity FROM leak_test").collect()}
+    monitor.leakage_monitor(spark, src, docs.schema, ents, os.path.join(d, "out"), name="leak_test")
+    streamed = {tuple(r) for r in spark.read.parquet(os.path.join(d, "out")).select("doc_id", "entity_id", "entity").collect()}
     batch = {tuple(r) for r in search.entity_mentions(docs, ents).collect()}
     assert streamed == batch and len(batch) > 0

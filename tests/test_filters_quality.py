@@ -62,7 +62,7 @@ def test_nearest_real_block_path(spark):
     an = a / np.linalg.norm(a, axis=1, keepdims=True)
     bn = b / np.linalg.norm(b, axis=1, keepdims=True)
     exp = (an @ bn.T).argmax(axis=1)
-    for kw in ({}, {"max_broadcast_rows": 5, "block_rows": 7}):
+    for kw in ({}, {"syn_rows": 5, "real_rows": 7, "fan": 2}):
         got = {r.syn_id: r.real_id for r in Q.nearest_real(da, db, **kw).collect()}
         assert got == {i: int(exp[i]) for i in range(30)}
 

@@ -21,7 +21,7 @@ def test_splits_and_corpus_csv(spark):
     df = S.read_splits(spark, d)
     assert df.count() == 8 and set(r.split for r in df.select("split").distinct().collect()) == {
         "train", "validation", "test", "synthetic"}
-    c = S.load_corpus(spark, os.path.join(d, "train.csv"), fmt="csv", id_col="id")
+    c = S.load_corpus(spark, os.path.join(d, "train.csv"), fmt="csv", id_col="id", multi_line=True)
     texts = sorted(r.text for r in c.collect())
     assert texts[0] == 'a "quoted"\nmulti-line text'
 
