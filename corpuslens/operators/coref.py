@@ -29,47 +29,37 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("doc_key", "cluster").agg(F.count("*").alias("size"))
 
 
-def _linked(side: DataFrame, other: DataFrame) -> DataFrame:
-    """side mentions with the other side's cluster (NULL when absent) and sizes."""
-    mm = mention_map(other)
-    osz = cluster_sizes(other).withColumnRenamed("cluster", "other").withColumnRenamed("size", "osize")
-    sz = cluster_sizes(side)
-    return (side.join(mm, M, "left").join(sz, ["doc_key", "cluster"])
-            .join(osz, ["doc_key", "other"], "left"))
-
-
-def muc_counts(side: DataFrame, other: DataFrame) -> DataFrame:
-    """One row (num, den): sum over clusters of (|c| - missing - linked) and (|c| - 1)."""
-    per = _linked(side, other).groupBy("doc_key", "cluster").agg(
-        F.count("*").alias("size"), F.count_if(F.col("other").isNull()).alias("missing"),
-        F.count_distinct("other").alias("linked"))
-    return per.agg(F.sum(F.col("size") - F.col("missing") - F.col("linked")).cast("double").alias("num"),
-                   F.sum(F.col("size") - 1).cast("double").alias("den"))
-
-
-def b_cubed_counts(side: DataFrame, other: DataFrame) -> DataFrame:
-    """One row (num, den): clusters of size 1 skipped; other-side singletons not credited."""
-    j = _linked(side, other).filter(F.col("size") > 1)
-    cnt = (j.filter(F.col("other").isNotNull() & (F.col("osize") != 1))
-           .groupBy("doc_key", "cluster", "size", "other").agg(F.count("*").alias("cnt")))
-    correct = cnt.groupBy("doc_key", "cluster", "size").agg(F.sum(F.col("cnt") * F.col("cnt")).alias("correct"))
-    num = correct.agg(F.sum(F.col("correct") / F.col("size")).alias("num"))
-    den = cluster_sizes(side).filter(F.col("size") > 1).agg(F.sum("size").cast("double").alias("den"))
-    return join_scalars(num, den).select(F.coalesce("num", F.lit(0.0)).alias("num"),
-                                         F.coalesce("den", F.lit(0.0)).alias("den"))
-
-
-def lea_counts(side: DataFrame, other: DataFrame) -> DataFrame:
-    """One row (num, den): LEA link-based entity-aware score parts."""
-    j = _linked(side, other).filter(F.col("size") > 1)
-    cnt = (j.filter(F.col("other").isNotNull())
-           .groupBy("doc_key", "cluster", "size", "other").agg(F.count("*").alias("cnt")))
-    common = cnt.groupBy("doc_key", "cluster", "size").agg(
-        F.sum(F.col("cnt") * (F.col("cnt") - 1) / 2).alias("common"))
-    num = common.agg(F.sum(F.col("size") * F.col("common") / (F.col("size") * (F.col("size") - 1) / 2)).alias("num"))
-    den = cluster_sizes(side).filter(F.col("size") > 1).agg(F.sum("size").cast("double").alias("den"))
-    return join_scalars(num, den).select(F.coalesce("num", F.lit(0.0)).alias("num"),
-                                         F.coalesce("den", F.lit(0.0)).alias("den"))
+def link_counts(side: DataFrame, other: DataFrame) -> DataFrame:
+    """One row with the numerator and denominator of MUC, B-cubed and LEA for
+    the clusters of ``side``, from one table of overlaps with ``other``.
+
+    MUC: sums of (|c| - missing - linked) and (|c| - 1). B-cubed and LEA skip
+    clusters of one mention; B-cubed gives no credit for the other side's.
+    """
+    sizes = cluster_sizes(other).select("doc_key", F.col("cluster").alias("other"), F.col("size").alias("osize"))
+    overlap = (side.join(mention_map(other), M, "left").groupBy("doc_key", "cluster", "other").agg(F.count("*").alias("cnt"))
+               .join(sizes, ["doc_key", "other"], "left"))
+    met, cnt = F.col("other").isNotNull(), F.col("cnt")
+    per = overlap.groupBy("doc_key", "cluster").agg(
+        F.sum(cnt).alias("size"), F.sum(F.when(~met, cnt).otherwise(0)).alias("missing"), F.count("other").alias("linked"),
+        F.sum(F.when(met & (F.col("osize") != 1), cnt * cnt).otherwise(0)).alias("correct"),
+        F.sum(F.when(met, cnt * (cnt - 1) / 2).otherwise(0.0)).alias("common"))
+    size, many = F.col("size"), F.col("size") > 1
+    total = lambda c: F.sum(c).cast("double")
+    over_many = lambda c: F.coalesce(total(F.when(many, c)), F.lit(0.0))
+    return per.agg(total(size - F.col("missing") - F.col("linked")).alias("muc_num"), total(size - 1).alias("muc_den"),
+                   over_many(F.col("correct") / size).alias("b_cubed_num"), over_many(size).alias("b_cubed_den"),
+                   over_many(2 * F.col("common") / (size - 1)).alias("lea_num"), over_many(size).alias("lea_den"))
+
+
+def _one(metric: str):
+    def counts(side: DataFrame, other: DataFrame) -> DataFrame:
+        return link_counts(side, other).select(F.col(f"{metric}_num").alias("num"), F.col(f"{metric}_den").alias("den"))
+    counts.__doc__ = f"One row (num, den) of {metric} for the clusters of ``side``."
+    return counts
+
+
+muc_counts, b_cubed_counts, lea_counts = _one("muc"), _one("b_cubed"), _one("lea")
 
 
 def max_assignment(score: np.ndarray) -> float:
@@ -158,11 +148,12 @@ def _prf(p_num, p_den, r_num, r_den):
 
 def coref_scores(pred: DataFrame, gold: DataFrame, with_lea: bool = False) -> DataFrame:
     """(metric, precision, recall, f1) for muc, b_cubed, ceafe and their mean ('avg')."""
-    parts = []
-    for name, fn in (("muc", muc_counts), ("b_cubed", b_cubed_counts)) + ((("lea", lea_counts),) if with_lea else ()):
-        pc = fn(pred, gold).select(F.col("num").alias("p_num"), F.col("den").alias("p_den"))
-        rc = fn(gold, pred).select(F.col("num").alias("r_num"), F.col("den").alias("r_den"))
-        parts.append((name, join_scalars(pc, rc)))
+    p_side, r_side = link_counts(pred, gold), link_counts(gold, pred)
+    both = join_scalars(p_side.select(*[F.col(c).alias(f"p_{c}") for c in p_side.columns]),
+                        r_side.select(*[F.col(c).alias(f"r_{c}") for c in r_side.columns]))
+    both = materialise(both, "link-counts")  # one row, read once for each metric
+    parts = [(name, both.select(*[F.col(f"{s}_{name}_{c}").alias(f"{s}_{c}") for s in "pr" for c in ("num", "den")]))
+             for name in ("muc", "b_cubed", *(("lea",) if with_lea else ()))]
     parts.append(("ceafe", ceafe_counts(pred, gold)))
     rows = None
     for name, df in parts:

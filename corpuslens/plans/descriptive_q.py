@@ -165,6 +165,30 @@ def kl_mean(spark, sf):
     return S.kl_mean(x, y, idf, syn.agg(F.count("*").alias("n")), ref.agg(F.count("*").alias("n")))
 
 
+# every document as counts of the same three terms: all pairs have a finite divergence
+_COUNTED = ("(SELECT doc_id, repeat('alpha ', CAST(1 + n_chars % 4 AS INTEGER)) || repeat('beta ', CAST(1 + doc_id % 5 AS INTEGER)) || repeat('gamma ', "
+            "CAST(1 + length(source) % 3 AS INTEGER)) AS text FROM documents WHERE CAST(substr(source, 4) AS INTEGER) {side} 10)")
+
+
+@register("kl_mean_finite", f"""
+WITH s AS (SELECT doc_id, text FROM {_COUNTED.format(side='>=')}), r AS (SELECT doc_id, text FROM {_COUNTED.format(side='<')}),
+t AS (SELECT unnest(['alpha', 'beta', 'gamma']) AS term),
+sw AS (SELECT doc_id, term, CAST(len(regexp_extract_all(text, term)) AS DOUBLE) AS w FROM s, t),
+rw AS (SELECT doc_id, term, CAST(len(regexp_extract_all(text, term)) AS DOUBLE) AS w FROM r, t),
+sx AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM sw),
+rx AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM rw),
+p AS (SELECT sx.doc_id AS i, rx.doc_id AS j, sum(sx.x * ln(sx.x / rx.x) - sx.x + rx.x) AS kl FROM sx JOIN rx USING (term) GROUP BY ALL)
+SELECT round(avg(kl), 6) AS kl, CAST(0 AS DOUBLE) AS inf_pair_share FROM p""")
+def kl_mean_finite(spark, sf):
+    """Every term has idf 1 here (all documents hold all terms), so the twin needs none."""
+    times = lambda w, n: F.repeat(F.lit(w), (1 + n).cast("int"))
+    docs = roles.documents(spark, sf)
+    text = F.concat(times("alpha ", F.col("n_chars") % 4), times("beta ", F.col("doc_id") % 5), times("gamma ", F.length("source") % 3))
+    syn, ref = (docs.filter(side).select("doc_id", text.alias("text")) for side in (roles.is_syn(), ~roles.is_syn()))
+    x, y, idf = S.tfidf(syn, ref)
+    return S.kl_mean(x, y, idf, syn.agg(F.count("*").alias("n")), ref.agg(F.count("*").alias("n")), with_inf_share=True)
+
+
 @register("kl_inf_share", "WITH " + TFIDF + "," + KL_INF + "SELECT round(s, 6) AS inf_pair_share FROM share")
 def kl_inf_share(spark, sf):
     x, y, idf = _tfidf(spark, sf)
