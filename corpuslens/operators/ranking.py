@@ -93,13 +93,13 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFram
 
 def bootstrap_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` draws with replacement: draw d picks the row of rank
-    ``pmod(hash(seed, d), N) + 1`` (rank by the seeded key). Output keeps a
+    ``md5(seed:d) mod N + 1`` (first 32 bits; rank by the seeded key). Output keeps a
     ``draw`` column; a row drawn twice appears twice."""
     spark = df.sparkSession
     ranked = global_rank(df, seeded_key(id_col, seed), rank_col="_r")
     N = df.agg(F.count("*").alias("_N"))
     draws = join_scalars(spark.range(n).withColumnRenamed("id", "draw"), N).select(
-        "draw", (F.pmod(F.xxhash64(F.lit(seed), "draw"), F.col("_N")) + 1).alias("_r"))
+        "draw", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_N") + 1).alias("_r"))
     return ranked.join(draws, "_r").drop("_r")
 
 

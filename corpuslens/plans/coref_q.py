@@ -56,16 +56,53 @@ def _lea(side: str, other: str, p: str) -> str:
 """
 
 
-def _prf_sql(metric: str) -> str:
+def _prf_sql(metric: str, digits: int = 6) -> str:
     pp = "CASE WHEN p.den = 0 THEN 0 ELSE p.num / p.den END"
     rr = "CASE WHEN r.den = 0 THEN 0 ELSE r.num / r.den END"
     return f"""SELECT '{metric}' AS metric,
-  round(CASE WHEN p.num = 0 THEN 0 ELSE p.num / p.den END, 6) AS precision,
-  round(CASE WHEN r.num = 0 THEN 0 ELSE r.num / r.den END, 6) AS recall,
-  round(CASE WHEN {pp} + {rr} = 0 THEN 0 ELSE 2 * {pp} * {rr} / ({pp} + {rr}) END, 6) AS f1
+  round(CASE WHEN p.num = 0 THEN 0 ELSE p.num / p.den END, {digits}) AS precision,
+  round(CASE WHEN r.num = 0 THEN 0 ELSE r.num / r.den END, {digits}) AS recall,
+  round(CASE WHEN {pp} + {rr} = 0 THEN 0 ELSE 2 * {pp} * {rr} / ({pp} + {rr}) END, {digits}) AS f1
 FROM p_res p, r_res r"""
 
 
+_CLUSTERS = 4  # clusters of a conversation that the assignment below tries out (roles: 3, lengths: 3)
+
+
+def _ceafe(pred: str, gold: str) -> str:
+    """The best one-to-one assignment by trying all: each predicted cluster of a
+    document takes a gold cluster or none, no gold cluster twice."""
+    tries = range(1, _CLUSTERS + 1)
+    apart = " AND ".join(f"(o{a}.gold IS NULL OR o{b}.gold IS NULL OR o{a}.gold <> o{b}.gold)" for a in tries for b in tries if a < b)
+    options = ",".join(f"""
+o{k} AS (SELECT doc_key, gold, phi AS v FROM phi WHERE k = {k} UNION ALL SELECT doc_key, NULL, 0 FROM docs)""" for k in tries)
+    return f"""
+psz AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY cluster) AS k FROM (
+          SELECT doc_key, cluster, count(*) AS size FROM {pred} GROUP BY ALL HAVING count(*) <> 1)),
+gsz AS (SELECT doc_key, cluster, count(*) AS size FROM {gold} GROUP BY ALL),
+docs AS (SELECT DISTINCT doc_key FROM {gold}),
+phi AS (SELECT g.doc_key, g.cluster AS gold, psz.k, 2.0 * count(*) / (any_value(gsz.size) + any_value(psz.size)) AS phi
+        FROM {gold} g JOIN {pred} p USING (doc_key, start, "end") JOIN psz ON psz.doc_key = p.doc_key AND psz.cluster = p.cluster
+        JOIN gsz ON gsz.doc_key = g.doc_key AND gsz.cluster = g.cluster GROUP BY g.doc_key, g.cluster, psz.k),{options},
+best AS (SELECT o1.doc_key, max({" + ".join(f"o{k}.v" for k in tries)}) AS sim
+         FROM o1 {" ".join(f"JOIN o{k} USING (doc_key)" for k in tries if k > 1)} WHERE {apart} GROUP BY o1.doc_key),
+p_res AS (SELECT (SELECT CAST(coalesce(sum(sim), 0) AS DOUBLE) FROM best) AS num, CAST(count(*) AS DOUBLE) AS den FROM psz),
+r_res AS (SELECT (SELECT CAST(coalesce(sum(sim), 0) AS DOUBLE) FROM best) AS num, CAST(count(*) AS DOUBLE) AS den FROM gsz)
+"""
+
+
+def _scores(pred: str, gold: str, with_lea: bool) -> str:
+    """All metrics' rows and the mean of MUC, B-cubed and CEAF-e, unrounded."""
+    one = lambda metric, ctes: f"SELECT * FROM (WITH {ctes} {_prf_sql(metric, 15)})"
+    two = lambda f: f(pred, gold, "p_") + "," + f(gold, pred, "r_")
+    main = [one("muc", two(_muc)), one("b_cubed", two(_b3)), one("ceafe", _ceafe(pred, gold))]
+    mean = f"SELECT 'avg' AS metric, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM ({' UNION ALL '.join(main)})"
+    return " UNION ALL ".join([*main, mean, *([one("lea", two(_lea))] if with_lea else [])])
+
+
+_ROUNDED = "SELECT metric, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ({})"
+
+
 def _gp(spark, sf):
     return roles.coref_pred(spark, sf), roles.coref_gold(spark, sf)
 
@@ -97,12 +134,12 @@ def coref_lea(spark, sf):
     return _one("lea", CO.lea_counts, *_gp(spark, sf))
 
 
-@register("coref_scores")
+@register("coref_scores", "WITH " + BASE + _ROUNDED.format(_scores("pred", "gold", True)))
 def coref_scores(spark, sf):
     return CO.coref_scores(*_gp(spark, sf), with_lea=True)
 
 
-@register("coref_identity")
+@register("coref_identity", "WITH " + BASE + _ROUNDED.format(_scores("gold", "gold", True)))
 def coref_identity(spark, sf):
     """Gold scored against itself: MUC, B3, LEA are 1 when no singleton clusters."""
     g = roles.coref_gold(spark, sf)
@@ -128,7 +165,11 @@ def coref_mention_map(spark, sf):
     return CO.mention_map(roles.coref_pred(spark, sf))
 
 
-@register("coref_metric_diff")
+@register("coref_metric_diff", "WITH " + BASE + f""",
+pred2 AS (SELECT conv_id AS doc_key, CAST(length(text) % 2 AS VARCHAR) AS cluster, turn AS start, turn AS "end" FROM conversations),
+a AS ({_scores("pred", "gold", False)}), b AS ({_scores("pred2", "gold", False)})
+SELECT metric, round(b.precision - a.precision, 6) AS precision_diff, round(b.recall - a.recall, 6) AS recall_diff,
+       round(b.f1 - a.f1, 6) AS f1_diff FROM a JOIN b USING (metric)""")
 def coref_metric_diff(spark, sf):
     c = roles.table(spark, sf, "conversations")
     gold = roles.coref_gold(spark, sf)

@@ -304,7 +304,10 @@ def repeat_rows(spark, sf):
     return RC.repeat_rows(b, 3)
 
 
-@register("bootstrap_sample")
+@register("bootstrap_sample", """
+WITH r AS (SELECT doc_id, quality, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR))) AS rank, count(*) OVER () AS n FROM labels),
+d AS (SELECT i AS draw, ('0x' || substr(md5('42:' || CAST(i AS VARCHAR)), 1, 8))::BIGINT AS h FROM range(0, 1000) t(i))
+SELECT doc_id, quality, draw FROM d JOIN r ON r.rank = d.h % r.n + 1""")
 def bootstrap_sample(spark, sf):
     lab = roles.table(spark, sf, "labels").select("doc_id", "quality")
     return R.bootstrap_sample(lab, "doc_id", 1000)
