@@ -82,17 +82,22 @@ _PARTIAL = T.StructType([T.StructField("n", T.LongType()),
                          T.StructField("g", T.ArrayType(T.DoubleType()))])
 
 
-def moments(emb: DataFrame, col: str = "embedding") -> DataFrame:
-    """One row (n, sum vector, Gram matrix flattened) from per-partition partials."""
+def moments(emb: DataFrame, col: str = "embedding", fan: int = 32) -> DataFrame:
+    """One row (n, sum vector, Gram matrix flattened): a partial per partition,
+    written once, then added up ``fan`` at a time."""
     parts = emb.select(F.col(col).cast("array<double>").alias(col)).mapInPandas(_gram_partials(col), _PARTIAL)
-    s = parts.select("n", F.posexplode("s").alias("i", "v"))
-    g = parts.select(F.posexplode("g").alias("i", "v"))
-    n = parts.agg(F.sum("n").alias("n"))
-    sv = s.groupBy("i").agg(F.sum("v").alias("v")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("s"))
-    gv = g.groupBy("i").agg(F.sum("v").alias("v")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("g"))
-    return join_scalars(n, sv, gv)
+    parts = materialise(parts.withColumn("slot", F.spark_partition_id().cast("long")), "gram-partials")
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = lambda c: np.sum(np.stack(pdf[c].to_numpy()), axis=0).tolist()
+        return pd.DataFrame({"n": [pdf["n"].sum()], "s": [total("s")], "g": [total("g")], "slot": [pdf["slot"].iloc[0]]})
+
+    slots = (parts.agg(F.max("slot")).first()[0] or 0) + 1
+    while True:
+        slots = -(-slots // fan)
+        parts = parts.withColumn("slot", F.expr(f"slot div {fan}")).groupBy("slot").applyInPandas(add, parts.schema)
+        if slots == 1:
+            return parts.drop("slot")
 
 
 def frechet_distance(a: DataFrame, b: DataFrame, col: str = "embedding") -> DataFrame:
@@ -235,16 +240,45 @@ def lm_vocab_size(model: tuple[DataFrame, DataFrame]) -> DataFrame:
     return bigrams.agg((F.count_distinct("tok") + F.when(F.count("*") > 0, 1).otherwise(0)).alias("V"))
 
 
+def write_lm(model: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The model's tables written once: (prev, tok, c2, c1) and (prev, c1)."""
+    bigrams = materialise(model[0], "bigrams")
+    ctx = materialise(bigrams.groupBy("prev").agg(F.sum("c2").alias("c1")), "contexts")
+    return materialise(bigrams.join(ctx, "prev"), "bigrams-in-context"), ctx
+
+
+def document_perplexity(docs: DataFrame, model: tuple[DataFrame, DataFrame], vocab_size: DataFrame, *,
+                        text_col: str = "text", id_col: str = "doc_id", k: float = 1.0) -> DataFrame:
+    """(doc_id, n_tokens, ppl) under a model of ``write_lm``.
+
+    A document's equal bigrams are counted before the one join with the bigram
+    table; only bigrams it has not seen look up their context (the others get a
+    key of their own, so common contexts do not gather).
+    """
+    bigrams, ctx = model
+    t = docs.select(F.col(id_col).alias("doc_id"), lm_tokens(F.col(text_col)).alias("_t"))
+    n = F.greatest(F.size("_t") - 1, F.lit(0))
+    pairs = t.select("doc_id", F.explode(F.arrays_zip(F.slice("_t", 1, n).alias("prev"), F.slice("_t", 2, n).alias("tok"))).alias("z"))
+    counts = pairs.groupBy("doc_id", "z.prev", "z.tok").agg(F.count("*").alias("n"))
+    met = counts.join(bigrams, ["prev", "tok"], "left")
+    alone = F.concat(F.lit("\x00"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    met = met.withColumn("_prev", F.when(F.col("c2").isNull(), F.col("prev")).otherwise(alone))
+    met = join_scalars(met.join(ctx.select(F.col("prev").alias("_prev"), F.col("c1").alias("_c1")), "_prev", "left"), vocab_size)
+    context = F.when(F.col("c2").isNull(), F.coalesce("_c1", F.lit(0))).otherwise(F.col("c1"))
+    logp = F.log((F.coalesce("c2", F.lit(0)) + k) / (context + k * F.col("V")))
+    return (met.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * logp).alias("_lp"))
+            .select("doc_id", "n_tokens", F.exp(-F.col("_lp") / F.col("n_tokens")).alias("ppl")))
+
+
 def corpus_perplexity(syn: DataFrame, ref: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
                       k: float = 1.0) -> DataFrame:
     """Per-document perplexities under a bigram LM fitted on ``ref`` and their mean
     per corpus: (corpus, n_docs, mean_perplexity)."""
-    model = ngram_lm_fit(ref, text_col=text_col)
-    vocab = lm_vocab_size(model)
+    model = write_lm(ngram_lm_fit(ref, text_col=text_col))
+    vocab = materialise(lm_vocab_size(model), "vocabulary-size")
     out = []
     for name, d in (("synthetic", syn), ("real", ref)):
-        p = perplexity_from_logprobs(ngram_token_logprobs(d, model, vocab, text_col=text_col,
-                                                          id_col=id_col, k=k))
+        p = document_perplexity(d, model, vocab, text_col=text_col, id_col=id_col, k=k)
         out.append(p.agg(F.count("*").alias("n_docs"), F.avg("ppl").alias("mean_perplexity"))
                    .withColumn("corpus", F.lit(name)))
     return out[0].unionByName(out[1])
