@@ -6,6 +6,7 @@ counters) is the pair (doc_id, position within the document).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ..session import join_scalars
 ENTITY_RULES = [
     ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
+    ("PHONE", r"\+[0-9]{1,3}(?:[ -][0-9]{2,4}){2,4}"),
+    ("DATE", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"),
     ("NUMBER", r"[0-9]{6,}"),
     ("PROPER", r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"),
 ]
@@ -27,12 +30,21 @@ def rules_pattern(rules=ENTITY_RULES) -> str:
 
 
 def extract_entities(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
-                     rules=ENTITY_RULES) -> DataFrame:
-    """Rule-based mentions: (doc_id, pos, entity, label); pos = match ordinal in the doc.
+                     rules=ENTITY_RULES, model=None) -> DataFrame:
+    """Mentions (doc_id, pos, entity, label); pos = match ordinal in the doc.
 
-    Map-only (no shuffle). A model-based recogniser can produce the same
-    table through ``mapInPandas`` and feed every operator below.
+    Map-only (no shuffle). With ``model``, a function from one text to
+    ``(entity, label)`` pairs in order, that recogniser replaces the rules; it
+    runs in Arrow batches and is pickled to the workers.
     """
+    if model is not None:
+        def recognise(it):
+            for pdf in it:
+                found = [(i, k, e, lab) for i, t in zip(pdf["doc_id"], pdf["text"]) if t is not None for k, (e, lab) in enumerate(model(t))]
+                yield pd.DataFrame(found, columns=["doc_id", "pos", "entity", "label"])
+
+        d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        return d.mapInPandas(recognise, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, pos int, entity string, label string")
     m = docs.select(F.col(id_col).alias("doc_id"),
                     F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(rules_pattern(rules)), 0))
                     .alias("pos", "entity"))

@@ -192,18 +192,17 @@ def _annotated(spark, sf):
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("mentions"))
     a1 = ann(F.lit(True)).select("doc_id", F.lit("a1").alias("k"), "mentions")
     a2 = ann(F.col("label") == "EMAIL").select("doc_id", F.lit("a2").alias("k"), "mentions")
-    anns = a1.unionByName(a2).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("k", F.struct(F.col("mentions").alias("entity_mentions"))))).alias("annotations"))
+    anns = a1.unionByName(a2).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("k", F.struct(F.col("mentions").alias("entity_mentions")))))).alias("annotations"))
     return roles.documents(spark, sf).select("doc_id", "text").join(anns, "doc_id")
 
 
 _RULES = D.rules_pattern()
+_LABELS = " ".join(f"WHEN regexp_full_match(entity, '{pattern}') THEN '{name}'" for name, pattern in D.ENTITY_RULES)
 _ANN_SQL = f"""
 ml AS (SELECT doc_id, text, regexp_extract_all(text, '{_RULES}') AS l FROM documents),
 mm AS (SELECT doc_id, text, pos, entity,
-              CASE WHEN regexp_full_match(entity, '{D.ENTITY_RULES[0][1]}') THEN 'EMAIL'
-                   WHEN regexp_full_match(entity, '{D.ENTITY_RULES[1][1]}') THEN 'IP'
-                   WHEN regexp_full_match(entity, '{D.ENTITY_RULES[2][1]}') THEN 'NUMBER' ELSE 'PROPER' END AS label
+              CASE {_LABELS} END AS label
        FROM (SELECT doc_id, text, unnest(range(0, len(l))) AS pos, unnest(l) AS entity FROM ml)),
 am AS (SELECT doc_id, text, 'a1' AS annotator, pos, entity, label FROM mm
        UNION ALL SELECT doc_id, text, 'a2', row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1, entity, label

@@ -47,3 +47,13 @@ def test_checkpoint_folder_is_required_on_a_cluster():
     sc = N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: unset)))
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(N(conf=N(get=lambda *_: None), sparkContext=sc))
+
+
+def test_model_recogniser_and_rules(spark):
+    from corpuslens.operators import descriptive as D
+    docs = spark.createDataFrame([(1, "call +49 30 1234 5678 on 2024-05-06 or 7/8/2025"), (2, None), (3, "Rome and Oslo")], "doc_id long, text string")
+    assert [(r.entity, r.label) for r in D.extract_entities(docs).orderBy("doc_id", "pos").collect()] == [
+        ("+49 30 1234 5678", "PHONE"), ("2024-05-06", "DATE"), ("7/8/2025", "DATE")]
+    cities = {"Rome", "Oslo"}
+    got = D.extract_entities(docs, model=lambda t: [(w, "CITY") for w in t.split() if w in cities]).collect()
+    assert [tuple(r) for r in got] == [(3, 0, "Rome", "CITY"), (3, 1, "Oslo", "CITY")]
