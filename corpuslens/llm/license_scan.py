@@ -5,9 +5,9 @@ named like LICENSE, COPYING or NOTICE), is compared with the licence templates b
 the cosine of sparse TF-IDF vectors. The idf is that of the template collection
 (a word in no template counts as rarest), so it needs no pass over the corpus
 and is the same at every size. A line can only reach the least cosine ``t`` with
-a template if it holds one of the template's key words: the fewest of its
-heaviest words without which its remaining weight falls below ``t`` of its norm.
-Only lines with a key word are taken apart; no line that could match is left out.
+a template if it holds one of the template's key words: those left when its
+commonest words, up to less than ``t`` of its norm, are set aside. Only lines
+with a key word are taken apart; no line that could match is left out.
 Equal lines are compared once, however many files hold them.
 
 *Inheritance.* A file without a licence of its own takes that of the licence
@@ -34,6 +34,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Public notices, by SPDX id.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -71,33 +73,45 @@ def weigh(templates: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return raw.join(norm, "license_id").select("license_id", "token", (F.col("x") / F.col("norm")).alias("w")), idf, math.log(1 + n) + 1
 
 
-def key_pattern(weights: DataFrame, least: float) -> str:
-    """A pattern that finds a key word of any template; the template collection,
-    not the corpus, bounds what comes to the driver."""
-    held: dict[str, list[tuple[float, str]]] = {}
+def commonness(files: DataFrame, weights: DataFrame, text_col: str) -> dict[str, int]:
+    """How many files hold each word of the templates (all files; one small row a word)."""
+    known = [r.token for r in weights.select("token").distinct().collect()]
+    held = F.array_intersect(tokens(F.col(f"`{text_col}`")), F.lit(known).cast("array<string>"))
+    return {r.token: r["count"] for r in files.select(F.explode(held).alias("token")).groupBy("token").count().collect()} if known else {}
+
+
+def key_pattern(weights: DataFrame, least: float, common: dict[str, int]) -> str:
+    """A pattern that finds a key word of any template: as many of a template's
+    commonest words as weigh less than ``least`` of its norm are no key words.
+    The template collection, not the corpus, bounds what comes to the driver."""
+    held: dict[str, list[tuple[int, str, float]]] = {}
     for r in weights.collect():
-        held.setdefault(r.license_id, []).append((r.w, r.token))
+        held.setdefault(r.license_id, []).append((common.get(r.token, 0), r.token, r.w))
     keys = set()
     for ws in held.values():
-        rest = 1.0
-        for w, token in sorted(ws, key=lambda x: (-x[0], x[1])):
-            if rest < least * least - 1e-9:
-                break
-            keys.add(token)
-            rest -= w * w
+        rest = 0.0
+        for _, token, w in sorted(ws, key=lambda x: (-x[0], x[1])):
+            if rest + w * w < least * least - 1e-9:
+                rest += w * w
+            else:
+                keys.add(token)
     return r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(k) for k in sorted(keys)) + r")(?![\p{L}\p{N}])" if keys else r"(?!)"
 
 
 def match_units(units: DataFrame, weights: DataFrame, idf: DataFrame, unseen: float, least: float) -> DataFrame:
-    """``(unit, license_id, score)``: the best template of each distinct unit."""
-    words = units.select("unit").distinct().select("unit", F.explode(tokens(F.col("unit"))).alias("token"))
-    tf = words.groupBy("unit", "token").agg(F.count("*").alias("tf"))
-    own = tf.join(idf, "token", "left").select("unit", "token", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("x"))
-    norm = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = own.join(weights, "token").groupBy("unit", "license_id").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    scored = dots.join(norm, "unit").select("unit", "license_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    """``(key, license_id, score)``: the best template of each distinct unit.
+
+    Units go by their digest ``key``: a unit may be a whole file, and its text
+    must not travel with each of its words.
+    """
+    words = units.dropDuplicates(["key"]).select("key", F.explode(tokens(F.col("unit"))).alias("token"))
+    tf = words.groupBy("key", "token").agg(F.count("*").alias("tf"))
+    own = tf.join(idf, "token", "left").select("key", "token", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("x"))
+    norm = own.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = own.join(weights, "token").groupBy("key", "license_id").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    scored = dots.join(norm, "key").select("key", "license_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     first = F.min(F.struct((-F.col("score")).alias("minus"), "license_id")).alias("b")
-    return scored.filter(F.col("score") >= least).groupBy("unit").agg(first).select("unit", "b.license_id", (-F.col("b.minus")).alias("score"))
+    return scored.filter(F.col("score") >= least).groupBy("key").agg(first).select("key", "b.license_id", (-F.col("b.minus")).alias("score"))
 
 
 def folder(path: Column) -> Column:
@@ -108,13 +122,14 @@ def folder(path: Column) -> Column:
 def detect(files: DataFrame, templates: DataFrame, least: float = 0.7, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """``(path, license_id, score)`` of the paths whose text names a licence."""
     weights, idf, unseen = weigh(templates.select("license_id", "text"))
-    pattern = key_pattern(weights, least)
+    pattern = key_pattern(weights, least, commonness(files, weights, text_col))
     named = files.select(F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"), F.col(f"`{text_col}`").alias("text"))
     whole = F.when(F.regexp_extract("path", r"[^/]*$", 0).rlike("(?i)" + LICENSE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
     units = (named.filter(F.lower("text").rlike(pattern)).select("path", F.explode(F.concat(F.split("text", "\n"), whole)).alias("unit"))
              .filter(F.lower("unit").rlike(pattern)))
+    units = materialise(units.withColumn("key", F.sha2("unit", 256)), "notice-lines")
     best = match_units(units, weights, idf, unseen, least)
-    hits = units.join(best, "unit").groupBy("path", "license_id").agg(F.max("score").alias("score"))
+    hits = units.select("path", "key").join(best, "key").groupBy("path", "license_id").agg(F.max("score").alias("score"))
     first = F.min(F.struct((-F.col("score")).alias("minus"), "license_id")).alias("b")
     return hits.groupBy("path").agg(first).select("path", "b.license_id", (-F.col("b.minus")).alias("score"))
 
@@ -128,7 +143,7 @@ def ancestors(path: Column) -> Column:
 def scan(files: DataFrame, templates: DataFrame, least: float = 0.7, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """``(path, license_id, score, how, licensed_by)`` of every file: how is
     header, inherited or none; licensed_by is the directory inherited from."""
-    own = detect(files, templates, least, path_col, text_col)
+    own = materialise(detect(files, templates, least, path_col, text_col), "own-licences")
     paths = files.select(F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"))
     paths = paths.withColumn("dir", folder(F.col("path")))
     is_license = F.regexp_extract("path", r"[^/]*$", 0).rlike("(?i)" + LICENSE_FILE)
