@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, regex_escape, strip_chars, word_runs, ws_tokens
+from ..session import join_scalars
 
 
 def _longest(arr: Column) -> Column:
@@ -56,12 +57,11 @@ def _runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\S+|\s+"), 0)
 
 
-def _grams(word: Column) -> Column:
-    """Distinct substrings of one to three characters (code points)."""
+def _grams(word: Column, sizes: Column) -> Column:
+    """Distinct substrings of the given lengths (code points)."""
     n = F.char_length(word)
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(3), n - i + 1)), lambda k: F.substr(word, i, k)))))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda k: k <= n), lambda k: F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(word, i, k)))))
 
 
 def substring_keys(docs: DataFrame, items: DataFrame, needle: str) -> DataFrame:
@@ -85,9 +85,10 @@ def substring_keys(docs: DataFrame, items: DataFrame, needle: str) -> DataFrame:
 
     words = part.select("_p.run").distinct()
     size = F.least(F.lit(3), F.char_length("run"))
-    wanted = words.select("run", F.explode(F.filter(_grams(F.col("run")), lambda g: F.char_length(g) == size)).alias("gram"))
+    wanted = words.select("run", F.explode(_grams(F.col("run"), F.array(size))).alias("gram"))
+    sizes = words.agg(F.collect_set(size).alias("sizes"))  # some of 1, 2, 3
     vocabulary = docs.select(F.explode(F.array_distinct(_runs(F.col("text")))).alias("token")).distinct()
-    grams = vocabulary.select("token", F.explode(_grams(F.col("token"))).alias("gram"))
+    grams = join_scalars(vocabulary, sizes).select("token", F.explode(_grams(F.col("token"), F.col("sizes"))).alias("gram"))
     grams = grams.join(wanted.select("gram").distinct(), "gram", "left_semi")
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "gram").groupBy("run").agg(F.min(F.struct("n", "gram")).alias("m")) \

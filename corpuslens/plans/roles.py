@@ -13,8 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Tables of long texts: a file that is one row group would be one task.
+TEXT_TABLES = {"documents", "conversations", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The table; a text table that comes in fewer partitions than there are
+    cores is dealt out to all of them (the caller's choice, not the library's)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
 
 
 def is_syn() -> F.Column:

@@ -11,7 +11,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
+from corpuslens.plans.registry import all_queries as queries  # noqa: E402
 from corpuslens.session import get_session  # noqa: E402
 
 OPS = ["Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange SinglePartition",
