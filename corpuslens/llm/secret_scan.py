@@ -10,9 +10,14 @@ which code points of the original text it came from; findings of any depth are
 reported as spans of the original text.
 
 The scan is row-local (one map stage over Arrow batches, no shuffle). Memory is
-bounded by one text, its layers and ``max_layer_chars``: what a compressed
-layer inflates to beyond that is scanned up to there and counted in
-``n_oversize``, never passed over in silence.
+bounded by one text, its layers and ``max_layer_chars``; time follows what is
+inflated. A compressed layer that inflates beyond ``max_layer_chars`` is read to
+its end in windows of that size; a window starts where the runs and streams that
+the last one left open begin, so what lies across a cut is met whole. Members
+and frames that follow one another are one layer. ``n_oversize`` counts the
+layers read in windows and those that a decoder refuses (a dictionary or window
+over its memory limit). ``redact`` masks the whole region of a refused layer, and
+of one with an open run longer than half a window, which cannot be carried over.
 
 Defined results: a null or empty text has no spans; repeated rows repeat their
 result; null ids pass through; an empty table gives no rows; other columns are
@@ -46,6 +51,7 @@ KINDS = ("assign", "access", "hex")
 _KEYS = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_OPEN_ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*(?:[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]*)?\Z", re.I | re.A)
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as runs of any length kept from 24 on
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -67,6 +73,7 @@ class Layer:
     path: str
     starts: np.ndarray | int | None = None
     ends: np.ndarray | int | None = None
+    carried: int | None = None  # of a window: from where the next one repeats it
 
     def place(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
@@ -96,26 +103,120 @@ def scan_text(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _inflate(data: bytes, most: int) -> tuple[bytes, bool, int] | None:
-    """What compressed bytes hold, up to ``most`` bytes; whether there is more;
-    how many of the bytes the stream takes (zstandard: all)."""
-    try:
-        if data.startswith(b"\x1f\x8b"):
-            d = zlib.decompressobj(31)
-        elif data[:1] == b"\x78":
-            d = zlib.decompressobj()
-        elif data.startswith(b"BZh"):
-            d = bz2.BZ2Decompressor()
-        elif data.startswith(b"\xfd7zXZ"):
-            d = lzma.LZMADecompressor(memlimit=256 << 20)
+class Stream:
+    """Compressed bytes ``text[start:stop]`` (a character per byte), read member
+    by member. After a pass of ``chunks``, ``used`` is where the last whole member
+    ends, and ``end`` says how it ended: whole, cut (the bytes ran out), broken or
+    refused (over the memory limit)."""
+
+    def __init__(self, text: str, start: int, stop: int):
+        self.text, self.start, self.stop = text, start, stop
+        self.used, self.end, self.whole = start, "", True
+        self.path, self.place = "", (0, 0)
+
+    def _member(self, step: int) -> Iterator[bytes]:
+        at, head = self.used, self.text[self.used:self.used + 6]
+        zlibs, zstd = head[0] in "\x1f\x78", head[0] == "\x28"
+        if zlibs:
+            d = zlib.decompressobj(31 if head[0] == "\x1f" else 15)
+        elif zstd:
+            d = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
         else:
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as r:
-                got = r.read(most)
-                return got, bool(r.read(1)), len(data)
-        got = d.decompress(data, most)
-        return got, len(got) >= most and not d.eof, len(data) - len(d.unused_data)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
+            d = bz2.BZ2Decompressor() if head[0] == "B" else lzma.LZMADecompressor(memlimit=256 << 20)
+        feed = 256 if zstd else 1 << 14  # zstandard has no limit on what a call returns: 128 KB for 4 bytes at most
+        rest = b""
+        while not d.eof:
+            if not rest and (zlibs or zstd or d.needs_input):
+                rest = self.text[at:min(at + feed, self.stop)].encode("latin-1")
+                at += len(rest)
+                if not rest:
+                    self.end = "cut"
+                    if zlibs:
+                        yield d.flush()
+                    return
+            out = d.decompress(rest) if zstd else d.decompress(rest, step)
+            rest = d.unconsumed_tail if zlibs else b""
+            yield out
+        self.used = at - len(d.unused_data)
+
+    def chunks(self, step: int = 1 << 20) -> Iterator[bytes]:
+        self.used, self.end = self.start, ""
+        magic = self.text[self.start:self.start + 2]
+        while not self.end:
+            try:
+                yield from self._member(step)
+            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError) as e:
+                self.end = "refused" if "memory" in str(e).lower() else "broken"
+            if not self.end and not (self.text.startswith(magic, self.used, self.stop) and _MAGIC.match(self.text, self.used, self.stop)):
+                self.end = "whole"
+
+    def windows(self, most: int) -> Iterator[Layer]:
+        """The text in parts of about ``most`` bytes; clears ``whole`` where an
+        open run is too long to be carried into the next part."""
+        held = b""
+        parts: list[bytes] = []
+        size = 0
+        for chunk in self.chunks(min(1 << 20, most)):
+            parts.append(chunk)
+            size += len(chunk)
+            if len(held) + size < most:
+                continue
+            held = b"".join([held, *parts])
+            parts, size = [], 0
+            text, wide = _window_text(held)
+            at = _unfinished(text, min(1 << 16, most // 4))
+            if at < len(text) - most // 2:
+                self.whole, at = False, len(text) - most // 2
+            yield Layer(text, self.path, *self.place, carried=at)
+            held = held[len(text[:at].encode()) if wide else at:]
+        yield Layer(_window_text(b"".join([held, *parts]))[0], self.path, *self.place)
+
+
+def _window_text(data: bytes) -> tuple[str, bool]:
+    """The text, without a last character that is cut, and whether it is UTF-8 (else Latin-1)."""
+    try:
+        return data.decode(), True
+    except UnicodeDecodeError as e:
+        if e.start >= len(data) - 3 and e.reason == "unexpected end of data":
+            return data[:e.start].decode(), True
+        return data.decode("latin-1"), False
+
+
+def _streams(text: str) -> Iterator[Stream]:
+    """The places of a text where a compressed stream may start. A stream that the
+    caller has read is not searched for others as far as its whole members go."""
+    stop, last = 0, None
+    for m in _MAGIC.finditer(text):
+        if last is not None and m.start() < last.used:
+            continue
+        if m.start() >= stop:
+            stop = _BYTES.match(text, m.start()).end()
+        last = Stream(text, m.start(), stop)
+        yield last
+
+
+def _unfinished(text: str, lap: int) -> int:
+    """Where a window that goes on must be taken up again: ``lap`` characters
+    before its end, or where an assignment, a base64 run, escaped characters or a
+    compressed stream that reaches its end begins."""
+    n = len(text)
+    at = max(n - lap, 0)
+    if m := _OPEN_ASSIGN.search(text):
+        at = min(at, m.start())
+    for m in _BASE64.finditer(text):
+        if m.end() >= n - 4:
+            at = min(at, m.start())
+    word = max(text.rfind(c) for c in " \n\r\t") + 1
+    if word < at and any(c in text[word:] for c in ("%", "\\", "&#")):
+        at = word
+    for stream in _streams(text):
+        if stream.start >= at:
+            break
+        for _ in stream.chunks():
+            pass
+        if stream.end == "cut":
+            return stream.start
+    return at
 
 
 def _as_text(data: bytes) -> tuple[str, np.ndarray] | None:
@@ -199,50 +300,88 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                 yield got
 
 
-def _compressed(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
-    end = 0
-    for m in _MAGIC.finditer(layer.text):
-        if m.start() < end:
-            continue
-        run = _BYTES.match(layer.text, m.start())
-        got = _inflate(run[0].encode("latin-1"), most)
-        if got is None or not got[0]:
-            continue
-        text = got[0].decode("utf-8", "ignore") if got[1] else (_as_text(got[0]) or (None,))[0]
-        if text is not None:
-            end = run.start() + got[2]
-            s, e = layer.place(run.start(), end)
-            yield Layer(text, f"{layer.path}>compressed" if layer.path else "compressed", s, e), got[1]
-
-
-def find_secrets(text: str, max_layer_chars: int = 16 << 20) -> tuple[list[tuple[str, int, int, str]], int]:
-    """All findings ``(kind, start, end, layer)`` of a text and its nested layers,
-    by start, then kind, then end; and how many layers were oversize.
-
-    ``layer`` names the encodings passed, outermost first ('' for the text
-    itself); of equal spans the one of the fewest layers stays.
-    """
-    found: dict[tuple[int, int, int], str] = {}
-    work, seen, oversize = deque([Layer(text, "")]), set(), 0
+def _compressed(layer: Layer, most: int, oversize: set, unread: set) -> Iterator[Layer | Stream]:
+    """The layer that each compressed stream holds; beyond ``most`` bytes the
+    stream itself, to be read in windows."""
+    path = f"{layer.path}>compressed" if layer.path else "compressed"
+    for stream in _streams(layer.text):
+        parts, size = [], 0
+        for chunk in stream.chunks():
+            size += len(chunk)
+            if size <= most:
+                parts.append(chunk)
+        if stream.end == "cut" and layer.carried is not None and stream.start >= layer.carried:
+            continue  # the next window has it whole
+        stream.path, stream.place = path, layer.place(stream.start, stream.used if stream.end == "whole" else stream.stop)
+        if stream.end == "cut":
+            stream.used = stream.stop
+        if stream.end == "refused" or size > most:
+            oversize.add((path, stream.place, hashlib.blake2b(layer.text[stream.start:stream.stop].encode("latin-1"), digest_size=16).digest()))
+        if stream.end == "refused":
+            unread.add(stream.place)
+        if size > most:
+            yield stream
+        elif size:
+            yield Layer(_as_text(b"".join(parts))[0], path, *stream.place)
+
+
+def _search(first: Layer, most: int, seen: tuple[set, ...], found: dict, oversize: set, unread: set) -> None:
+    """Work through a layer and all below it. ``seen``: the marks of the layers
+    met, those of each window's inner layers in a set of their own."""
+    def new(x: Layer) -> bool:
+        mark = (hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), x.place(0, len(x.text)) if x.text else None)
+        if not x.text or any(mark in s for s in seen):
+            return False
+        seen[-1].add(mark)
+        return True
+
+    work: deque[Layer | Stream] = deque([first])
     while work:
         layer = work.popleft()
+        if isinstance(layer, Stream):
+            used = layer.used
+            for window in layer.windows(most):
+                if new(window):
+                    _search(window, most, (*seen, set()), found, oversize, unread)
+            layer.used = used
+            if not layer.whole:
+                unread.add(layer.place)
+            continue
         for start, kind, end in scan_text(layer.text):
             s, e = layer.place(start, end)
-            found.setdefault((s, kind, e), layer.path)
-        nexts: list[Layer] = []
+            if (s, kind, e) not in found or _depth(layer.path) < _depth(found[s, kind, e]):
+                found[s, kind, e] = layer.path
+        nexts: list[Layer | Stream] = []
         if "%" in layer.text:
             nexts += _url(layer)
         if "\\" in layer.text or "&#" in layer.text:
             nexts += _unicode(layer)
         nexts += _base64(layer)
-        for inner, more in _compressed(layer, max_layer_chars) if layer.path else ():
-            oversize += more
-            nexts.append(inner)
-        for x in nexts:
-            mark = (hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), x.place(0, len(x.text)) if x.text else None)
-            if x.text and mark not in seen:
-                seen.add(mark)
-                work.append(x)
+        if layer.path:
+            nexts += _compressed(layer, most, oversize, unread)
+        work += [x for x in nexts if isinstance(x, Stream) or new(x)]
+
+
+def _depth(path: str) -> int:
+    return path.count(">") + bool(path)
+
+
+def _find(text: str, most: int) -> tuple[dict[tuple[int, int, int], str], int, set[tuple[int, int]]]:
+    found: dict[tuple[int, int, int], str] = {}
+    oversize: set = set()
+    unread: set[tuple[int, int]] = set()
+    _search(Layer(text, ""), most, (set(),), found, oversize, unread)
+    return found, len(oversize), unread
+
+
+def find_secrets(text: str, max_layer_chars: int = 16 << 20) -> tuple[list[tuple[str, int, int, str]], int]:
+    """All findings ``(kind, start, end, layer)`` of a text and its nested layers,
+    by start, then kind, then end; and how many layers were oversize or refused.
+
+    ``layer`` names the encodings passed, outermost first ('' for the text
+    itself); of equal spans the one of the fewest layers stays.
+    """
+    found, oversize, _ = _find(text, max_layer_chars)
     return [(KINDS[k], s, e, found[s, k, e]) for s, k, e in sorted(found)], oversize
 
 
@@ -259,10 +398,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_la
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
 
 
-def redact_text(text: str, mask: str = "[secret]") -> str:
-    """The text with every finding, of any layer, replaced by the mask."""
+def redact_text(text: str, mask: str = "[secret]", max_layer_chars: int = 16 << 20) -> str:
+    """The text with every finding, of any layer, and every region that could not
+    be read whole, replaced by the mask."""
     out, at = [], 0
-    for _, s, e, _ in find_secrets(text)[0]:
+    found, _, unread = _find(text, max_layer_chars)
+    for s, e in sorted({(s, e) for s, _, e in found} | unread):
         if e <= at:
             continue
         if s >= at:

@@ -82,6 +82,30 @@ def test_cycles_and_bombs_end():
     assert S.find_secrets(bomb)[1] == 0 and any(x[0] == "assign" for x in S.find_secrets(bomb)[0])
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_all_of_an_oversize_layer_is_read(pack):
+    filler = b"plain words, " * 30_000  # several windows
+    for body in (filler + SECRET.encode(), filler + SECRET.encode() + b" " + filler, filler + b64(b"more text " * 3_000 + SECRET.encode()).encode() + b" " + filler,
+                 filler + pack(b"inner " * 2_000 + SECRET.encode()) + b" " + filler, "é".encode() * 150_001 + b" " + SECRET.encode()):
+        text = f"a {b64(pack(body)).rstrip(chr(61))} b"
+        found, oversize = S.find_secrets(text, max_layer_chars=100_000)
+        assert oversize == 1 and {x[0] for x in found} == {"assign"} and S.redact_text(text, max_layer_chars=100_000) == "a [secret] b"
+    for at in range(99_900, 100_020, 7):  # across the cut
+        body = (b"word " * 40_000)[:at] + b" " + SECRET.encode() + b" word" * 40_000
+        assert {x[0] for x in S.find_secrets(b64(pack(body)), max_layer_chars=100_000)[0]} == {"assign"}
+    assert S.find_secrets(b64(pack(filler)), max_layer_chars=100_000) == ([], 1)
+
+
+def test_members_and_refused_layers():
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert spans(b64(pack(b"some words in front ") + pack(SECRET.encode())))
+        assert spans(b64(pack(b"first member, password=Zx9") + pack(b"Kq81mPw and on")))
+    wide = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28)).compressobj()
+    for code in (b64(lzma.compress(b"x", filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 29}])), b64(wide.compress(SECRET.encode()) + wide.flush())):
+        code = code.rstrip("=")
+        assert S.find_secrets(f"a {code} b")[1] == 1 and S.redact_text(f"a {code} b") == "a [secret] b"
+
+
 def test_redaction():
     assert S.redact_text(f"a {SECRET} b") == "a [secret] b"
     assert S.redact_text("a b") == "a b"
