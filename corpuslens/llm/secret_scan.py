@@ -27,7 +27,6 @@ ignored by ``scan`` and kept as they are by ``redact``.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -56,8 +55,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as runs of any
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}(?:\r?\n[A-Za-z0-9+/_-]{16,}={0,2})*")
-_BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Lines may be folded at line ends or at their JSON escapes; the last one has any length.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/_-]{16,}={0,2})*(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/_-]+={0,2})?")
+_BASE64_LINE = re.compile(r"((?:\\r)?\\n)?([A-Za-z0-9+/_-]+)(={0,2})")
 _MAGIC = re.compile(r"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 _BYTES = re.compile(r"[\x00-\xff]+")
 
@@ -219,15 +219,13 @@ def _unfinished(text: str, lap: int) -> int:
     return at
 
 
-def _as_text(data: bytes) -> tuple[str, np.ndarray] | None:
-    """UTF-8 text and the byte offset of each character (and the end); bytes
-    that hold a compressed stream keep one character per byte."""
+def _as_text(data: bytes) -> tuple[str, np.ndarray]:
+    """The text and the byte offset of each character (and the end): UTF-8, or
+    Latin-1 (a character per byte) for other bytes."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        if _MAGIC.match(data[:8].decode("latin-1")):
-            return data.decode("latin-1"), np.arange(len(data) + 1)
-        return None
+        return data.decode("latin-1"), np.arange(len(data) + 1)
     if len(text) == len(data):
         return text, np.arange(len(data) + 1)
     raw = np.frombuffer(data, np.uint8)
@@ -276,28 +274,33 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
 
 
 def _base64_run(layer: Layer, run: str, at: np.ndarray) -> Layer | None:
-    """The layer that one run encodes; ``at``: the place of each of its characters."""
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode((body + "=" * (-len(body) % 4)).translate({45: 43, 95: 47}), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    if (got := _as_text(data)) is None or not data:
+    """The layer that one run encodes; ``at``: the place of each of its characters.
+    A last character that is alone in its group encodes nothing."""
+    body = run[:-1] if len(run) % 4 == 1 else run
+    data = base64.b64decode((body + "=" * (-len(body) % 4)).translate({45: 43, 95: 47}))
+    if not data:
         return None
-    text, offsets = got
+    text, offsets = _as_text(data)
     first, last = offsets[:-1] * 4 // 3, (offsets[1:] * 4 + 2) // 3 - 1
     return layer.derived(text, "base64", at[first], at[np.minimum(last, len(body) - 1)] + 1)
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
+    """Each run's lines, and its joined lines read from their first four characters
+    on: wherever in the run a code begins, one of the four has its groups."""
     for m in _BASE64.finditer(layer.text):
         lines = list(_BASE64_LINE.finditer(m[0]))
-        for group in [lines, *([x] for x in lines)] if len(lines) > 1 else [lines]:
-            at = np.concatenate([np.arange(m.start() + x.start(), m.start() + x.end()) for x in group])
-            if got := _base64_run(layer, "".join(x[0] for x in group), at):
-                yield got
+        joined: list[list[re.Match]] = [[]]
+        for x in lines:
+            joined[-1].append(x)
+            if x[3]:  # padding ends a code
+                joined.append([])
+        for group in [*filter(None, joined), *([x] for x in lines if len(lines) > 1 and len(x[2]) >= 16)]:
+            run = "".join(x[2] for x in group)
+            at = np.concatenate([np.arange(m.start() + x.start(2), m.start() + x.end(2)) for x in group])
+            for k in range(4 if any(group is g for g in joined) else 1):
+                if len(run) - k >= 16 and (got := _base64_run(layer, run[k:], at[k:])):
+                    yield got
 
 
 def _compressed(layer: Layer, most: int, oversize: set, unread: set) -> Iterator[Layer | Stream]:

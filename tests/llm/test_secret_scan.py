@@ -74,6 +74,22 @@ def test_wrapped_lines_and_neighbours():
     assert any(k == "assign" for k, _, _ in spans(f"{b64(b'token=abcdefgh1')}\nanotherquitelongwordhere"))
 
 
+def test_short_last_lines_and_codes_inside_runs():
+    for n in range(30, 100):
+        body = b"x" * n + b" password=Sup3rSecretValue99xyz"
+        for code in (base64.encodebytes(body).decode(), base64.encodebytes(body).decode().replace("\n", "\r\n"), base64.encodebytes(body).decode().replace("\n", "\\n")):
+            text = f"a\n{code}b"
+            place = text.index(code.strip("\\nr=")[-20:]) + 20  # of the code's end, where the secret is
+            assert any(k == "assign" and place - 4 <= e for k, _, e in spans(text)), (n, text)
+    for n in range(4):
+        code = base64.urlsafe_b64encode(b"token=abcdefgh1234" + b"z" * n).decode()
+        for front in ("https://h.io/", "id-", "k_", "\\n", "abc/d", "x+", "line\n", "averylongwordinfront\n"):
+            for back in ("", "/x", "-tail", "_y1"):
+                assert any(k == "assign" for k, _, _ in spans(f"see {front}{code}{back} end")), (front, code, back)
+    for raw in (b"\xff\xfe caf\xe9 " + SECRET.encode(), "é".encode("latin-1") + SECRET.encode() + b"\x80"):
+        assert spans(b64(raw)) and spans(b64(gzip.compress(raw)))
+
+
 def test_cycles_and_bombs_end():
     assert spans("%2525252525" * 50) == []
     bomb = b64(gzip.compress(b"a" * 5_000_000 + b" token=abcdefgh"))
