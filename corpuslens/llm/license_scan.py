@@ -10,6 +10,15 @@ commonest words, up to less than ``t`` of its norm, are set aside. Only lines
 with a key word are taken apart; no line that could match is left out.
 Equal lines are compared once, however many files hold them.
 
+*Texts and headers.* With ``texts`` (whole licence texts, standard headers, SPDX
+lines, the notices; several per licence, with an idf of their own), files that hold
+a licence word (``WORDS``) are also compared over their lines: comment marks are no
+words, so a header of several lines, a notice inside a longer line and a whole text
+are runs of words. Three-word shingles shared with a template vote for where it would
+begin in the file; the template-sized window that most of them agree on is compared,
+if shared shingles are a twentieth of the template's or more. Titles of licences are
+compared with whole lines. The better score wins, on equal scores the line's notice.
+
 *Inheritance.* A file without a licence of its own takes that of the licence
 files in the nearest directory on its path, its own first. Distinct directories
 are joined with the directories that have a licence through all their ancestors;
@@ -35,6 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .license_texts import HEADERS, HEADINGS, TEXTS
 
 #: Public notices, by SPDX id.
 TEMPLATES = (
@@ -48,6 +58,13 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 LICENSE_FILE = r"^(?:LICEN[CS]E|COPYING|NOTICE|UNLICENSE)(?:[.\-_].*)?$"
+_SPDX = [(i, i) for i in ("0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "ISC", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib")]
+_SPDX += [(i, i + v) for i in ("AGPL-3.0", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for v in ("", "-only", "-or-later")]
+#: ``(licence, text, whole lines only)``.
+LONG = ([(i, t, False) for i, t in (*TEMPLATES, *HEADERS, *TEXTS)] + [(i, f"SPDX-License-Identifier: {name}", False) for i, name in _SPDX]
+        + [(i, t, True) for i, t in HEADINGS])
+WORDS = r"licen[sc]|copyright|permission|warrant|redistribut|spdx|public domain"
+SHINGLE = 3
 WORD = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 
 
@@ -57,6 +74,12 @@ def templates(spark: SparkSession, rows: tuple[tuple[str, str], ...] = TEMPLATES
     return spark.range(1).select(F.explode(listed).alias("t")).select("t.*")
 
 
+def texts(spark: SparkSession, rows: list[tuple[str, str, bool]] = LONG) -> DataFrame:
+    """``(license_id, text, line_only)``; a number after the id tells a licence's texts apart."""
+    listed = F.array(*[F.struct(F.lit(f"{i}#{k}").alias("license_id"), F.lit(t).alias("text"), F.lit(line).alias("line_only")) for k, (i, t, line) in enumerate(rows)])
+    return spark.range(1).select(F.explode(listed).alias("t")).select("t.*")
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
@@ -134,16 +157,57 @@ def detect(files: DataFrame, templates: DataFrame, least: float = 0.7, path_col:
     return hits.groupBy("path").agg(first).select("path", "b.license_id", (-F.col("b.minus")).alias("score"))
 
 
+def shingles(words: Column) -> Column:
+    """The runs of ``SHINGLE`` words, by place."""
+    last = F.size(words) - SHINGLE
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, SHINGLE), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+
+def detect_texts(files: DataFrame, texts: DataFrame, least: float = 0.7, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """``(path, license_id, score)`` of the paths that hold a licence's text, header or title."""
+    texts = materialise(texts.withColumn("words", tokens(F.col("text"))), "licence-texts")
+    weights, idf, unseen = weigh(texts.select("license_id", "text"))
+    weights, idf = materialise(weights, "text-weights"), materialise(idf, "text-idf")
+    placed = (texts.filter(~F.col("line_only")).select("license_id", F.size("words").alias("n_words"), shingles(F.col("words")).alias("s"))
+              .select("license_id", "n_words", F.posexplode("s").alias("place", "shingle")))
+    placed = materialise(placed, "text-shingles")
+
+    named = files.select(F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"), F.col(f"`{text_col}`").alias("text"))
+    held = materialise(named.filter(F.lower("text").rlike(WORDS)).withColumn("file", F.sha2("text", 256)), "licence-word-files")
+    once = materialise(held.dropDuplicates(["file"]).select("file", "text", tokens(F.col("text")).alias("words")), "distinct-licence-word-files")
+
+    said = once.select("file", shingles(F.col("words")).alias("s")).select("file", F.posexplode("s").alias("at", "shingle"))
+    met = said.join(F.broadcast(placed), "shingle").groupBy("file", "license_id", "n_words", (F.col("at") - F.col("place")).alias("begin")).agg(F.count("*").alias("votes"))
+    best = met.groupBy("file", "license_id", "n_words").agg(F.sum("votes").alias("shared"), F.min(F.struct((-F.col("votes")).alias("minus"), "begin"))["begin"].alias("begin"))
+    best = best.filter(F.col("shared") * 20 >= F.col("n_words") - (SHINGLE - 1))
+    window = F.slice("words", F.greatest(F.col("begin"), F.lit(0)) + 1, F.col("n_words") + F.least(F.col("begin"), F.lit(0)))
+    windows = once.select("file", "words").join(best, "file").select("file", F.array_join(window, " ").alias("unit"))
+    lines = once.select("file", F.explode(F.split("text", "\n")).alias("unit")).filter(F.lower("unit").rlike(WORDS))
+    units = windows.withColumn("line", F.lit(False)).unionByName(lines.withColumn("line", F.lit(True)))
+    units = materialise(units.withColumn("key", F.sha2("unit", 256)).distinct(), "text-units")
+
+    matched = match_units(units, weights, idf, unseen, least)
+    hits = units.select("file", "key").distinct().join(matched, "key").withColumn("license_id", F.substring_index("license_id", "#", 1))
+    first = F.min(F.struct((-F.col("score")).alias("minus"), "license_id")).alias("b")
+    found = hits.groupBy("file").agg(first).select("file", "b.license_id", (-F.col("b.minus")).alias("score"))
+    return (held.select("path", "file").join(found, "file").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license_id")).alias("b"))
+            .select("path", "b.license_id", (-F.col("b.minus")).alias("score")))
+
+
 def ancestors(path: Column) -> Column:
     """All directories of a directory's path, itself first, the root ('') last."""
     parts = F.when(path == "", F.array().cast("array<string>")).otherwise(F.split(path, "/"))
     return F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
-def scan(files: DataFrame, templates: DataFrame, least: float = 0.7, path_col: str = "path", text_col: str = "text") -> DataFrame:
+def scan(files: DataFrame, templates: DataFrame, least: float = 0.7, path_col: str = "path", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """``(path, license_id, score, how, licensed_by)`` of every file: how is
     header, inherited or none; licensed_by is the directory inherited from."""
-    own = materialise(detect(files, templates, least, path_col, text_col), "own-licences")
+    own = detect(files, templates, least, path_col, text_col)
+    if texts is not None:
+        both = own.withColumn("rank", F.lit(0)).unionByName(detect_texts(files, texts, least, path_col, text_col).withColumn("rank", F.lit(1)))
+        own = both.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), "rank", "license_id")).alias("b")).select("path", "b.license_id", (-F.col("b.minus")).alias("score"))
+    own = materialise(own, "own-licences")
     paths = files.select(F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"))
     paths = paths.withColumn("dir", folder(F.col("path")))
     is_license = F.regexp_extract("path", r"[^/]*$", 0).rlike("(?i)" + LICENSE_FILE)

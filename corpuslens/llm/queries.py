@@ -179,7 +179,7 @@ SELECT f.doc_id, coalesce(own.license_id, dir_license) AS license_id, coalesce(o
 FROM f LEFT JOIN own USING (doc_id) LEFT JOIN (SELECT * FROM inh WHERE r = 1) i USING (doc_id)
 """)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(_tree(table(spark, sf_dir, "documents")), license_scan.templates(spark))
+    found = license_scan.scan(_tree(table(spark, sf_dir, "documents")), license_scan.templates(spark), texts=license_scan.texts(spark))
     return found.select(F.regexp_extract("path", r"(\d+)(?:\.txt)?$", 1).cast("long").alias("doc_id"), "license_id", "score", "how", "licensed_by")
 
 

@@ -79,3 +79,22 @@ def test_root_license_and_empty(spark):
 def test_plan_is_native(spark, sf):
     plan = Q.QUERIES["op1_license_scan"](spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_texts_headers_and_titles(spark):
+    from corpuslens.llm import license_texts as W
+    full, head = dict(W.TEXTS), dict(reversed(W.HEADERS))
+    mark = lambda m, t: "".join(f"{m} {x}\n" for x in t.split("\n"))
+    code = "\n\nint main() {\n  return other_words(1, 2);\n}\n" * 40
+    files = [("m/LICENSE", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + full["MIT"].partition("\n")[2], "MIT"), ("g/COPYING", full["GPL-3.0"], "GPL-3.0"),
+             ("b/LICENSE", "Copyright 2019 A. Company, all rights reserved\n" + full["BSD-3-Clause"], "BSD-3-Clause"), ("b2/LICENSE", full["BSD-2-Clause"], "BSD-2-Clause"),
+             ("g/x.c", mark("//", "Copyright (C) 2001 Somebody\n\n" + head["GPL-3.0"]) + code, "GPL-3.0"), ("a/x.py", "#!/usr/bin/env python\n" + mark("#", head["Apache-2.0"]) + code, "Apache-2.0"),
+             ("l/x.c", "/*\n" + mark(" *", head["LGPL-3.0"]) + " */" + code, "LGPL-3.0"), ("s/x.c", "// SPDX-License-Identifier: MIT\n" + code, "MIT"),
+             ("s/y.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */" + code, "GPL-2.0"), ("t/LICENSE", "MIT License\n\n(c) Jane", "MIT"), ("m/sub/x", "no words", "MIT"),
+             ("n/x.py", "# Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0. Written in a long line with some more words on what it does" + code, "Apache-2.0"),
+             ("z/x", code + "copyright is a word, so is license, and permission", None), ("z/y", None, None), (None, "SPDX-License-Identifier: Unheard-Of", None)]
+    df = spark.createDataFrame([(p, t) for p, t, _ in files], "path string, text string")
+    got = {r.path: r for r in L.scan(df, L.templates(spark), texts=L.texts(spark)).collect()}
+    assert {p: r.license_id for p, r in got.items()} == {p or "": i for p, _, i in files}
+    assert got["m/sub/x"].how == "inherited" and got["g/x.c"].how == "header"
+    assert L.scan(df.limit(0), L.templates(spark), texts=L.texts(spark)).count() == 0
