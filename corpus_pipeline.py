@@ -8,9 +8,9 @@ folder and reads it back, so a lost executor costs one stage's tasks at most.
 Texts are shuffled once (near_duplicates, to keep one document of a group); the
 other stages filter or rewrite rows where they lie.
 
-Null ids: such rows pass near_duplicates (they cannot be named as a copy) and are
-judged by their text in all other stages. Repeated rows are one document after
-near_duplicates. Empty tables give empty results in every stage.
+Null ids: such rows are judged by their text in all stages; near_duplicates keeps
+one only where its group has no id. Repeated rows are one document after
+near_duplicates, and so are near-equal texts of one id. Empty tables give empty results in every stage.
 """
 
 from __future__ import annotations
@@ -31,11 +31,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each SimHash group."""
-    groups = simhash_dedup.simhash_groups(docs, shingle_words=3, max_distance=2)
-    first = materialise(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "firsts")
-    named = docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Keeps one document of each SimHash group: the smallest by id (null last), then by the text's hash."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_key"))
+    fps = simhash_dedup.fingerprints(docs.select(row.alias("row"), "text"), "row", shingle_words=3)
+    rooted = simhash_dedup.fingerprint_roots(fps.groupBy("fp").agg(F.min("row").alias("first")), max_distance=2)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.text_key").alias("kept_key"))
+    kept = materialise(kept, "kept")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed["text_key"] == kept["kept_key"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

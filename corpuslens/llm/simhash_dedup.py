@@ -249,15 +249,21 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 
+def fingerprint_roots(firsts: DataFrame, max_distance: int = 2, max_members: int = 4096) -> DataFrame:
+    """``(fp, first, root)`` of rows ``(fp, first)`` with distinct fingerprints: root is
+    the smallest fingerprint of the component."""
+    firsts = materialise(firsts, "distinct-fingerprints")
+    roots = components(links(node_pairs(firsts.select("fp"), max_distance, max_members), max_distance))
+    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return materialise(rooted, "rooted")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
                    max_distance: int = 2, max_members: int = 4096) -> DataFrame:
     """``(id, fingerprint, component_id)`` of every row: 16 hex digits, and the
     smallest id reachable over links of at most ``max_distance`` bits."""
     fps = materialise(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    firsts = materialise(fps.groupBy("fp").agg(F.min(F.col(f"`{id_col}`")).alias("first")), "distinct-fingerprints")
-    roots = components(links(node_pairs(firsts.select("fp"), max_distance, max_members), max_distance))
-    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "rooted")
+    rooted = fingerprint_roots(fps.groupBy("fp").agg(F.min(F.col(f"`{id_col}`")).alias("first")), max_distance, max_members)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(f"`{id_col}`", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -96,3 +96,11 @@ def test_hard_rows_and_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
     assert P.run(spark, empty).count() == 0
+
+
+def test_one_document_of_a_group_without_ids_or_with_repeated_ids(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(400))
+    rows = [(None, text(1)), (None, text(1)), (None, text(1)), (5, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (6, text(4)), (8, text(5)), (8, text(5).upper()), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, (r.text or "").lower()) for r in P.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(None, text(1)), (5, text(2)), (7, text(3)), (6, text(4)), (8, text(5)), (9, "")], key=str)
