@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_paragraphs
 from ..session import join_scalars
+from .ranking import global_rank
 
 
 # ---------------------------------------------------------------------------
@@ -192,6 +193,23 @@ def poisson_author_sample(df: DataFrame, author: str, id_col: str, *, q: float,
     return round_robin(df, author, id_col, drawn).select("round", author, id_col)
 
 
+def shuffled_author_batches(df: DataFrame, author: str, id_col: str, *, batch_size: int, epochs: int = 1,
+                            seed: int = 0) -> DataFrame:
+    """Each epoch cuts the authors in md5(seed:epoch:author) order into batches (the last
+    short one is dropped; a null author has no place) and takes each drawn author's next
+    record round-robin: (epoch, batch, author, id)."""
+    authors = df.select(author).filter(F.col(author).isNotNull()).distinct()
+    n = authors.agg(F.count("*").alias("_n_authors"))
+    drawn = None
+    for e in range(epochs):
+        key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(e)), F.col(author).cast("string")))
+        ranked = global_rank(authors, key).select(author, F.lit(e).alias("epoch"), F.floor((F.col("rank") - 1) / batch_size).alias("batch"))
+        drawn = ranked if drawn is None else drawn.unionByName(ranked)
+    drawn = (join_scalars(drawn, n).filter((F.col("batch") + 1) * batch_size <= F.col("_n_authors")).drop("_n_authors")
+             .withColumn("k", F.row_number().over(Window.partitionBy(author).orderBy("epoch")) - 1))
+    return round_robin(df, author, id_col, drawn).select("epoch", "batch", author, id_col)
+
+
 def sampler_schedule(n_authors: Column, batch_size: int, epochs: int) -> tuple[Column, Column]:
     """(q, steps): q = batch / #authors, steps = int(epochs * (1/q + 1))."""
     q = F.lit(batch_size) / n_authors

@@ -147,3 +147,20 @@ def test_seeded_order_without_a_sample_size(spark):
     df = spark.range(50)
     every = [r.id for r in ranking.seeded_sample(df, "id", -1).collect()]
     assert sorted(every) == list(range(50)) and every != list(range(50)) and every[:7] == [r.id for r in ranking.seeded_sample(df, "id", 7).collect()]
+
+
+def test_shuffled_author_batches(spark):
+    import hashlib
+
+    from corpuslens.operators import records
+    rows = [(a, 100 * a + k) for a in range(11) for k in range(a % 3 + 1)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "author long, id long")
+    got = sorted(tuple(r) for r in records.shuffled_author_batches(df, "author", "id", batch_size=4, epochs=3).collect())
+    want, pointer = [], {}
+    for e in range(3):
+        order = sorted(range(11), key=lambda a: hashlib.md5(f"0:{e}:{a}".encode()).hexdigest())
+        for i, a in enumerate(order[:8]):
+            own = sorted(i for x, i in rows if x == a)
+            want.append((e, i // 4, a, own[pointer.get(a, 0) % len(own)]))
+            pointer[a] = pointer.get(a, 0) + 1
+    assert got == sorted(want)
