@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, quality_pu, secret_scan, simhash_dedup, source_mixing, suffix_dedup, token_counts, topk_search, warc
+from . import (conversation_repair, decontaminate, language_id, license_scan, quality_pu, secret_scan, simhash_dedup, source_mixing,
+               suffix_dedup, token_counts, topk_search, vector_codes, warc)
 from .common import id_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,8 +190,117 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing", "doc_tokens")
 
 
-@query("op11_suffix_dedup")
+@query("op11_suffix_dedup", sql="""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+p AS (  -- overlapping pieces, so that no window is cut out of a very long string
+  SELECT doc_id, b, substr(h, 2000 * b + 1, 2198) AS piece FROM (SELECT doc_id, h, unnest(range((length(h) + 1999) // 2000)) AS b FROM d)
+), w AS (
+  SELECT doc_id, 1000 * b + k AS place, md5(substr(piece, 2 * k + 1, 200)) AS str FROM (SELECT *, unnest(range(1000)) AS k FROM p) WHERE length(piece) >= 2 * k + 200
+), f AS (SELECT str, min({'doc': doc_id, 'place': place}) AS first FROM w GROUP BY str),
+r AS (SELECT doc_id, place FROM w JOIN f USING (str) WHERE first.doc <> doc_id OR first.place <> place),
+g AS (SELECT doc_id, place, CASE WHEN place > lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 100 OR lag(place) OVER (PARTITION BY doc_id ORDER BY place) IS NULL THEN 1 ELSE 0 END AS opens FROM r),
+i AS (SELECT doc_id, place, sum(opens) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM g),
+s AS (SELECT doc_id, span, min(place) AS start, max(place) + 100 AS stop FROM i GROUP BY doc_id, span),
+t AS (
+  SELECT doc_id, count(*) AS n_spans, sum(stop - start) AS n_removed, list(start ORDER BY start) AS starts, list(stop ORDER BY start) AS stops FROM s GROUP BY doc_id
+), k AS (
+  SELECT doc_id, h, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+         list_prepend(0, coalesce(stops, [])) AS lo, list_append(coalesce(starts, []), length(h) // 2) AS hi FROM d LEFT JOIN t USING (doc_id)
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(array_to_string(list_transform(list_zip(lo, hi), lambda z: substr(h, 2 * z[1] + 1, 2 * (z[2] - z[1]))), ''), ''))) AS kept_sha256
+FROM k
+""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), min_bytes=100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Rounds of brute-force assignment and integer means, one CTE each."""
+    nearest = """SELECT r, part, min({{'d': d, 'entry': entry}}) AS best FROM (
+      SELECT s.r, s.part, b.entry, CAST(list_sum(list_transform(list_zip(s.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+      FROM s JOIN b{k} b ON s.part = b.part) GROUP BY r, part"""
+    sql = f"""
+WITH e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r, len(v) // {parts} AS width FROM e),
+s AS MATERIALIZED (SELECT r, part, v[part * width + 1:(part + 1) * width] AS v FROM n, (SELECT unnest(range({parts})) AS part)),
+b0 AS MATERIALIZED (SELECT part, r AS entry, v AS c FROM s WHERE r < {entries})"""
+    for k in range(rounds):
+        sql += f""",
+a{k} AS MATERIALIZED ({nearest.format(k=k)}),
+m{k} AS (SELECT s.part, best.entry AS entry, unnest(range(len(v))) AS place, unnest(v) AS x FROM s JOIN a{k} a ON s.r = a.r AND s.part = a.part),
+u{k} AS (SELECT part, entry, list(c ORDER BY place) AS c FROM (SELECT part, entry, place, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM m{k} GROUP BY ALL) GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(u.c, b.c) AS c FROM b{k} b LEFT JOIN u{k} u ON b.part = u.part AND b.entry = u.entry)"""
+    return sql + f""",
+z AS ({nearest.format(k=rounds)}),
+c AS (SELECT r, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM z GROUP BY r),
+h AS (SELECT sha256(coalesce(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry), '')) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM n JOIN c USING (r), h
+"""
+
+
+@query("op12_vector_codes", sql=_codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+    code = F.array_join(F.transform("code", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.fingerprint(books)).alias("codebooks_sha256"))
+
+
+@query("op13_conversation_repair", sql=r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), o AS (
+  SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))) AS bytes
+  FROM conversations
+), f AS (SELECT *, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS fault FROM o, crc),
+g AS (
+  SELECT conv, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM f WHERE fault <> 0
+), h AS (
+  SELECT *, row_number() OVER c AS i, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) AS seen, lag(role[1]) OVER c AS before
+  FROM g WINDOW c AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+), r AS MATERIALIZED (
+  SELECT conv, turn, role, text, i, before, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '-' END AS fault FROM h
+), ins(q, to_q) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+keep(initial, q, to_q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+ahead(q, place, cost, audit) AS (
+  SELECT q, q, 0, '' FROM ins UNION ALL SELECT q, to_q, 3, 'I' FROM ins UNION ALL SELECT a.q, b.to_q, 6, 'II' FROM ins a JOIN ins b ON a.to_q = b.q
+), walk AS (
+  SELECT DISTINCT conv, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS said FROM r
+  UNION ALL
+  SELECT conv, i, q, best.cost, best.audit, best.said FROM (
+    SELECT w.conv, r.i, s.to_q AS q, min({'cost': w.cost + l.cost + s.cost + CASE WHEN s.letter <> 'D' AND r.fault = 't' THEN 3 ELSE 0 END, 'audit': w.audit || l.audit || s.letter,
+      'said': w.said || CASE length(l.audit) WHEN 0 THEN '' WHEN 1 THEN CASE WHEN w.q = 2 THEN 'assistant:' ELSE 'user:' END || chr(10)
+                        ELSE CASE WHEN w.q = 2 THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END || chr(10) END
+              || CASE s.letter WHEN 'D' THEN '' WHEN 'K' THEN r.role || ':' || r.text || chr(10) ELSE CASE s.to_q WHEN 2 THEN 'user:' ELSE 'assistant:' END || r.text || chr(10) END}) AS best
+    FROM walk w JOIN r ON w.conv IS NOT DISTINCT FROM r.conv AND r.i = w.i + 1 JOIN ahead l ON l.q = w.q
+    JOIN (SELECT '' AS initial, q, q AS to_q, 4 AS cost, 'D' AS letter FROM ins UNION ALL SELECT '', q, to_q, 3, 'R' FROM ins UNION ALL SELECT initial, q, to_q, 0, 'K' FROM keep) s
+      ON s.q = l.place AND (s.letter = 'D' OR r.fault NOT IN ('b', 'd')) AND (s.letter <> 'K' OR s.initial = r.role[1])
+    GROUP BY w.conv, r.i, s.to_q
+  )
+), walked AS (SELECT w.* FROM walk w JOIN (SELECT conv, max(i) AS n FROM r GROUP BY conv) m ON w.conv IS NOT DISTINCT FROM m.conv AND w.i = m.n),
+ended AS (
+  SELECT conv, min({'cost': cost + CASE q WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'audit': audit || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'said': said || CASE q WHEN 1 THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 2 THEN 'assistant:' || chr(10) ELSE '' END}) AS best FROM walked GROUP BY conv
+), counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(regexp_replace(best.said, '\n\z', ''), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON a.conv_id IS NOT DISTINCT FROM c.conv LEFT JOIN ended e ON a.conv_id IS NOT DISTINCT FROM e.conv
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.rows_of(table(spark, sf_dir, "conversations"))
+    damaged = conversation_repair.damage(rows)
+    found = conversation_repair.summary(conversation_repair.repair(damaged), damaged).withColumnRenamed("conv", "of")
+    every = rows.select("conv").distinct()
+    empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    columns = [F.coalesce(F.col(c), empty.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns if c != "of"]
+    return every.join(found, every["conv"].eqNullSafe(found["of"]), "left").select(F.col("conv").alias("conv_id"), *columns)

@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,39 +223,48 @@ def _pack(start: np.ndarray, windows: np.ndarray, offset: np.ndarray) -> np.ndar
 
 
 def _anchors(rows: DataFrame, size: int, core: int, id_type: T.DataType) -> DataFrame:
-    """``(anchor, digest, id, tie, place)`` of every piece; place packs start,
+    """``(anchor, digest, id, tie, place, known)`` of every piece; place packs start,
     windows and the anchor's offset. A text that the task has already met under
-    a smaller id is left out: the table of equal texts settles it."""
+    a smaller id is left out: the table of equal texts settles it. A piece that
+    an equal one precedes in the same stretch of texts is known to be a repeat."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[bytes, tuple] = {}
         for b in small_batches(batches, 2, 2 << 20):
+            if len(met) >= 200_000:
+                met.clear()
             ids, ties = b.column(0).to_pylist(), b.column(1).to_pylist()
+            orders = [(i is None, i if i is not None else 0, t) for i, t in zip(ids, ties)]
+            rank = np.empty(len(ids), np.int64)
+            rank[sorted(range(len(ids)), key=orders.__getitem__)] = np.arange(len(ids))
             texts = b.column(2).cast(pa.large_binary()).to_pylist()
             for k, text in enumerate(texts):
-                mark, order = hashlib.blake2b(text, digest_size=16).digest(), (ids[k] is None, ids[k] if ids[k] is not None else 0, ties[k])
+                mark, order = hashlib.blake2b(text, digest_size=16).digest(), orders[k]
                 first = met.get(mark)
                 if first is not None and first <= order:
                     texts[k] = b""
                 else:
-                    if len(met) >= 200_000:
-                        met.clear()
                     met[mark] = order
             for numbers, shifts, raw, offsets in _stretches(texts, size):
                 key, digest, doc, start, windows, offset = pieces_of(raw, offsets, size, core)
                 row = np.array(numbers)[doc]
                 place = _pack(start + np.array(shifts)[doc], windows, offset)
+                by = np.lexsort((place, rank[row], digest, key))
+                known = np.zeros(len(key), bool)
+                known[by[1:]] = (key[by[1:]] == key[by[:-1]]) & (digest[by[1:]] == digest[by[:-1]])
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(place)], names=schema.names)
+                hidden = np.where(known, 0, key.view(np.int64)), np.where(known, 0, digest.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(hidden[0]), pa.array(hidden[1]), b.column(0).take(take), b.column(1).take(take), pa.array(place), pa.array(known)], names=schema.names)
 
-    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("id", id_type), T.StructField("tie", T.LongType()), T.StructField("place", T.LongType())])
+    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("id", id_type), T.StructField("tie", T.LongType()), T.StructField("place", T.LongType()),
+                           T.StructField("known", T.BooleanType())])
     return rows.mapInArrow(run, schema)
 
 
 # -- one anchor's pieces --------------------------------------------------------
 
 def _runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches of sorted rows with two masks: the row's first ``keys`` columns
-    differ from the row before; the row's first column differs."""
+    """Batches of sorted rows, none empty, with two masks: the row's first ``keys``
+    columns differ from the row before; the row's first column differs."""
     last: list | None = None
     for b in batches:
         if not b.num_rows:
@@ -267,24 +277,48 @@ def _runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.
         yield b, np.logical_or.reduce(change), change[0]
 
 
-def _sorted_by_anchor(pieces: DataFrame, *extra: str) -> DataFrame:
-    return (pieces.select("anchor", "digest", "id", "tie", "place", *extra).repartition("anchor")
-            .sortWithinPartitions("anchor", "digest", F.col("id").asc_nulls_last(), "tie", "place"))
-
-
-def _marks(pieces: DataFrame) -> DataFrame:
+def _once(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows without those that equal the row before in the first ``keys`` columns."""
+    last: list | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        again = np.zeros(b.num_rows, bool)
+        again[1:] = True
+        for c in b.columns[:keys]:
+            now, before = c.slice(1), c.slice(0, b.num_rows - 1)
+            same = pc.or_(pc.fill_null(pc.equal(now, before), False), pc.and_(pc.is_null(now), pc.is_null(before)))
+            again[1:] &= same.to_numpy(zero_copy_only=False)
+        again[0] = last == [c[0].as_py() for c in b.columns[:keys]]
+        last = [c[b.num_rows - 1].as_py() for c in b.columns[:keys]]
+        yield b.filter(pa.array(~again))
+
+
+def _marks(pieces: DataFrame, repeated: bool) -> DataFrame:
     """The rows of anchors that are met more than once: ``anchor`` null where an
-    equal piece comes earlier, else set, but only if the anchor has different pieces."""
-    extra = [c for c in pieces.columns if c not in ("anchor", "digest", "id", "tie", "place")]
-    rows = _sorted_by_anchor(pieces, *extra)
+    equal piece comes earlier, else set, but only if the anchor has different pieces.
+    With ``repeated`` rows, the same piece of the same row counts once."""
+    first = ["anchor", "digest", "id", "tie", "place", "known"]
+    dealt = F.when(F.col("known"), F.xxhash64("id", "tie", "place")).otherwise(F.col("anchor"))  # known repeats go anywhere
+    rows = (pieces.select(*first, *[c for c in pieces.columns if c not in first]).repartition(dealt)
+            .sortWithinPartitions("known", "anchor", "digest", F.col("id").asc_nulls_last(), "tie", "place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: pa.RecordBatch | None = None  # the anchor's first piece, while no other is met
-        for b, new, new_anchor in _runs_of(batches, 2):
-            out = []
+        def settled(b: pa.RecordBatch) -> pa.RecordBatch:
+            return b.set_column(0, "anchor", pa.nulls(b.num_rows, pa.int64()))
+
+        def unknown() -> Iterator[pa.RecordBatch]:
+            for b in _once(batches, 5) if repeated else batches:
+                held.append(settled(b.filter(b.column(5))))
+                yield b.filter(pc.invert(b.column(5)))
+
+        held: list[pa.RecordBatch] = []
+        for b, new, new_anchor in _runs_of(unknown(), 2):
+            out, held[:] = list(held), []
             repeats = b.filter(pa.array(~new))
             if repeats.num_rows:
-                out.append(repeats.set_column(0, "anchor", pa.nulls(repeats.num_rows, pa.int64())))
+                out.append(settled(repeats))
             firsts = np.flatnonzero(new)
             if len(firsts):
                 opens = new_anchor[firsts]
@@ -297,6 +331,7 @@ def _marks(pieces: DataFrame) -> DataFrame:
             for x in out:
                 if x.num_rows:
                     yield x
+        yield from (x for x in held if x.num_rows)
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -434,7 +469,7 @@ def _repeats(pieces: DataFrame, size: int, id_type: T.DataType) -> DataFrame:
 def _grown(pieces: DataFrame, size: int, id_type: T.DataType) -> DataFrame:
     """Pieces of too many kinds as their two parts, each under its grown core."""
     schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("id", id_type), T.StructField("tie", T.LongType()),
-                           T.StructField("place", T.LongType()), T.StructField("core", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
+                           T.StructField("place", T.LongType()), T.StructField("known", T.BooleanType()), T.StructField("core", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
     short = lambda *x: int.from_bytes(hashlib.blake2b(b"".join(x), digest_size=8).digest(), "little", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,8 +478,8 @@ def _grown(pieces: DataFrame, size: int, id_type: T.DataType) -> DataFrame:
             for anchor, i, tie, place, core, text in zip(*(c.to_pylist() for c in b.columns)):
                 for side, first, part, start, grown in _parts(text, place & 255, core, size):
                     head = anchor.to_bytes(8, "little", signed=True) + bytes([side])
-                    out.append((short(head, part[start:start + grown]), short(part), i, tie, (((place >> 16) + first) << 16) | ((len(part) - size + 1) << 8) | start, grown, part))
-            types = [pa.int64(), pa.int64(), b.schema.field("id").type, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                    out.append((short(head, part[start:start + grown]), short(part), i, tie, (((place >> 16) + first) << 16) | ((len(part) - size + 1) << 8) | start, False, grown, part))
+            types = [pa.int64(), pa.int64(), b.schema.field("id").type, pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=schema.names)
 
     return pieces.select("anchor", "id", "tie", "place", "core", "bytes").mapInArrow(run, schema)
@@ -462,7 +497,7 @@ def _fetch(wanted: DataFrame, rows: DataFrame, size: int, core: int) -> DataFram
     one = both.select("id", "tie", utf8.alias("raw"), "asked").select("id", "tie", F.transform("asked", lambda x: F.struct(
         x["anchor"].alias("anchor"), x["place"].alias("place"),
         F.substring(F.col("raw"), (F.shiftright(x["place"], 16) + 1).cast("int"), (F.shiftright(x["place"], 8).bitwiseAND(F.lit(255)) + (size - 1)).cast("int")).alias("bytes"))).alias("got"))
-    return one.select("id", "tie", F.explode("got").alias("g")).select("g.anchor", "id", "tie", "g.place", F.lit(core).alias("core"), "g.bytes").distinct()
+    return one.select("id", "tie", F.explode("got").alias("g")).select("g.anchor", "id", "tie", "g.place", F.lit(core).alias("core"), "g.bytes")
 
 
 # -- the operator -----------------------------------------------------------------
@@ -489,25 +524,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = materialise(classes, "equal-texts")
 
     # different pieces of one anchor
-    marks = materialise(_marks(_anchors(rows, size, core, id_type)), "pieces")
+    marks = materialise(_marks(_anchors(rows, size, core, id_type), repeated), "pieces")
     window_count = F.shiftright("place", 8).bitwiseAND(F.lit(255)).cast("long").alias("windows")
     equal = lambda m: m.filter("anchor is null").select("id", "tie", F.shiftright("place", 16).alias("start"), window_count)
-    runs, wanted = equal(marks), marks.filter("anchor is not null").select("anchor", "id", "tie", "place")
-    hot = materialise(wanted.groupBy("anchor").count().filter(F.col("count") > max_pieces).select("anchor"), "hot-anchors")
-    if hot.isEmpty():
-        runs = runs.unionByName(_repeats(_fetch(wanted, rows, size, core), size, id_type))
-    else:
-        runs = runs.unionByName(_repeats(_fetch(wanted.join(hot, "anchor", "left_anti"), rows, size, core), size, id_type))
-        open_ = _fetch(wanted.join(hot, "anchor", "left_semi"), rows, size, core)
-        while True:
-            marks = materialise(_marks(_grown(open_, size, id_type)), "grown-pieces")
-            runs = runs.unionByName(equal(marks))
-            wanted = marks.filter("anchor is not null")
-            hot = materialise(wanted.groupBy("anchor").count().filter(F.col("count") > max_pieces).select("anchor"), "hot-anchors")
-            runs = runs.unionByName(_repeats(wanted.join(hot, "anchor", "left_anti"), size, id_type))
-            if hot.isEmpty():
-                break
-            open_ = wanted.join(hot, "anchor", "left_semi")
+    runs = equal(marks)
+    pieces = _fetch(marks.filter("anchor is not null"), rows, size, core)
+    pieces = materialise(pieces.distinct() if repeated else pieces, "piece-bytes")
+    while True:
+        hot = materialise(pieces.groupBy("anchor").count().filter(F.col("count") > max_pieces).select("anchor"), "hot-anchors")
+        if hot.isEmpty():
+            runs = runs.unionByName(_repeats(pieces, size, id_type))
+            break
+        runs = runs.unionByName(_repeats(pieces.join(hot, "anchor", "left_anti"), size, id_type))
+        marks = materialise(_marks(_grown(pieces.join(hot, "anchor", "left_semi"), size, id_type), False), "grown-pieces")
+        runs, pieces = runs.unionByName(equal(marks)), marks.filter("anchor is not null")
 
     # cut
     found = runs.groupBy("id", "tie").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") + (size - 1)).alias("end"))).alias("runs"))
