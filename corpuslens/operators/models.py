@@ -1,8 +1,8 @@
-"""Model-backed operators on MLlib: topic models, a train-on-synthetic /
-test-on-real text classifier, silver labels, hashed featuriser, ROUGE.
+"""Model-backed operators on MLlib: a train-on-synthetic / test-on-real text
+classifier, silver labels, hashed featuriser; topic words; ROUGE.
 
-Model fits are distributed MLlib estimators; only bounded model state
-(vocabulary up to ``vocab_size``, k x vocab topic matrix) reaches the driver.
+Model fits are distributed MLlib estimators; only bounded model state reaches
+the driver.
 """
 
 from __future__ import annotations
@@ -35,53 +35,6 @@ def topic_tokens(text: Column, stopwords=TOPIC_STOPWORDS, min_len: int = 3) -> C
     return F.filter(words, lambda w: ~w.isin(list(stopwords)))
 
 
-def topic_model(docs: DataFrame, *, text_col: str = "text", k: int = 3, max_iter: int = 10,
-                n_words: int = 5, vocab_size: int | None = None, seed: int = 7):
-    """LDA (online) on bag-of-words; returns (model, vocabulary, featurised docs,
-    topics table (topic, rank, term, weight)). ``vocab_size`` None keeps every
-    term; the features are written once and read by every iteration."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-
-    toks = materialise(docs.select("*", topic_tokens(F.col(text_col)).alias("_tok")), "topic-tokens")
-    if vocab_size is None:
-        vocab_size = max(1, toks.select(F.explode("_tok").alias("t")).distinct().count())
-    cv = CountVectorizer(inputCol="_tok", outputCol="features", vocabSize=vocab_size).fit(toks)
-    feats = materialise(cv.transform(toks), "topic-features")
-    lda = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed).fit(feats)
-    vocab = cv.vocabulary
-    spark = docs.sparkSession
-    vocab_df = spark.createDataFrame([(i, w) for i, w in enumerate(vocab)], "term_index int, term string")
-    topics = (lda.describeTopics(n_words)
-              .select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "z"))
-              .select("topic", (F.col("rank") + 1).alias("rank"), F.col("z.termIndices").alias("term_index"),
-                      F.col("z.termWeights").alias("weight"))
-              .join(F.broadcast(vocab_df), "term_index").drop("term_index"))
-    return lda, vocab, feats, topics
-
-
-def topic_explorer(lda, vocab: list[str], feats: DataFrame, lam: float = 0.6, top_n: int = 30) -> DataFrame:
-    """(topic, term, p_term_topic, p_term, relevance, topic_share) for the top
-    terms of each topic: relevance = lam ln p(w|t) + (1-lam) ln(p(w|t)/p(w))."""
-    spark = feats.sparkSession
-    tm = lda.topicsMatrix().toArray()            # vocab x k (bounded by vocab size)
-    pwt = tm / tm.sum(axis=0, keepdims=True)
-    term_freq = feats.select(F.explode(F.col("_tok")).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
-    from pyspark.ml.functions import vector_to_array
-    dist = lda.transform(feats).select(vector_to_array("topicDistribution").alias("d"))
-    share = dist.select(F.posexplode("d").alias("topic", "p")).groupBy("topic").agg(F.avg("p").alias("topic_share"))
-    rows = []
-    for t in range(pwt.shape[1]):
-        top = np.argsort(-pwt[:, t])[:top_n]
-        rows.extend((t, vocab[i], float(pwt[i, t])) for i in top)
-    tt = spark.createDataFrame(rows, "topic int, term string, p_term_topic double")
-    total = term_freq.agg(F.sum("tf").alias("_n"))
-    pw = join_scalars(term_freq, total).select("term", (F.col("tf") / F.col("_n")).alias("p_term"))
-    out = tt.join(pw, "term").join(share, "topic").withColumn(
-        "relevance", lam * F.log("p_term_topic") + (1 - lam) * F.log(F.col("p_term_topic") / F.col("p_term")))
-    return out.select("topic", "term", "p_term_topic", "p_term", "relevance", "topic_share")
-
-
 def text_features(text_col: str = "text", num_features: int = 1 << 18):
     """Stages: lower-cased word tokens -> hashed term frequencies -> IDF."""
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer

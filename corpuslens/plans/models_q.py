@@ -1,4 +1,4 @@
-"""Model-backed queries.
+"""Model-backed queries.
 
 Model fits are seeded but not bit-reproducible across engines, so most of
 these are checked on rows only; ROUGE-n has a SQL twin.
@@ -15,17 +15,6 @@ from . import roles
 from .catalog import register
 
 
-@register("topics_lda")
-def topics_lda(spark, sf):
-    return MD.topic_model(roles.syn_docs(spark, sf), k=3, max_iter=10, n_words=5)[3]
-
-
-@register("topic_explorer")
-def topic_explorer(spark, sf):
-    lda, vocab, feats, _ = MD.topic_model(roles.syn_docs(spark, sf), k=3, max_iter=10)
-    return MD.topic_explorer(lda, vocab, feats, top_n=10)
-
-
 def _labelled(spark, sf):
     docs = roles.documents(spark, sf)
     lab = roles.table(spark, sf, "labels")

@@ -51,6 +51,17 @@ def entities(spark, sf_dir) -> DataFrame:
                     F.array_join(F.slice("w", F.array_position(first, long).cast("int"), n), " ").alias("entity"))
 
 
+def gazetteer(spark, sf_dir) -> DataFrame:
+    """(entity, label): of each item a name of one to six words around its longest
+    word, one that begins inside it, and its first two words."""
+    b = table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " "))
+    long = F.reduce("w", F.lit(""), lambda a, x: F.when((F.length(x) > F.length(a)) | ((F.length(x) == F.length(a)) & (x < a)), x).otherwise(a))
+    b = b.withColumn("at", F.greatest(F.least(F.array_position("w", long).cast("int"), F.size("w") - 6), F.lit(1)))
+    name = lambda start, n, label: F.struct(F.array_join(F.slice("w", start, n), " ").alias("entity"), F.lit(label).alias("label"))
+    at, i = F.col("at"), F.col("item_id")
+    return b.select(F.explode(F.array(name(at, (i % 6 + 1).cast("int"), "whole"), name(at + 1, (i * 7 % 5 + 1).cast("int"), "inner"), name(at, F.lit(2), "head"))).alias("n")).select("n.*")
+
+
 def single_label_predictions(spark, sf_dir) -> DataFrame:
     """ground = quality label, predicted = long-document rule, subgroup = lang."""
     lab = table(spark, sf_dir, "labels")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from corpuslens.operators import classify, coref, models, quality, similarity
+from corpuslens.operators import classify, coref, quality, similarity, topics
 
 
 def test_links_that_do_not_converge_raise(spark):
@@ -14,8 +14,7 @@ def test_links_that_do_not_converge_raise(spark):
 
 def test_topic_vocabulary_keeps_every_term(spark):
     docs = spark.createDataFrame([(k, " ".join(f"word{'abcdefghij'[k]}{x}" for x in ("alpha", "beta", "gamma"))) for k in range(10)], "doc_id long, text string")
-    _, vocab, _, _ = models.topic_model(docs, k=2, max_iter=1)
-    assert len(vocab) == 30
+    assert topics.fit_topics(docs, k=2, passes=0).words.count() == 30
 
 
 def test_unknown_metrics_are_rejected(spark):
