@@ -20,6 +20,14 @@ def id_fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds
 
 
+def fresh_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def type_of(df: DataFrame, col: str) -> T.DataType:
     return df.schema[col].dataType
 

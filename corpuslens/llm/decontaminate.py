@@ -4,8 +4,10 @@
    against. A window can only reach similarity ``t`` with an item of ``m``
    shingles if at most ``e = m - ceil(2 t m / (1 + t))`` of its shingles are not
    the item's; so one of its first ``e + 1`` and one of its last ``e + 1``
-   shingles must be. Only windows that meet both conditions are fingerprinted;
-   no window that could pass the final check is left out.
+   shingles must be. Of the item's, a match of any length misses at most ``m - t m``,
+   so it holds one of the rarest few that exceed this number: documents and items
+   come together only over these, and a phrase that many share pairs none of them. Only windows that meet these
+   conditions are fingerprinted; no window that could pass the check is left out.
 2. *Fingerprints.* 64-bit SimHash of the window's words, repeats included, so an
    exchanged word moves few bits.
 3. *Multi-index blocks.* The fingerprint is cut into ``blocks`` parts. Two
@@ -24,13 +26,13 @@ which has at most one window per word and item size.
 Defined results: null and empty texts and items without a word match nothing; an
 item of fewer words than a shingle is one shingle; a document shorter than the
 item is one window; repeated documents are reported once; a null id is
-reported as null; repeated items are reported each; empty tables give no rows;
-other columns are ignored.
+reported as null; repeated items are reported each; a very long text is one row's
+arrays of words and hashes; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -81,18 +83,41 @@ def prepare_items(benchmark: DataFrame, id_col: str, text_col: str, shingle_word
     return rows.withColumn("grams", grams(F.col("w"), F.col("g"))).drop("w")
 
 
-def _anchors(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Where documents hold a shingle of an item: ``(doc_id, key, n_doc, p, item_id, n, m, e)``."""
+def _same_document(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
+
+
+def rarest(listed: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Of each item the shingles that documents hold least often, until they make
+    up more than a match of any length may miss (``m - t m``, for a document
+    shorter than the item): every match holds one of them."""
+    missed = F.col("m") - F.ceil(F.round(threshold * F.col("m"), 9)).cast("int")
+    often = found.groupBy("h").agg(F.count("*").alias("f"))
+    ranked = listed.join(often, "h", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    order = Window.partitionBy("item_id", "text").orderBy("f", "h").rowsBetween(Window.unboundedPreceding, -1)
+    return ranked.withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0))).filter(F.col("before") <= missed).drop("before", "f", "c")
+
+
+def _anchors(docs: DataFrame, items: DataFrame, broadcast_rows: int, threshold: float = 0.8) -> DataFrame:
+    """Where documents hold a shingle of an item: ``(doc_id, key, n_doc, p, item_id,
+    n, m, e)``, of the documents and items that share one of the item's rarest."""
     out = None
     for g in [r.g for r in items.select("g").distinct().collect()]:  # at most shingle_words values
-        listed = (items.filter(F.col("g") == g).select("item_id", "n", "m", "e", F.explode(F.array_distinct(F.transform("grams", lambda x: F.xxhash64(*[F.get(F.split(x, " "), F.lit(k)) for k in range(g)])))).alias("h")))  # noqa: B023
-        hashes = listed.select("h").distinct()
-        if hashes.count() <= broadcast_rows:  # 8 bytes each; above that, both sides are shuffled by h
-            hashes = F.broadcast(hashes)
+        once = items.filter(F.col("g") == g).withColumn("text", F.xxhash64("grams")).dropDuplicates(["item_id", "text"])
+        hashes = F.transform("grams", lambda x: F.xxhash64(*[F.get(F.split(x, " "), F.lit(k)) for k in range(g)]))  # noqa: B023
+        listed = once.select("item_id", "text", "n", "m", "e", F.explode(hashes).alias("h")).groupBy("item_id", "text", "n", "m", "e", "h").agg(F.count("*").alias("c"))
+        listed = materialise(listed, "item-shingles")
+        wanted = listed.select("h").distinct()
+        if wanted.count() <= broadcast_rows:  # 8 bytes each; above that, both sides are shuffled by h
+            wanted = F.broadcast(wanted)
         found = (docs.select("doc_id", "key", F.size("w").alias("n_doc"), F.posexplode(gram_hashes(F.col("w"), g)).alias("p", "h"))
-                 .join(hashes, "h"))
+                 .join(wanted, "h"))
         found = materialise(found, "shingles-found")
-        found = found.join(listed, "h").select("doc_id", "key", "n_doc", "p", "item_id", "n", "m", "e")
+        pairs = found.join(rarest(listed, found, threshold), "h").select("doc_id", "key", "item_id", "text", "n", "m", "e").distinct()
+        own = found.alias("f").join(pairs.alias("o"), _same_document("f", "o")).select("f.doc_id", "f.key", "f.n_doc", "f.p", "f.h", "o.item_id", "o.text", "o.n", "o.m", "o.e")
+        held = listed.select(F.col("item_id").alias("of"), F.col("text").alias("as"), F.col("h").alias("at"))
+        found = own.join(held, own["item_id"].eqNullSafe(held["of"]) & (own["text"] == held["as"]) & (own["h"] == held["at"]), "left_semi")
+        found = found.select("doc_id", "key", "n_doc", "p", "item_id", "n", "m", "e")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -140,13 +165,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = materialise(prepare_items(benchmark, item_id_col, item_text_col, shingle_words, threshold), "items")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
     texts = texts.filter(F.col("t").isNotNull()).select("doc_id", F.xxhash64("t").alias("key"), "t")
-    anchors = _anchors(texts.select("doc_id", "key", words(F.col("t")).alias("w")), items, broadcast_rows)
+    anchors = _anchors(texts.select("doc_id", "key", words(F.col("t")).alias("w")), items, broadcast_rows, threshold)
     if anchors is None:  # no item has a word
         anchors = texts.limit(0).select("doc_id", "key", F.lit(0).alias("n_doc"), F.lit(0).alias("p")).join(items.select("item_id", "n", "m", "e"), F.lit(False))
     starts = materialise(_windows(anchors), "window-starts")
     held = starts.groupBy("doc_id", "key").agg(F.collect_set(F.struct("n", "s")).alias("at"))  # at most a window per word and item size
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
-    rows = (texts.alias("d").join(materialise(held, "windows-by-document").alias("h"), same("d", "h")).select("d.doc_id", "d.key", words(F.col("d.t")).alias("w"), "h.at")
+    rows = (texts.alias("d").join(materialise(held, "windows-by-document").alias("h"), _same_document("d", "h")).select("d.doc_id", "d.key", words(F.col("d.t")).alias("w"), "h.at")
             .select("doc_id", "key", "w", F.explode("at").alias("a")).select("doc_id", "key", "a.n", "a.s", F.slice("w", F.col("a.s") + 1, F.col("a.n")).alias("w")))
     windows = materialise(with_simhash(rows), "windows")
     index = items.select("item_id", "n", "fp", F.explode(block_values(F.col("fp"), blocks, radius // blocks)).alias("b")).select("item_id", "n", "b.*", F.col("fp").alias("item_fp"))
@@ -154,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = (probes.join(index, ["n", "block", "value"]).withColumn("hamming", bits).filter(F.col("hamming") <= radius)
              .select("doc_id", "key", "n", "s", "item_id", "hamming").distinct())
-    checked = (pairs.alias("p").join(windows.alias("x"), same("p", "x") & (F.col("p.n") == F.col("x.n")) & (F.col("p.s") == F.col("x.s")))
+    checked = (pairs.alias("p").join(windows.alias("x"), _same_document("p", "x") & (F.col("p.n") == F.col("x.n")) & (F.col("p.s") == F.col("x.s")))
                .join(items.alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("p.n") == F.col("i.n"))))
     held = checked.select("p.doc_id", "p.key", "p.item_id", "p.hamming", "p.s", "p.n", grams(F.col("x.w"), F.least(F.size("x.w"), F.lit(shingle_words))).alias("a"), F.col("i.grams").alias("b"))
     best = F.max(F.struct(weighted_jaccard(F.col("a"), F.col("b")).alias("similarity"), (-F.col("hamming")).alias("h"), (-F.col("s")).alias("s"), "n")).alias("b")

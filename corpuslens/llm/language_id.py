@@ -1,5 +1,7 @@
 """Language identification of mixed-language text.
 
+A word is a run of letters of one script with their combining marks; it ends
+where the script changes, so text that runs two scripts together is cut there.
 Per-word scores are sums of log probabilities of hashed character trigrams
 (word edges included) under one add-alpha model per language. The script of a
 word (code point ranges) narrows its candidates to the languages that were seen
@@ -18,7 +20,8 @@ so is every text if nothing was learned. Letters of a script that no language
 was seen in count for no language; a text of only such letters gets the most
 frequent language with score 0. Ties go to the language that comes first by
 code point; null ids pass through; repeated rows repeat their result; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; a very long text is scored whole, a few dozen bytes of working
+memory a character; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +43,30 @@ BUCKETS = 1 << 16
 _TABLE = 0x30000  # code points from here on count as letters without case
 
 #: Scripts by code point ranges (Unicode blocks); 0 is any other.
-SCRIPT_RANGES = ((1, 0x41, 0x24F), (1, 0x1E00, 0x1EFF), (2, 0x370, 0x3FF), (2, 0x1F00, 0x1FFF), (3, 0x400, 0x52F), (4, 0x530, 0x58F), (5, 0x590, 0x5FF),
-                 (6, 0x600, 0x6FF), (6, 0x750, 0x77F), (7, 0x900, 0x97F), (8, 0x980, 0x9FF), (9, 0xB80, 0xBFF), (10, 0xE00, 0xE7F), (11, 0x10A0, 0x10FF),
-                 (12, 0x1100, 0x11FF), (12, 0xAC00, 0xD7AF), (13, 0x3040, 0x30FF), (14, 0x3400, 0x9FFF), (14, 0x20000, 0x2FFFF))
-SCRIPTS = 15
+SCRIPT_RANGES = ((1, 0x41, 0x24F), (1, 0x1E00, 0x1EFF), (1, 0xFF21, 0xFF5A), (2, 0x370, 0x3FF), (2, 0x1F00, 0x1FFF), (3, 0x400, 0x52F), (4, 0x530, 0x58F), (5, 0x590, 0x5FF),
+                 (6, 0x600, 0x6FF), (6, 0x750, 0x77F), (6, 0xFB50, 0xFDFF), (6, 0xFE70, 0xFEFF), (7, 0x900, 0x97F), (8, 0x980, 0x9FF), (9, 0xB80, 0xBFF), (10, 0xE00, 0xE7F), (11, 0x10A0, 0x10FF),
+                 (12, 0x1100, 0x11FF), (12, 0x3130, 0x318F), (12, 0xAC00, 0xD7AF), (12, 0xFFA0, 0xFFDC), (13, 0x3040, 0x30FF), (13, 0x31F0, 0x31FF), (13, 0xFF66, 0xFF9F),
+                 (14, 0x3005, 0x3007), (14, 0x3400, 0x9FFF), (14, 0xF900, 0xFAFF), (14, 0x20000, 0x2FFFF), (15, 0xA00, 0xA7F), (16, 0xA80, 0xAFF), (17, 0xC00, 0xC7F),
+                 (18, 0xC80, 0xCFF), (19, 0xD00, 0xD7F), (20, 0xD80, 0xDFF), (21, 0xE80, 0xEFF), (22, 0x1000, 0x109F), (23, 0x1200, 0x139F), (24, 0x1780, 0x17FF),
+                 (25, 0xF00, 0xFFF), (26, 0xB00, 0xB7F), (27, 0x13A0, 0x13FF), (28, 0x1800, 0x18AF))
+SCRIPTS = 29
+#: Modifier letters, which belong to the script of the letter before them like combining marks.
+MODIFIERS = (0x2B0, 0x2FF)
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each code point: whether it is a letter, its lower case, its script."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: whether it is a letter, its lower case, its script, and
+    whether it goes with the letter before it."""
     chars = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(_TABLE)]
     letter = np.array([c.isalpha() for c in chars])
     lower = np.array([ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(chars)], np.uint32)
     script = np.zeros(_TABLE, np.int8)
     for s, lo, hi in SCRIPT_RANGES:
         script[lo:hi + 1] = s
-    return letter, lower, script
+    mark = np.array([unicodedata.category(c)[0] == "M" for c in chars])
+    mark[MODIFIERS[0]:MODIFIERS[1] + 1] = True
+    return letter & ~mark, lower, script, mark
 
 
 @dataclass
@@ -68,18 +80,29 @@ class Words:
 
 
 def words_of(text: str) -> Words:
-    letter, lower, script = _tables()
+    """Runs of letters of one script, with the marks that follow a letter: a word
+    ends where the script changes, so each has one script."""
+    letter, lower, script, mark = _tables()
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     known = np.minimum(code, _TABLE - 1)
-    is_letter = np.where(code < _TABLE, letter[known], True)
-    low = np.where(is_letter, np.where(code < _TABLE, lower[known], code), 0).astype(np.uint64)
-    edge = np.diff(np.concatenate([[0], is_letter.view(np.int8), [0]]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    padded = np.concatenate([[0], low, [0]]).astype(np.uint64)
-    mixed = padded[:-2] * np.uint64(0x9E3779B97F4A7C15) + padded[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + padded[2:] * np.uint64(0x165667B19E3779F9)
-    grams = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48))[is_letter].astype(np.int64)
+    inside = code < _TABLE
+    is_letter, is_mark = np.where(inside, letter[known], True), inside & mark[known]
+    at = np.arange(len(code))
+    owner = np.maximum.accumulate(np.where(is_mark, -1, at)) if len(code) else at  # the last place that is no mark
+    in_word = is_letter | (is_mark & (owner >= 0) & is_letter[owner])
+    own = np.where(inside, script[known], 0)[np.maximum(owner, 0)]
+    begins = in_word.copy()
+    begins[1:] &= ~in_word[:-1] | (own[1:] != own[:-1])
+    ends = in_word.copy()
+    ends[:-1] &= ~in_word[1:] | begins[1:]
+    low = np.where(in_word, np.where(inside, lower[known], code), 0).astype(np.uint64)
+    before, after = np.concatenate([[0], low])[:-1].astype(np.uint64), np.concatenate([low, [0]])[1:].astype(np.uint64)
+    before[begins], after[ends] = 0, 0
+    mixed = before * np.uint64(0x9E3779B97F4A7C15) + low * np.uint64(0xC2B2AE3D27D4EB4F) + after * np.uint64(0x165667B19E3779F9)
+    grams = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48))[in_word].astype(np.int64)
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.concatenate([[0], np.cumsum(end - start)])[:-1]
-    return Words(start, end, np.where(code[start] < _TABLE, script[known[start]], 0), grams, first)
+    return Words(start, end, own[start], grams, first)
 
 
 # -- model ------------------------------------------------------------------
@@ -123,7 +146,7 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
     if not counts:
         return None
     rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_language / n))]), c(lang_col))
-    draw = F.pmod(F.xxhash64(c(id_col), F.lit("language-id")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(c(id_col), c(text_col), F.lit("language-id")), F.lit(1 << 30)) / float(1 << 30)
     cells = _count(rows.filter(draw < rate).select(c(text_col).cast("string"), c(lang_col))).collect()
     languages = sorted({r.lang for r in cells})
     if not languages:

@@ -10,8 +10,11 @@ commonest words, up to less than ``t`` of its norm, are set aside. Only lines
 with a key word are taken apart; no line that could match is left out.
 Equal lines are compared once, however many files hold them.
 
-*Texts and headers.* With ``texts`` (whole licence texts, standard headers, SPDX
-lines, the notices; several per licence, with an idf of their own), files that hold
+*Tags.* ``SPDX-License-Identifier:`` tags are read as licence expressions, ids whole;
+their first id goes before any likeness, and all their ids are among ``licenses``.
+
+*Texts and headers.* With ``texts`` (whole licence texts, standard headers, the
+notices; several per licence, with an idf of their own), files that hold
 a licence word (``WORDS``) are also compared over their lines: comment marks are no
 words, so a header of several lines, a notice inside a longer line and a whole text
 are runs of words. Three-word shingles shared with a template vote for where it would
@@ -31,8 +34,9 @@ Words are runs of letters and digits, with inner dots before a digit kept
 Defined results: a null or empty text has no licence of its own; a null path is
 a file in the root; of several matches in a file the best cosine wins, then the
 first template by id; of several licence files in a directory likewise; repeated
-rows are repeated with the same result; empty tables give no rows; other columns
-are ignored.
+rows are repeated with the same result; a line that denies a licence ("is not
+licensed under") names none; of a very long text only lines and windows with a
+licence word are taken apart; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,11 +62,15 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 LICENSE_FILE = r"^(?:LICEN[CS]E|COPYING|NOTICE|UNLICENSE)(?:[.\-_].*)?$"
-_SPDX = [(i, i) for i in ("0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "ISC", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib")]
-_SPDX += [(i, i + v) for i in ("AGPL-3.0", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for v in ("", "-only", "-or-later")]
+#: A tag's licence expression: ids joined by AND, OR and WITH (fixed form).
+SPDX = r"(?i:SPDX-License-Identifier):[ \t]*\(*([A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)"
+#: Known ids; others state nothing that the scan can name.
+SPDX_IDS = ("0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-2-Clause-Patent", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0",
+            "CC0-1.0", "EPL-2.0", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib")
+#: A line that denies a licence is no notice of it.
+DENIAL = r"(?i)\bnot\s+(?:\w+\s+)?(?:licen[sc]ed|released|distributed|covered|available)\b"
 #: ``(licence, text, whole lines only)``.
-LONG = ([(i, t, False) for i, t in (*TEMPLATES, *HEADERS, *TEXTS)] + [(i, f"SPDX-License-Identifier: {name}", False) for i, name in _SPDX]
-        + [(i, t, True) for i, t in HEADINGS])
+LONG = [(i, t, False) for i, t in (*TEMPLATES, *HEADERS, *TEXTS)] + [(i, t, True) for i, t in HEADINGS]
 WORDS = r"licen[sc]|copyright|permission|warrant|redistribut|spdx|public domain"
 SHINGLE = 3
 WORD = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
@@ -142,19 +150,33 @@ def folder(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "/+$", "")
 
 
+def spdx_ids(text: Column) -> Column:
+    """The licence ids of a text's SPDX tags, in order: each expression is read
+    whole, exceptions (WITH) are left out, and -only, -or-later and + dropped."""
+    said = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda e: F.regexp_replace(e, r"[ \t]+WITH[ \t]+\S+", ""))
+    ids = F.flatten(F.transform(said, lambda e: F.split(F.regexp_replace(e, r"[()]", ""), r"[ \t]+(?:AND|OR)[ \t]+")))
+    ids = F.array_distinct(F.transform(ids, lambda i: F.regexp_replace(i, r"(?:-only|-or-later|\+)$", "")))
+    return F.filter(ids, lambda i: i.isin(*SPDX_IDS))
+
+
+def detect_tags(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """``(path, license_id, score, place)``: the ids that SPDX tags state, score 1."""
+    named = files.select(F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"), F.col(f"`{text_col}`").alias("text"))
+    tagged = named.filter(F.col("text").rlike("(?i)SPDX-License-Identifier:")).select("path", spdx_ids(F.col("text")).alias("ids"))
+    return tagged.select("path", F.posexplode("ids").alias("place", "license_id")).select("path", "license_id", F.lit(1.0).alias("score"), "place")
+
+
 def detect(files: DataFrame, templates: DataFrame, least: float = 0.7, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """``(path, license_id, score)`` of the paths whose text names a licence."""
+    """``(path, license_id, score)`` of every licence that a path's text names."""
     weights, idf, unseen = weigh(templates.select("license_id", "text"))
     pattern = key_pattern(weights, least, commonness(files, weights, text_col))
     named = files.select(F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"), F.col(f"`{text_col}`").alias("text"))
     whole = F.when(F.regexp_extract("path", r"[^/]*$", 0).rlike("(?i)" + LICENSE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
     units = (named.filter(F.lower("text").rlike(pattern)).select("path", F.explode(F.concat(F.split("text", "\n"), whole)).alias("unit"))
-             .filter(F.lower("unit").rlike(pattern)))
+             .filter(F.lower("unit").rlike(pattern) & ~F.col("unit").rlike(DENIAL)))
     units = materialise(units.withColumn("key", F.sha2("unit", 256)), "notice-lines")
     best = match_units(units, weights, idf, unseen, least)
-    hits = units.select("path", "key").join(best, "key").groupBy("path", "license_id").agg(F.max("score").alias("score"))
-    first = F.min(F.struct((-F.col("score")).alias("minus"), "license_id")).alias("b")
-    return hits.groupBy("path").agg(first).select("path", "b.license_id", (-F.col("b.minus")).alias("score"))
+    return units.select("path", "key").join(best, "key").groupBy("path", "license_id").agg(F.max("score").alias("score"))
 
 
 def shingles(words: Column) -> Column:
@@ -164,7 +186,7 @@ def shingles(words: Column) -> Column:
 
 
 def detect_texts(files: DataFrame, texts: DataFrame, least: float = 0.7, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """``(path, license_id, score)`` of the paths that hold a licence's text, header or title."""
+    """``(path, license_id, score)`` of every licence whose text, header or title a path holds."""
     texts = materialise(texts.withColumn("words", tokens(F.col("text"))), "licence-texts")
     weights, idf, unseen = weigh(texts.select("license_id", "text"))
     weights, idf = materialise(weights, "text-weights"), materialise(idf, "text-idf")
@@ -181,17 +203,16 @@ def detect_texts(files: DataFrame, texts: DataFrame, least: float = 0.7, path_co
     best = met.groupBy("file", "license_id", "n_words").agg(F.sum("votes").alias("shared"), F.min(F.struct((-F.col("votes")).alias("minus"), "begin"))["begin"].alias("begin"))
     best = best.filter(F.col("shared") * 20 >= F.col("n_words") - (SHINGLE - 1))
     window = F.slice("words", F.greatest(F.col("begin"), F.lit(0)) + 1, F.col("n_words") + F.least(F.col("begin"), F.lit(0)))
-    windows = once.select("file", "words").join(best, "file").select("file", F.array_join(window, " ").alias("unit"))
-    lines = once.select("file", F.explode(F.split("text", "\n")).alias("unit")).filter(F.lower("unit").rlike(WORDS))
+    opening = F.array_join(F.slice("words", F.greatest(F.col("begin") - 3, F.lit(0)) + 1, 7), " ")  # a denial stands before or at the window's first words
+    windows = once.select("file", "words").join(best, "file").filter(~opening.rlike(DENIAL)).select("file", F.array_join(window, " ").alias("unit"))
+    lines = once.select("file", F.explode(F.split("text", "\n")).alias("unit")).filter(F.lower("unit").rlike(WORDS) & ~F.col("unit").rlike(DENIAL))
     units = windows.withColumn("line", F.lit(False)).unionByName(lines.withColumn("line", F.lit(True)))
     units = materialise(units.withColumn("key", F.sha2("unit", 256)).distinct(), "text-units")
 
     matched = match_units(units, weights, idf, unseen, least)
     hits = units.select("file", "key").distinct().join(matched, "key").withColumn("license_id", F.substring_index("license_id", "#", 1))
-    first = F.min(F.struct((-F.col("score")).alias("minus"), "license_id")).alias("b")
-    found = hits.groupBy("file").agg(first).select("file", "b.license_id", (-F.col("b.minus")).alias("score"))
-    return (held.select("path", "file").join(found, "file").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license_id")).alias("b"))
-            .select("path", "b.license_id", (-F.col("b.minus")).alias("score")))
+    found = hits.groupBy("file", "license_id").agg(F.max("score").alias("score"))
+    return held.select("path", "file").distinct().join(found, "file").groupBy("path", "license_id").agg(F.max("score").alias("score"))
 
 
 def ancestors(path: Column) -> Column:
@@ -200,25 +221,31 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
-def scan(files: DataFrame, templates: DataFrame, least: float = 0.7, path_col: str = "path", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
-    """``(path, license_id, score, how, licensed_by)`` of every file: how is
-    header, inherited or none; licensed_by is the directory inherited from."""
-    own = detect(files, templates, least, path_col, text_col)
+def scan(files: DataFrame, templates: DataFrame, least: float = 0.7, path_col: str = "path", text_col: str = "text", texts: DataFrame | None = None,
+         keep: tuple[str, ...] = (), all_licenses: bool = False) -> DataFrame:
+    """``(path, *keep, license_id, score, how, licensed_by)`` of every file: how is
+    header, inherited or none; licensed_by is the directory inherited from. With
+    ``all_licenses`` also ``licenses``: all that the file (or directory) names, sorted."""
+    named = detect(files, templates, least, path_col, text_col).withColumn("rank", F.lit(0))
+    tags = detect_tags(files, path_col, text_col).select("path", "license_id", "score", (F.col("place") - 1_000_000).alias("rank"))
+    hits = named.unionByName(tags)
     if texts is not None:
-        both = own.withColumn("rank", F.lit(0)).unionByName(detect_texts(files, texts, least, path_col, text_col).withColumn("rank", F.lit(1)))
-        own = both.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), "rank", "license_id")).alias("b")).select("path", "b.license_id", (-F.col("b.minus")).alias("score"))
+        hits = hits.unionByName(detect_texts(files, texts, least, path_col, text_col).withColumn("rank", F.lit(1)))
+    best = F.min(F.struct((-F.col("score")).alias("minus"), "rank", "license_id")).alias("b")
+    own = hits.groupBy("path").agg(best, F.array_sort(F.collect_set("license_id")).alias("licenses")).select("path", "b.license_id", (-F.col("b.minus")).alias("score"), "licenses")
     own = materialise(own, "own-licences")
-    paths = files.select(F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"))
+    paths = files.select(F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"), *[F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)])
     paths = paths.withColumn("dir", folder(F.col("path")))
     is_license = F.regexp_extract("path", r"[^/]*$", 0).rlike("(?i)" + LICENSE_FILE)
     first = F.min(F.struct((-F.col("score")).alias("minus"), "license_id")).alias("b")
-    by_dir = (own.filter(is_license).groupBy(folder(F.col("path")).alias("up")).agg(first)
-              .select("up", F.col("b.license_id").alias("dir_license"), (-F.col("b.minus")).alias("dir_score")))
+    by_dir = (own.filter(is_license).groupBy(folder(F.col("path")).alias("up")).agg(first, F.array_sort(F.array_distinct(F.flatten(F.collect_set("licenses")))).alias("dir_licenses"))
+              .select("up", F.col("b.license_id").alias("dir_license"), (-F.col("b.minus")).alias("dir_score"), "dir_licenses"))
     dirs = paths.select("dir").distinct().select("dir", F.posexplode(ancestors(F.col("dir"))).alias("away", "up"))
-    nearest = F.min(F.struct("away", "up", "dir_license", "dir_score")).alias("n")
-    inherited = dirs.join(by_dir, "up").groupBy("dir").agg(nearest).select("dir", "n.up", "n.dir_license", "n.dir_score")
+    nearest = F.min(F.struct("away", "up", "dir_license", "dir_score", "dir_licenses")).alias("n")
+    inherited = dirs.join(by_dir, "up").groupBy("dir").agg(nearest).select("dir", "n.up", "n.dir_license", "n.dir_score", "n.dir_licenses")
     found = paths.join(own, "path", "left").join(inherited, "dir", "left")
     has = F.col("license_id").isNotNull()
     how = F.when(has, "header").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
-    return found.select("path", F.coalesce("license_id", "dir_license").alias("license_id"), F.when(has, F.col("score")).otherwise(F.col("dir_score")).alias("score"),
-                        how.alias("how"), F.when(~has, F.col("up")).alias("licensed_by"))
+    every = [F.when(has, F.col("licenses")).otherwise(F.col("dir_licenses")).alias("licenses")] if all_licenses else []
+    return found.select("path", *[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], F.coalesce("license_id", "dir_license").alias("license_id"),
+                        F.when(has, F.col("score")).otherwise(F.col("dir_score")).alias("score"), how.alias("how"), F.when(~has, F.col("up")).alias("licensed_by"), *every)

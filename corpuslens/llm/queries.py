@@ -129,12 +129,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tree(docs: DataFrame) -> DataFrame:
     """``documents`` as a file tree: source/lang/block of 64 ids. A document that
     opens with a licence notice plays the directory's licence file; by its id it
-    stands in the block, language or source directory."""
+    stands in the block, language or source directory. The file's name holds id
+    and text hash, so that null and repeated ids are files of their own."""
     top, mid = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
     opens = F.lower(F.substring_index("text", "\n", 1)).contains("licen")
     block = F.floor(F.col("doc_id") / 64).cast("string")
     place = F.when(opens & (F.col("doc_id") % 7 == 0), top).when(opens & (F.col("doc_id") % 3 == 0), F.concat_ws("/", top, mid)).otherwise(F.concat_ws("/", top, mid, block))
-    name = F.when(opens, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    own = F.concat_ws("-", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text")))
+    name = F.when(opens, F.concat(F.lit("LICENSE-"), own)).otherwise(F.concat(own, F.lit(".txt")))
     return docs.select("doc_id", F.concat_ws("/", place, name).alias("path"), "text")
 
 
@@ -180,8 +182,8 @@ SELECT f.doc_id, coalesce(own.license_id, dir_license) AS license_id, coalesce(o
 FROM f LEFT JOIN own USING (doc_id) LEFT JOIN (SELECT * FROM inh WHERE r = 1) i USING (doc_id)
 """)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(_tree(table(spark, sf_dir, "documents")), license_scan.templates(spark), texts=license_scan.texts(spark))
-    return found.select(F.regexp_extract("path", r"(\d+)(?:\.txt)?$", 1).cast("long").alias("doc_id"), "license_id", "score", "how", "licensed_by")
+    found = license_scan.scan(_tree(table(spark, sf_dir, "documents")), license_scan.templates(spark), texts=license_scan.texts(spark), keep=("doc_id",))
+    return found.select("doc_id", "license_id", "score", "how", "licensed_by")
 
 
 @query("op2_token_counts")

@@ -55,17 +55,17 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 # -- equal-average search -------------------------------------------------------
 
 def _exact(*arrays: np.ndarray) -> list[np.ndarray]:
-    """The arrays as int64 where no square or sum can overflow, else as Python integers."""
+    """The arrays as the shortest integers in which no square or sum can overflow."""
     most = max([abs(int(x)) for a in arrays if a.size for x in (a.max(), a.min())], default=0)
-    safe = (2 * (most + 1) * max(1, arrays[0].shape[1])) ** 2 < 2 ** 62
-    return [a.astype(np.int64 if safe else object) for a in arrays]
+    bits = ((2 * (most + 1) * max(1, arrays[0].shape[1])) ** 2).bit_length()
+    return [a.astype(np.int32 if bits < 31 else np.int64 if bits < 63 else object) for a in arrays]
 
 
 def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of and squared distance to each row's nearest entry, ties to the lower index."""
     n, width = x.shape
     x, book = _exact(x, book)
-    sums, entry_sums = x.sum(axis=1), book.sum(axis=1)
+    sums, entry_sums = x.sum(axis=1, dtype=x.dtype), book.sum(axis=1, dtype=x.dtype)
     order = np.array(sorted(range(len(book)), key=lambda j: (int(entry_sums[j]), j)))
     sorted_sums, sorted_book = entry_sums[order], book[order]
     right = np.searchsorted(sorted_sums, sums)
@@ -78,7 +78,7 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         go = (index[rows] < 0) | ~(gap * gap > best[rows] * width).astype(bool)
         rows, at = rows[go], at[go]
         off = x[rows] - sorted_book[at]
-        d, j = (off * off).sum(axis=1), order[at]
+        d, j = (off * off).sum(axis=1) if off.dtype == object else np.einsum("ij,ij->i", off, off), order[at]
         better = (index[rows] < 0) | (d < best[rows]).astype(bool) | ((d == best[rows]).astype(bool) & (j < index[rows]))
         best[rows[better]], index[rows[better]] = d[better], j[better]
         return rows
@@ -119,12 +119,11 @@ def _totals(rows: DataFrame, books: Books) -> DataFrame:
                 part = x[:, p * width:(p + 1) * width]
                 index, _ = nearest(part, book)
                 counts[p] += np.bincount(index, minlength=len(book))
-                part = _exact(part)[0]
-                if part.dtype != object and part.size and int(np.abs(part).max()) * len(part) >= 2 ** 62:
+                if part.size and max(abs(int(part.max())), abs(int(part.min()))) * len(part) >= 2 ** 62:
                     part = part.astype(object)
                 sums = np.zeros(book.shape, part.dtype)
                 np.add.at(sums, index, part)
-                totals[p] += sums
+                totals[p] += sums.astype(object)
         for p, n in enumerate(counts):
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([

@@ -16,9 +16,16 @@ a seek: neither read nor unzipped.
 Paths are opened through pyarrow's file systems (local, hdfs://, s3://, gs://),
 by executors and driver alike: the folder must be one they share.
 
+Archives of other makers (``.warc`` and ``.warc.gz``): ids are kept as text in
+``record_uri`` and ``refers_to_uri`` (``record_id`` is null unless it is a page's),
+the digest's algorithm in ``digest_algorithm``; folded header lines are joined; the
+payload of a block that is no HTTP message is the block, of an HTTP message its
+body with chunks joined and gzip undone (left as it stands where that fails).
+
 Defined results: a null payload is an empty payload; null uris and ids stay null
 (the header is left out); repeated rows are separate records; an empty table
-writes no archive and reads back as no rows.
+writes no archive and reads back as no rows; a very long payload is held whole by
+the one task that reads or writes it.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ from __future__ import annotations
 import gzip
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
@@ -43,7 +51,8 @@ from ..session import scratch_path
 
 SCHEMA = T.StructType([T.StructField("record_id", T.LongType()), T.StructField("record_type", T.StringType()), T.StructField("target_uri", T.StringType()),
                        T.StructField("payload_digest", T.StringType()), T.StructField("payload_bytes", T.LongType()),
-                       T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType())])
+                       T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("record_uri", T.StringType()),
+                       T.StructField("refers_to_uri", T.StringType()), T.StructField("digest_algorithm", T.StringType())])
 HEADER_FIELDS = frozenset(SCHEMA.names) - {"payload"}
 _ID = "urn:page:"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -71,18 +80,54 @@ def record(row: dict) -> bytes:
 
 def _header(lines: list[bytes]) -> tuple[dict, int]:
     """The SCHEMA fields that a record header holds, and its block's length."""
-    h = {k.strip().lower(): v.strip() for k, _, v in (x.decode().partition(":") for x in lines)}
+    whole: list[bytes] = []
+    for x in lines:
+        if x[:1] in b" \t" and whole:  # a folded line goes on with the one before
+            whole[-1] += b" " + x.strip()
+        else:
+            whole.append(x)
+    h = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in whole)}
+    bare = lambda v: v.removeprefix("<").removesuffix(">") if v else None
     page = lambda v: int(v[len(_ID) + 1:-1]) if v and v.startswith(f"<{_ID}") else None
     raw = h.get("warc-raw-target")
     digest, length = h.get("warc-payload-digest"), h.get("warc-payload-length")
     return {"record_id": page(h.get("warc-record-id")), "record_type": h.get("warc-type"), "target_uri": unquote(raw) if raw is not None else h.get("warc-target-uri"),
-            "payload_digest": digest.partition(":")[2] if digest else None, "payload_bytes": int(length) if length else None,
-            "refers_to": page(h.get("warc-refers-to"))}, int(h["content-length"])
+            "payload_digest": digest.rpartition(":")[2] if digest else None, "payload_bytes": int(length) if length else None,
+            "refers_to": page(h.get("warc-refers-to")), "record_uri": bare(h.get("warc-record-id")), "refers_to_uri": bare(h.get("warc-refers-to")),
+            "digest_algorithm": digest.partition(":")[0].lower() if digest and ":" in digest else None}, int(h["content-length"])
+
+
+def _chunks(body: bytes) -> bytes:
+    """A chunked body put together; as it stands if it is not one."""
+    out, at = [], 0
+    while True:
+        line, end = body[at:at + 64], body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 and end - at < 64 else b""
+        if not size or size.strip(b"0123456789abcdefABCDEF") or not line:
+            return body
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if end + 2 + n > len(body):
+            return body
+        out.append(body[end + 2:end + 2 + n])
+        at = end + 2 + n + 2
 
 
 def _payload(block: bytes) -> bytes:
-    head, _, body = block.partition(b"\r\n\r\n")
-    return gzip.decompress(body) if b"content-encoding: gzip" in head.lower() else body
+    """The body of an HTTP message, with chunks joined and gzip undone; any other block whole."""
+    head, gap, body = block.partition(b"\r\n\r\n")
+    if not gap or b"HTTP/" not in head.partition(b"\r\n")[0]:
+        return block
+    fields = head.lower()
+    if b"transfer-encoding: chunked" in fields:
+        body = _chunks(body)
+    if b"content-encoding: gzip" in fields:
+        try:
+            return gzip.decompress(body)
+        except (OSError, EOFError, zlib.error):
+            return body
+    return body
 
 
 def records(stream, wanted, payload: bool) -> Iterator[dict]:
@@ -97,7 +142,7 @@ def records(stream, wanted, payload: bool) -> Iterator[dict]:
         if not wanted(row):
             stream.seek(length + len(_END), 1)
             continue
-        if payload and row["record_type"] == "response":
+        if payload and row["record_type"] != "revisit":
             row["payload"] = _payload(stream.read(length))
             stream.seek(len(_END), 1)
         else:
@@ -167,7 +212,7 @@ class WarcReader(DataSourceReader):
         system, root = _open(self.path)
         if system.get_file_info(root).type == pafs.FileType.NotFound:
             return []
-        found = sorted((i.path, i.size) for i in system.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file and i.path.endswith(".warc") and "/_temporary" not in i.path)
+        found = sorted((i.path, i.size) for i in system.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file and i.path.endswith((".warc", ".warc.gz")) and "/_temporary" not in i.path)
         out, held, size = [], [], 0
         for path, n in found:
             if held and size + n > self.most:
@@ -185,7 +230,7 @@ class WarcReader(DataSourceReader):
         wanted = lambda row: all(_truth(f, row) for f in self.filters)
         held, size = [], 0
         for path in partition.files:
-            with io.BufferedReader(_Raw(system.open_input_file(path)), 1 << 20) as stream:
+            with _stream(system, path) as stream:
                 for row in records(stream, wanted, self.payload):
                     held.append(row)
                     size += len(row["payload"] or b"") + 200
@@ -196,6 +241,13 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(held, kinds)
 
 
+def _stream(system: pafs.FileSystem, path: str) -> io.BufferedIOBase:
+    """An archive's bytes; a gzipped one (a member for each record) is unzipped as it
+    is read, and skipping a block there unzips it without keeping it."""
+    raw = io.BufferedReader(_Raw(system.open_input_file(path)), 1 << 20)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if path.endswith(".gz") else raw
+
+
 class _Raw(io.RawIOBase):
     """A pyarrow file as a raw stream: a buffered reader over it skips blocks
     that lie beyond its buffer without reading them."""
@@ -314,7 +366,8 @@ def to_records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url",
 
 def write_archives(rows: DataFrame, path: str) -> None:
     register(rows.sparkSession)
-    rows.select(*SCHEMA.names).write.format("warc").mode("append").save(path)
+    given = [F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields]
+    rows.select(*given).write.format("warc").mode("append").save(path)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

@@ -103,3 +103,26 @@ def test_query_on_table(spark, sf):
 def test_plan_is_native(spark, sf):
     plan = Q.QUERIES["op10_decontaminate"](spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_phrase_that_all_share_pairs_nothing(spark):
+    rng = random.Random(9)
+    phrase = "please answer the following question now"
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(24))
+    items = [(k, f"{phrase} {text()}") for k in range(300)]
+    docs = [(k, f"{text()} {phrase} {text()}") for k in range(296)] + [(900 + k, "start " + items[k][1] + " end") for k in range(4)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
+    prepared = D.prepare_items(bench, "item_id", "text", 5, 0.8)
+    texts = corpus.select("doc_id", F.xxhash64("text").alias("key"), D.words(F.col("text")).alias("w"))
+    assert D._anchors(texts, prepared, 10 ** 6).count() <= 4 * 300  # 180 000 pairs share the phrase
+    assert set(got(D.contaminated(corpus, bench))) == {(900 + k, k) for k in range(4)}
+
+
+def test_short_documents_and_items_that_repeat_an_id(spark):
+    words = [f"w{k}" for k in range(40)]
+    items = [(1, " ".join(words)), (1, " ".join(words[::-1])), (None, " ".join(words[5:35]))]
+    docs = [(1, " ".join(words[:37])), (2, " ".join(words[3:])), (3, " ".join(words[::-1])), (4, " ".join(words[:20])), (5, " ".join(words[5:35]))]
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    held = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert {(1, 1), (2, 1), (3, 1), (5, None)} <= held and not any(d == 4 for d, _ in held)

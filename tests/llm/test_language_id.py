@@ -69,3 +69,41 @@ def test_held_out_accuracy(spark, sf):
     out = Q.QUERIES["op6_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in out if r.held_out]
     assert len(held) > 20 and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.95
+
+
+def test_words_end_where_the_script_changes():
+    def places(t):
+        w = L.words_of(t)
+        return [(t[a:b], k) for a, b, k in zip(w.start.tolist(), w.end.tolist(), w.script.tolist())]
+
+    assert places("使用python编程") == [("使用", 14), ("python", 1), ("编程", 14)]
+    assert places("हिन्दी ภาษาไทย தமிழ்") == [("हिन्दी", 7), ("ภาษาไทย", 10), ("தமிழ்", 9)]
+    assert places("é x́y oʼneil ́a ́") == [("é", 1), ("x́y", 1), ("oʼneil", 1), ("a", 1)]
+    assert [k for _, k in places("తెలుగు ಕನ್ನಡ മലയാളം ગુજરાતી ਪੰਜਾਬੀ ខ្មែរ ລາວ မြန်မာ አማርኛ ﾊﾝ ＡＢ")] == [17, 18, 19, 16, 15, 24, 21, 22, 23, 13, 1]
+    same = L.words_of("编程 python")
+    mixed = L.words_of("编程python")
+    assert same.grams.tolist() == mixed.grams.tolist()  # a cut is an edge like any other
+
+
+def test_mixed_script_text_has_a_span_for_each_language(spark):
+    train = [(k, "the quick brown fox and the lazy dog", "en") for k in range(9)] + [(k, "编程语言是一种被标准化的交流技巧", "zh") for k in range(9, 18)]
+    docs = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = L.fit(docs, F.lit(True), switch_penalty=1.0)
+    assert [x[2] for x in L.label(model, ["brown编程语言是一种the lazy dog"])[0][2]] == ["en", "zh", "en"]
+
+
+def test_null_ids_are_drawn_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"word{k} more words here", "en") for k in range(400)], "doc_id long, text string, lang string")
+    model = L.fit(docs, F.lit(True), rows_per_language=100)
+    assert model is not None and model.languages == ["en"]
+
+
+def test_word_scores_equal_sums_of_trigram_log_probabilities():
+    rng = np.random.default_rng(2)
+    m = L.Model(["a", "b"], rng.normal(size=(L.BUCKETS, 2)).astype(np.float32), np.ones((L.SCRIPTS, 2), bool), np.zeros(2), 1.0)
+    text = "Mixed words, с кириллицей 漢字x é"
+    w = L.words_of(text)
+    got = L.word_scores(m, w)
+    for k, (a, b) in enumerate(zip(w.start, w.end)):
+        alone = L.words_of(text[a:b])  # a word's trigrams do not depend on its neighbours
+        assert np.allclose(got[k], m.log_p[alone.grams].sum(axis=0), atol=1e-4)

@@ -98,3 +98,22 @@ def test_texts_headers_and_titles(spark):
     assert {p: r.license_id for p, r in got.items()} == {p or "": i for p, _, i in files}
     assert got["m/sub/x"].how == "inherited" and got["g/x.c"].how == "header"
     assert L.scan(df.limit(0), L.templates(spark), texts=L.texts(spark)).count() == 0
+
+
+def test_spdx_expressions_and_denials(spark):
+    rows = [("p/a", "// SPDX-License-Identifier: BSD-2-Clause-Patent"), ("p/b", "# SPDX-License-Identifier: Apache-2.0 OR MIT"),
+            ("p/c", "/* spdx-license-identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND MIT */"), ("p/d", "SPDX-License-Identifier: MITx"),
+            ("p/e", "This is not licensed under the MIT License."), ("p/f", "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."),
+            ("p/g", "SPDX-License-Identifier: LGPL-2.1+\nReleased under the MIT License."), ("p/h", None)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"][2:]: (r["license_id"], r["licenses"]) for r in L.scan(files, L.templates(spark), texts=L.texts(spark), all_licenses=True).collect()}
+    assert got == {"a": ("BSD-2-Clause-Patent", ["BSD-2-Clause-Patent"]), "b": ("Apache-2.0", ["Apache-2.0", "MIT"]), "c": ("GPL-2.0", ["GPL-2.0", "MIT"]), "d": (None, None),
+                   "e": (None, None), "f": ("Apache-2.0", ["Apache-2.0", "MIT"]), "g": ("LGPL-2.1", ["LGPL-2.1", "MIT"]), "h": (None, None)}
+
+
+def test_query_keeps_null_negative_and_repeated_ids(spark, tmp_path):
+    notice = "Released under the MIT License.\n" + "x " * 30
+    rows = [(None, notice, "en", "s1", 9), (-1, notice, "en", "s1", 9), (None, "plain", None, None, 5), (-7, "plain", "en", "s2", 5), (5, notice, "en", "s3", 9), (5, "other", "de", "s4", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r["doc_id"], r["how"]) for r in Q.QUERIES["op1_license_scan"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(None, "header"), (-1, "header"), (None, "none"), (-7, "none"), (5, "header"), (5, "none")], key=str)

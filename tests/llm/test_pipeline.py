@@ -104,3 +104,11 @@ def test_one_document_of_a_group_without_ids_or_with_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, (r.text or "").lower()) for r in P.near_duplicates(spark, docs, SF).collect()]
     assert sorted(got, key=str) == sorted([(None, text(1)), (5, text(2)), (7, text(3)), (6, text(4)), (8, text(5)), (9, "")], key=str)
+
+
+def test_near_duplicates_leaves_columns_of_clashing_names_alone(spark):
+    rows = [(1, "same words in here", "a", 7), (2, "same words in here", "b", 8), (2, "same words in here", "b", 8), (3, "quite another text it is", "c", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string, kept_id int")
+    assert rows_of(P.near_duplicates(spark, docs, SF)) == [rows[0], rows[3]]
+    again = spark.createDataFrame([rows[0], rows[0], rows[3]], docs.schema)
+    assert rows_of(P.near_duplicates(spark, again, SF)) == [rows[0], rows[3]]

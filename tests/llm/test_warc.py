@@ -80,3 +80,31 @@ def test_query_on_table(spark, sf):
     rows = [(r.page_id, None, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     out = Q.QUERIES["op3_warc"](spark, sf).collect()
     assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == sorted((i, n, d, t, f) for i, _, n, d, t, f, _ in want(rows))
+
+
+def _foreign(kind, uid, block, *extra, content="application/http; msgtype=response"):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uid}>", "WARC-Target-URI: http://x/y", f"Content-Type: {content}", f"Content-Length: {len(block)}", *extra]
+    return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    import gzip
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n7;x=1\r\n, world\r\n0\r\n\r\n"
+    packed = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"zipped")
+    broken = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\nnot gzip"
+    records = [_foreign("warcinfo", "0", b"software: x\r\n", content="application/warc-fields"), _foreign("response", "1", b"no header at all"),
+               _foreign("response", "2", chunked, "WARC-Payload-Digest: sha1:ABC", "X-Long: a", " folded: still the value"), _foreign("request", "3", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"),
+               _foreign("resource", "4", b"<p>file</p>", content="text/html"), _foreign("response", "5", packed), _foreign("response", "6", broken),
+               _foreign("revisit", "7", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <urn:uuid:2>"), _foreign("response", "8", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz no chunks")]
+    want = {"0": b"software: x\r\n", "1": b"no header at all", "2": b"hello, world", "3": b"", "4": b"<p>file</p>", "5": b"zipped", "6": b"not gzip", "7": None, "8": b"zz no chunks"}
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    rows = W.read_archives(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * len(records)
+    for r in rows:
+        uid = r["record_uri"].rsplit(":", 1)[1]
+        assert (None if r["payload"] is None else bytes(r["payload"])) == want[uid] and r["record_id"] is None
+        assert r["refers_to_uri"] == ("urn:uuid:2" if uid == "7" else None)
+        assert (r["digest_algorithm"], r["payload_digest"]) == (("sha1", "ABC") if uid == "2" else (None, None))
+    some = W.read_archives(spark, str(tmp_path)).filter("record_type = 'resource'")
+    assert [bytes(r["payload"]) for r in some.collect()] == [b"<p>file</p>"] * 2
