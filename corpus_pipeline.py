@@ -5,7 +5,8 @@ predecessor kept.
 and returns a DataFrame. ``run`` writes each stage's result to the shared scratch
 folder and reads it back, so a lost executor costs one stage's tasks at most.
 
-Texts are shuffled once (near_duplicates, to keep one document of a group); the
+Texts are shuffled by near_duplicates and decontamination, once each, to meet the
+list of documents that stay or go (again in near_duplicates if rows repeat); the
 other stages filter or rewrite rows where they lie.
 
 Null ids: such rows are judged by their text in all stages; near_duplicates keeps
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import decontaminate, quality_pu, secret_scan, simhash_dedup, source_mixing
-from corpuslens.llm.common import id_fold, table
+from corpuslens.llm.common import fresh_name, id_fold, table
 from corpuslens.session import materialise
 
 
@@ -37,9 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rooted = simhash_dedup.fingerprint_roots(fps.groupBy("fp").agg(F.min("row").alias("first")), max_distance=2)
     kept = rooted.groupBy("root").agg(F.min("first").alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.text_key").alias("kept_key"))
     kept = materialise(kept, "kept")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed["text_key"] == kept["kept_key"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"]), "left_semi")
+    rows = materialise(docs.select("doc_id", F.xxhash64("text").alias("text_key")), "row-keys")
+    if rows.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+        return found
+    key = fresh_name(docs, "text_key")  # repeated rows: one of them stays
+    return found.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
