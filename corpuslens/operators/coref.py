@@ -4,18 +4,24 @@ A clustering is a table ``(doc_key, cluster, start, end)``: one row per
 mention of a cluster. Cluster keys are orderable; when a mention sits in two
 clusters of one side, the larger key wins ("last cluster wins"). Scores are
 corpus-level: numerators and denominators are summed over documents first.
-Everything is joins and grouped counts except the CEAF-e assignment, solved
-per document (a document's clusters) in ``applyInPandas``.
+Everything is grouped counts over one mention table, except the CEAF-e
+assignment, solved per connected component of a document's overlaps in
+``applyInPandas``.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.treebank import treebank_tokens
 from ..session import join_scalars, materialise
+from .components import component_roots
+from .sentences import learn_abbreviations, with_sentences
 
 M = ["doc_key", "start", "end"]
 
@@ -29,24 +35,36 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("doc_key", "cluster").agg(F.count("*").alias("size"))
 
 
-def link_counts(side: DataFrame, other: DataFrame) -> DataFrame:
+def mention_table(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """(doc_key, start, end, preds, golds): each mention with its clusters on both
+    sides (as often as they occur). All scores are sums over this one table."""
+    rows = pred.select(*M, F.col("cluster").alias("p"), F.lit(None).cast(gold.schema["cluster"].dataType).alias("g")) \
+        .unionByName(gold.select(*M, F.lit(None).cast(pred.schema["cluster"].dataType).alias("p"), F.col("cluster").alias("g")))
+    return rows.groupBy(*M).agg(F.collect_list("p").alias("preds"), F.collect_list("g").alias("golds"))
+
+
+def _sizes(mentions: DataFrame, side: str) -> DataFrame:
+    return mentions.select("doc_key", F.explode(side).alias("cluster")).groupBy("doc_key", "cluster").agg(F.count("*").alias("size"))
+
+
+def _link_counts(mentions: DataFrame, side: str, other: str) -> DataFrame:
     """One row with the numerator and denominator of MUC, B-cubed and LEA for
-    the clusters of ``side``, from one table of overlaps with ``other``.
+    the clusters of ``side`` of a mention table; 0 where there are none.
 
     MUC: sums of (|c| - missing - linked) and (|c| - 1). B-cubed and LEA skip
     clusters of one mention; B-cubed gives no credit for the other side's.
     """
-    sizes = cluster_sizes(other).select("doc_key", F.col("cluster").alias("other"), F.col("size").alias("osize"))
-    overlap = (side.join(mention_map(other), M, "left").groupBy("doc_key", "cluster", "other").agg(F.count("*").alias("cnt"))
-               .join(sizes, ["doc_key", "other"], "left"))
+    sizes = _sizes(mentions, other).select("doc_key", F.col("cluster").alias("other"), F.col("size").alias("osize"))
+    overlap = (mentions.select("doc_key", F.explode(side).alias("cluster"), F.array_max(other).alias("other"))
+               .groupBy("doc_key", "cluster", "other").agg(F.count("*").alias("cnt")).join(sizes, ["doc_key", "other"], "left"))
     met, cnt = F.col("other").isNotNull(), F.col("cnt")
     per = overlap.groupBy("doc_key", "cluster").agg(
         F.sum(cnt).alias("size"), F.sum(F.when(~met, cnt).otherwise(0)).alias("missing"), F.count("other").alias("linked"),
         F.sum(F.when(met & (F.col("osize") != 1), cnt * cnt).otherwise(0)).alias("correct"),
         F.sum(F.when(met, cnt * (cnt - 1) / 2).otherwise(0.0)).alias("common"))
     size, many = F.col("size"), F.col("size") > 1
-    total = lambda c: F.sum(c).cast("double")
-    over_many = lambda c: F.coalesce(total(F.when(many, c)), F.lit(0.0))
+    total = lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    over_many = lambda c: total(F.when(many, c))
     return per.agg(total(size - F.col("missing") - F.col("linked")).alias("muc_num"), total(size - 1).alias("muc_den"),
                    over_many(F.col("correct") / size).alias("b_cubed_num"), over_many(size).alias("b_cubed_den"),
                    over_many(2 * F.col("common") / (size - 1)).alias("lea_num"), over_many(size).alias("lea_den"))
@@ -54,7 +72,7 @@ def link_counts(side: DataFrame, other: DataFrame) -> DataFrame:
 
 def _one(metric: str):
     def counts(side: DataFrame, other: DataFrame) -> DataFrame:
-        return link_counts(side, other).select(F.col(f"{metric}_num").alias("num"), F.col(f"{metric}_den").alias("den"))
+        return _link_counts(mention_table(side, other), "preds", "golds").select(F.col(f"{metric}_num").alias("num"), F.col(f"{metric}_den").alias("den"))
     counts.__doc__ = f"One row (num, den) of {metric} for the clusters of ``side``."
     return counts
 
@@ -62,79 +80,91 @@ def _one(metric: str):
 muc_counts, b_cubed_counts, lea_counts = _one("muc"), _one("b_cubed"), _one("lea")
 
 
-def max_assignment(score: np.ndarray) -> float:
-    """Maximum-weight one-to-one assignment value (Hungarian method, O(n^3))."""
-    r, c = score.shape
-    n = max(r, c)
-    if n == 0:
-        return 0.0
-    a = np.zeros((n, n))
-    a[:r, :c] = score
-    cost = -a
-    u = np.zeros(n + 1)
-    v = np.zeros(n + 1)
-    p = np.zeros(n + 1, dtype=int)
-    way = np.zeros(n + 1, dtype=int)
-    for i in range(1, n + 1):
-        p[0] = i
-        j0 = 0
-        minv = np.full(n + 1, np.inf)
-        used = np.zeros(n + 1, dtype=bool)
+def sparse_assignment(edges: list[tuple[int, int, float]]) -> float:
+    """Greatest total weight of a one-to-one choice among weighted (row, column)
+    edges, all weights positive: each row in turn takes the shortest augmenting
+    path over the edges there are; a column of its own, of weight 0, stands for
+    going without."""
+    rows: dict[int, list[tuple[object, float]]] = {}
+    for i, j, w in edges:
+        rows.setdefault(i, []).append((j, -w))
+    own: dict[object, int] = {}  # column -> its row
+    taken: dict[int, object] = {}  # row -> its column
+    u = {i: min(c for _, c in cols) for i, cols in rows.items()}
+    v: dict[object, float] = {}
+    for i, cols in rows.items():
+        cols.append((("none", i), 0.0))
+    for s in rows:
+        dist: dict[object, float] = {}
+        came: dict[object, int] = {}
+        heap: list[tuple[float, int, object]] = []
+        done: dict[object, float] = {}
+        i, base, ticket = s, 0.0, 0
         while True:
-            used[j0] = True
-            i0 = p[j0]
-            cur = cost[i0 - 1, :] - u[i0] - v[1:]
-            free = ~used[1:]
-            better = free & (cur < minv[1:])
-            minv[1:][better] = cur[better]
-            way[1:][better] = j0
-            cand = np.where(free, minv[1:], np.inf)
-            j1 = int(np.argmin(cand)) + 1
-            delta = cand[j1 - 1]
-            u[p[used]] += delta
-            v[used] -= delta
-            minv[~used] -= delta
-            j0 = j1
-            if p[j0] == 0:
+            for j, c in rows[i]:
+                d = base + c - u[i] - v.get(j, 0.0)
+                if j not in done and d < dist.get(j, math.inf):
+                    dist[j], came[j] = d, i
+                    ticket += 1
+                    heapq.heappush(heap, (d, ticket, j))
+            while heap[0][2] in done:
+                heapq.heappop(heap)
+            base, _, end = heapq.heappop(heap)
+            if end not in own:
                 break
-        while True:
-            j1 = way[j0]
-            p[j0] = p[j1]
-            j0 = j1
-            if j0 == 0:
+            done[end] = base
+            i = own[end]
+        for j, d in done.items():
+            u[own[j]] += base - d
+            v[j] = v.get(j, 0.0) + d - base
+        u[s] += base
+        while True:  # swap along the path
+            i = came[end]
+            own[end], taken[i], end = i, end, taken.get(i)
+            if i == s:
                 break
-    return float(sum(a[p[j] - 1, j - 1] for j in range(1, n + 1) if p[j] != 0))
+    weight = {(i, j): -c for i, cols in rows.items() for j, c in cols}
+    return sum(weight[i, j] for j, i in own.items())
 
 
-def _ceafe_doc(pdf: pd.DataFrame) -> pd.DataFrame:
-    g = {k: i for i, k in enumerate(sorted(set(pdf["gold"])))}
-    c = {k: i for i, k in enumerate(sorted(set(pdf["pred"])))}
-    s = np.zeros((len(g), len(c)))
-    for gk, ck, phi in zip(pdf["gold"], pdf["pred"], pdf["phi"]):
-        s[g[gk], c[ck]] = phi
-    return pd.DataFrame({"doc_key": [pdf["doc_key"].iloc[0]], "sim": [max_assignment(s)]})
+def _component_assignment(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows, columns = pd.factorize(pdf["gold"])[0], pd.factorize(pdf["pred"])[0]
+    return pd.DataFrame({"sim": [sparse_assignment(list(zip(rows.tolist(), columns.tolist(), pdf["phi"].tolist())))]})
 
 
-def ceafe_counts(pred: DataFrame, gold: DataFrame) -> DataFrame:
+def _ceafe_counts(mentions: DataFrame, side: str = "preds", other: str = "golds") -> DataFrame:
     """One row (p_num, p_den, r_num, r_den) for CEAF-e: predicted singletons
-    dropped, gold clusters kept; similarity phi4 = 2|g n c| / (|g| + |c|),
-    optimal assignment per document over pairs that overlap."""
-    psz = cluster_sizes(pred).filter(F.col("size") != 1)
-    p = pred.join(psz.select("doc_key", "cluster"), ["doc_key", "cluster"], "left_semi")
-    gsz = cluster_sizes(gold)
-    pm = p.select(*M, F.col("cluster").alias("pred")).distinct()
-    gm = gold.select(*M, F.col("cluster").alias("gold")).distinct()
-    inter = gm.join(pm, M).groupBy("doc_key", "gold", "pred").agg(F.count("*").alias("i"))
+    dropped, gold clusters kept; similarity phi4 = 2|g n c| / (|g| + |c|), best
+    one-to-one assignment.
+
+    The assignment falls apart into the connected components of the overlaps:
+    pairs that touch no other pair are summed, the rest is solved component by
+    component, whatever the number of clusters of a document.
+    """
+    psz = _sizes(mentions, side).filter(F.col("size") != 1)
+    gsz = _sizes(mentions, other)
+    both = mentions.select("doc_key", F.array_distinct(other).alias("g"), F.array_distinct(side).alias("p"))
+    inter = both.select("doc_key", "p", F.explode("g").alias("gold")).select("doc_key", "gold", F.explode("p").alias("pred")) \
+        .groupBy("doc_key", "gold", "pred").agg(F.count("*").alias("i"))
     phi = (inter.join(gsz.withColumnRenamed("cluster", "gold").withColumnRenamed("size", "gs"), ["doc_key", "gold"])
            .join(psz.withColumnRenamed("cluster", "pred").withColumnRenamed("size", "ps"), ["doc_key", "pred"])
-           .select("doc_key", F.col("gold").cast("string").alias("gold"), F.col("pred").cast("string").alias("pred"),
+           .select("doc_key", F.concat(F.lit("g:"), F.col("gold").cast("string")).alias("gold"), F.concat(F.lit("p:"), F.col("pred").cast("string")).alias("pred"),
                    (2 * F.col("i") / (F.col("gs") + F.col("ps"))).alias("phi")))
-    sims = phi.groupBy("doc_key").applyInPandas(
-        _ceafe_doc, schema=f"doc_key {dict(pred.dtypes)['doc_key']}, sim double")
-    sim = sims.agg(F.sum("sim").alias("sim"))
+    degree = lambda c: phi.groupBy("doc_key", c).agg(F.count("*").alias(f"{c}_n"))
+    phi = materialise(phi.join(degree("gold"), ["doc_key", "gold"]).join(degree("pred"), ["doc_key", "pred"]), "overlaps")
+    alone = (F.col("gold_n") == 1) & (F.col("pred_n") == 1)
+    sims, linked = phi.filter(alone).select(F.col("phi").alias("sim")), phi.filter(~alone)
+    if not linked.isEmpty():
+        roots = component_roots(linked.select("doc_key", F.col("gold").alias("u"), F.col("pred").alias("v")), "doc_key").withColumnRenamed("node", "gold")
+        solved = linked.join(roots, ["doc_key", "gold"]).groupBy("doc_key", "root").applyInPandas(_component_assignment, schema="sim double")
+        sims = sims.unionByName(solved)
+    sim = sims.agg(F.coalesce(F.sum("sim"), F.lit(0.0)).alias("sim"))
     return join_scalars(sim, psz.agg(F.count("*").alias("p_den")), gsz.agg(F.count("*").alias("r_den"))).select(
-        F.coalesce("sim", F.lit(0.0)).alias("p_num"), F.col("p_den").cast("double").alias("p_den"),
-        F.coalesce("sim", F.lit(0.0)).alias("r_num"), F.col("r_den").cast("double").alias("r_den"))
+        F.col("sim").alias("p_num"), F.col("p_den").cast("double").alias("p_den"), F.col("sim").alias("r_num"), F.col("r_den").cast("double").alias("r_den"))
+
+
+def ceafe_counts(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    return _ceafe_counts(materialise(mention_table(pred, gold), "mentions"))
 
 
 def _prf(p_num, p_den, r_num, r_den):
@@ -148,13 +178,14 @@ def _prf(p_num, p_den, r_num, r_den):
 
 def coref_scores(pred: DataFrame, gold: DataFrame, with_lea: bool = False) -> DataFrame:
     """(metric, precision, recall, f1) for muc, b_cubed, ceafe and their mean ('avg')."""
-    p_side, r_side = link_counts(pred, gold), link_counts(gold, pred)
+    mentions = materialise(mention_table(pred, gold), "mentions")  # the only read of both sides
+    p_side, r_side = _link_counts(mentions, "preds", "golds"), _link_counts(mentions, "golds", "preds")
     both = join_scalars(p_side.select(*[F.col(c).alias(f"p_{c}") for c in p_side.columns]),
                         r_side.select(*[F.col(c).alias(f"r_{c}") for c in r_side.columns]))
     both = materialise(both, "link-counts")  # one row, read once for each metric
     parts = [(name, both.select(*[F.col(f"{s}_{name}_{c}").alias(f"{s}_{c}") for s in "pr" for c in ("num", "den")]))
              for name in ("muc", "b_cubed", *(("lea",) if with_lea else ()))]
-    parts.append(("ceafe", ceafe_counts(pred, gold)))
+    parts.append(("ceafe", _ceafe_counts(mentions)))
     rows = None
     for name, df in parts:
         p, r, f = _prf(F.col("p_num"), F.col("p_den"), F.col("r_num"), F.col("r_den"))
@@ -242,13 +273,12 @@ def nest_clusters(mentions: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("cluster", "c"))), lambda s: s["c"]).alias("clusters"))
 
 
-def sentences(df: DataFrame, text_col: str = "text", key: str = "doc_key") -> DataFrame:
-    """Coref-style documents: sentences split after . ! ? and tokenised into
-    words and punctuation; speakers '-' per token; empty annotations."""
-    from ..functions.text import TREEBANK_LIKE
-    sent = F.filter(F.split(F.col(text_col), r"(?U)(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > 0)
-    toks = F.transform(sent, lambda s: F.regexp_extract_all(s, F.lit(TREEBANK_LIKE), 0))
-    d = df.select(F.col(key).cast("string").alias("doc_key"), toks.alias("sentences"))
+def sentences(df: DataFrame, text_col: str = "text", key: str = "doc_key", abbreviations: DataFrame | None = None) -> DataFrame:
+    """Coref-style documents: sentences (cut by abbreviations learnt from ``df``
+    unless given) as Treebank tokens; speakers '-' per token; empty annotations."""
+    learnt = learn_abbreviations(df, text_col=text_col) if abbreviations is None else abbreviations
+    cut = with_sentences(df.select(F.col(key).cast("string").alias("doc_key"), F.col(text_col).alias("text")), learnt, id_col="doc_key", out="_s")
+    d = cut.select("doc_key", F.transform("_s", treebank_tokens).alias("sentences"))
     return d.select("doc_key", "sentences",
                     F.transform("sentences", lambda s: F.transform(s, lambda _: F.lit("-"))).alias("speakers"),
                     F.array().cast("array<string>").alias("constituents"),

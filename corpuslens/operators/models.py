@@ -1,5 +1,5 @@
 """Model-backed operators on MLlib: a train-on-synthetic / test-on-real text
-classifier, silver labels, hashed featuriser; topic words; ROUGE.
+classifier, silver labels, hashed featuriser; topic words.
 
 Model fits are distributed MLlib estimators; only bounded model state reaches
 the driver.
@@ -7,13 +7,9 @@ the driver.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams
-from ..session import join_scalars, materialise
 from .classify import argmax_label, multiclass_metrics
 
 # Short stop-word list for topic preprocessing.
@@ -94,77 +90,6 @@ def hashed_embeddings(df: DataFrame, *, text_col: str = "text", dims: int = 64,
     return pipe.transform(df).withColumn("embedding", vector_to_array("_emb").cast("array<float>"))
 
 
-# ---------------------------------------------------------------------------
-# ROUGE
-
-
-def rouge_tokens(text: Column) -> Column:
-    """Lower-case alphanumeric runs."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != F.lit(""))
-
-
-def rouge_n(pairs: DataFrame, n: int, *, id_col: str = "id", pred: str = "prediction",
-            ref: str = "reference") -> DataFrame:
-    """(id, precision, recall, fmeasure) of n-gram multiset overlap."""
-    t = pairs.select(id_col, rouge_tokens(F.col(pred)).alias("_p"), rouge_tokens(F.col(ref)).alias("_r"))
-    g = t.select(id_col, ngrams(F.col("_p"), n).alias("_gp"), ngrams(F.col("_r"), n).alias("_gr"))
-    cp = g.select(id_col, F.explode("_gp").alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("cp"))
-    cr = g.select(id_col, F.explode("_gr").alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("cr"))
-    ov = cp.join(cr, [id_col, "gram"]).groupBy(id_col).agg(F.sum(F.least("cp", "cr")).alias("ov"))
-    sizes = g.select(id_col, F.size("_gp").alias("np"), F.size("_gr").alias("nr"))
-    j = sizes.join(ov, id_col, "left").fillna(0, ["ov"])
-    p = F.when(F.col("np") > 0, F.col("ov") / F.col("np")).otherwise(0.0)
-    r = F.when(F.col("nr") > 0, F.col("ov") / F.col("nr")).otherwise(0.0)
-    return j.select(id_col, p.alias("precision"), r.alias("recall")).withColumn(
-        "fmeasure", F.when(F.col("precision") + F.col("recall") > 0,
-                           2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-        .otherwise(0.0))
-
-
-def _lcs_len(a: list, b: list) -> int:
-    """Length of the longest common subsequence, bit-parallel over ``a``
-    (one big-integer update per element of ``b``)."""
-    n = len(a)
-    if n == 0 or not b:
-        return 0
-    masks: dict = {}
-    for i, x in enumerate(a):
-        masks[x] = masks.get(x, 0) | (1 << i)
-    full = (1 << n) - 1
-    v = full
-    for y in b:
-        m = masks.get(y, 0)
-        v = ((v + (v & m)) | (v & ~m)) & full
-    return n - bin(v).count("1")
-
-
-def rouge_l(pairs: DataFrame, *, id_col: str = "id", pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """(id, precision, recall, fmeasure) from the longest common subsequence of
-    tokens, computed per pair in Arrow batches."""
-    t = pairs.select(id_col, rouge_tokens(F.col(pred)).alias("_p"), rouge_tokens(F.col(ref)).alias("_r"))
-
-    @F.pandas_udf("int")
-    def lcs(p: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([_lcs_len(list(a), list(b)) for a, b in zip(p, r)])
-
-    j = t.select(id_col, lcs("_p", "_r").alias("l"), F.size("_p").alias("np"), F.size("_r").alias("nr"))
-    p = F.when(F.col("np") > 0, F.col("l") / F.col("np")).otherwise(0.0)
-    r = F.when(F.col("nr") > 0, F.col("l") / F.col("nr")).otherwise(0.0)
-    return j.select(id_col, p.alias("precision"), r.alias("recall")).withColumn(
-        "fmeasure", F.when(F.col("precision") + F.col("recall") > 0,
-                           2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-        .otherwise(0.0))
-
-
-def rouge_summary(pairs: DataFrame, **kw) -> DataFrame:
-    """(metric, fmeasure): corpus mean F of rouge1, rouge2, rougeL."""
-    parts = [rouge_n(pairs, 1, **kw).select(F.lit("rouge1").alias("metric"), "fmeasure"),
-             rouge_n(pairs, 2, **kw).select(F.lit("rouge2").alias("metric"), "fmeasure"),
-             rouge_l(pairs, **kw).select(F.lit("rougeL").alias("metric"), "fmeasure")]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.groupBy("metric").agg(F.avg("fmeasure").alias("fmeasure"))
-
-
 def quality_report(rows: list[tuple[str, str, str, DataFrame, str]]) -> DataFrame:
     """Union of (run, metric, corpus, value) rows taken from one-row result frames:
     each entry is (run, metric, corpus, frame, column)."""

@@ -12,10 +12,10 @@ Whole-word entities (J1) name the token themselves. Substrings (J2, J3) may
 begin and end inside a token, so the token is looked up first: the corpus'
 distinct tokens meet the items' longest word through the rarest of its
 character trigrams (an equi-join over the vocabulary, not over documents), and
-the tokens that hold the word are the join keys. There is one plan for any
-number of items: the optimiser chooses between broadcast and shuffle joins by
-size, AQE splits skewed tokens, and only ids and tokens move until the
-candidate pairs meet the texts. No item needs a nested-loop join.
+the tokens that hold the word are the join keys. Up to ``MOST_SENT`` items (a
+checked number) are sent to the texts and verified there; more items meet the
+tokens in a shuffle join, where only ids and tokens move until the candidate
+pairs meet the texts. No item needs a nested-loop join.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, regex_escape, strip_chars, word_runs, ws_tokens
-from ..session import join_scalars
+from ..session import join_scalars, materialise
 
 
 def _longest(arr: Column) -> Column:
@@ -37,16 +37,26 @@ def _longest(arr: Column) -> Column:
     )
 
 
-def keyed_pairs(docs: DataFrame, items: DataFrame, doc_tokens: Column, verify: Column) -> DataFrame:
+#: Items that are sent to all tasks; more meet the tokens in a shuffle join.
+MOST_SENT = 100_000
+
+
+def keyed_pairs(docs: DataFrame, items: DataFrame, doc_tokens: Column, verify: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``docs x items`` where ``doc_tokens`` contains the item's ``_key``
-    and ``verify`` holds; ``docs`` has ``doc_id`` and ``text``.
+    and ``verify`` holds; ``docs`` has ``doc_id`` and ``text`` (and ``keep``).
 
-    Streaming documents meet the static items directly (stateless); in a batch
-    the pairs of ids are found first and then joined to the texts.
+    Up to ``MOST_SENT`` items are sent to the texts: tokens meet the keys and
+    candidates are verified where the text lies, in one pass without a shuffle
+    (an item with several keys may come back several times for one text). More
+    items meet the documents' tokens first, and the pairs of ids then the texts.
+    Streaming documents meet the static items directly (stateless).
     """
+    exploded = docs.select("doc_id", "text", *keep, F.explode(F.array_distinct(doc_tokens)).alias("_tok"))
     if docs.isStreaming:
-        exploded = docs.select("*", F.explode(F.array_distinct(doc_tokens)).alias("_tok"))
         return exploded.join(items, exploded["_tok"] == items["_key"]).filter(verify).drop("_tok", "_key")
+    items = items.distinct()
+    if len(items.select(F.lit(1)).limit(MOST_SENT + 1).collect()) <= MOST_SENT:
+        return exploded.join(F.broadcast(items), exploded["_tok"] == items["_key"]).filter(verify).drop("_tok", "_key")
     tokens = docs.select(F.col("doc_id").alias("_doc"), F.explode(F.array_distinct(doc_tokens)).alias("_tok"))
     pairs = tokens.join(items, tokens["_tok"] == items["_key"]).drop("_tok", "_key").distinct()
     return pairs.join(docs, pairs["_doc"] == docs["doc_id"]).drop("_doc").filter(verify)
@@ -84,12 +94,14 @@ def substring_keys(docs: DataFrame, items: DataFrame, needle: str) -> DataFrame:
     part = chosen.filter(F.col("_p.how") != "equals")
 
     words = part.select("_p.run").distinct()
+    if words.isEmpty():
+        return materialise(whole, "needle-keys")
     size = F.least(F.lit(3), F.char_length("run"))
     wanted = words.select("run", F.explode(_grams(F.col("run"), F.array(size))).alias("gram"))
     sizes = words.agg(F.collect_set(size).alias("sizes"))  # some of 1, 2, 3
     vocabulary = docs.select(F.explode(F.array_distinct(_runs(F.col("text")))).alias("token")).distinct()
     grams = join_scalars(vocabulary, sizes).select("token", F.explode(_grams(F.col("token"), F.col("sizes"))).alias("gram"))
-    grams = grams.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    grams = materialise(grams.join(wanted.select("gram").distinct(), "gram", "left_semi"), "vocabulary-grams")  # the only read of the texts here
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "gram").groupBy("run").agg(F.min(F.struct("n", "gram")).alias("m")) \
         .select("run", "m.gram")
@@ -98,14 +110,14 @@ def substring_keys(docs: DataFrame, items: DataFrame, needle: str) -> DataFrame:
     fit = (F.when(how == "ends", F.endswith(F.col("token"), F.col("_p.run")))
            .when(how == "starts", F.startswith(F.col("token"), F.col("_p.run"))).otherwise(F.lit(True)))
     keyed = part.join(fits, part["_p"]["run"] == fits["run"]).filter(fit).withColumn("_key", F.col("token"))
-    return whole.unionByName(keyed.drop("_p", "run", "token"))
+    return materialise(whole.unionByName(keyed.drop("_p", "run", "token")), "needle-keys")
 
 
-def holding(docs: DataFrame, items: DataFrame, needle: str) -> DataFrame:
-    """Rows of ``docs x items`` whose ``text`` contains the needle."""
+def holding(docs: DataFrame, items: DataFrame, needle: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``docs x items`` whose ``text`` contains the needle, some perhaps repeated."""
     if docs.isStreaming:
         raise ValueError("substring search looks up the corpus vocabulary first; run it on a batch")
-    return keyed_pairs(docs, substring_keys(docs, items, needle), F.concat(_runs(F.col("text")), F.array(F.lit(""))), F.contains(F.col("text"), F.col(needle)))
+    return keyed_pairs(docs, substring_keys(docs, items, needle), F.concat(_runs(F.col("text")), F.array(F.lit(""))), F.contains(F.col("text"), F.col(needle)), keep)
 
 
 # ---------------------------------------------------------------------------
@@ -196,7 +208,7 @@ def context_phrases(docs: DataFrame, entities: DataFrame, *, window: int = 3,
 
     Output: (doc_id, entity_id, entity, match_no, phrase, context_len).
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_row")) \
         .filter(F.col("text").isNotNull())
     e = entities.filter(F.col(entity_col).isNotNull() & (F.length(entity_col) > 0)).select(
         F.col(entity_id_col).alias("entity_id"),
@@ -204,12 +216,12 @@ def context_phrases(docs: DataFrame, entities: DataFrame, *, window: int = 3,
         F.concat(F.lit(r"(?U)((?:\S+\s+){0," + str(window) + "})"), regex_escape(F.col(entity_col)),
                  F.lit(r"((?:\s+\S+){0," + str(window) + "})")).alias("_pat"),
     )
-    cand = holding(d, e, "entity")
+    cand = holding(d, e, "entity", ("_row",))
     spans = cand.select(
-        "doc_id", "entity_id", "entity",
+        "_row", "doc_id", "entity_id", "entity",
         F.posexplode(F.regexp_extract_all(F.col("text"), F.col("_pat"), 0)).alias("match_no", "span"),
     )
-    trims = spans.select("doc_id", "entity_id", "entity", "match_no",
+    trims = spans.distinct().select("doc_id", "entity_id", "entity", "match_no",
                          ws_tokens(F.col("span")).alias("_w")) \
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("_t"))
     n = F.size("_w")

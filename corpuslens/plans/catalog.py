@@ -103,3 +103,23 @@ def phrases_of(docs: str, prefix: str = "") -> str:
             body = body.replace(f"{name} AS", f"{prefix}{name} AS").replace(
                 f"FROM {name}", f"FROM {prefix}{name}")
     return body
+
+
+def sentences_sql(docs: str) -> str:
+    """CTEs that learn abbreviations from ``docs`` (id, text) and ``sents`` (id, s): each text's sentences."""
+    word = r"regexp_replace(regexp_replace({x}, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}.]+$', '')"
+    last = r"""CASE WHEN NOT ends_with(p, '..') THEN nullif(regexp_replace(lower(regexp_extract(p, '(\S+)\.$', 1)), '^[^\p{L}\p{N}]+', ''), '') END"""
+    return rf"""
+sw AS (SELECT {word.format(x='w')} AS w FROM (SELECT unnest(string_split_regex(lower(text), '\s+')) AS w FROM {docs})),
+sc AS (SELECT regexp_replace(w, '\.$', '') AS word, count(*) FILTER (ends_with(w, '.')) AS cw, count(*) FILTER (NOT ends_with(w, '.')) AS co FROM sw WHERE regexp_matches(w, '\p{{L}}') GROUP BY 1),
+st AS (SELECT sum(cw + co) AS n, sum(cw) AS dots FROM sc),
+sl AS (SELECT word, cw, co, n, dots, length(word) - length(replace(word, '.', '')) + 1 AS pd FROM sc, st WHERE cw > 0 AND dots < n),
+abbr AS (
+  SELECT word FROM (
+    SELECT word, -2 * ((cw * ln(dots / n) + CASE WHEN co > 0 THEN co * ln(1 - dots / n) ELSE 0 END) - (cw * ln(0.99) + co * ln(0.01)))
+           * exp(-(length(word) - pd + 1)) * pd * pow(CAST(length(word) - pd + 1 AS DOUBLE), -co) AS score FROM sl) WHERE score >= 0.3
+),
+sp AS (SELECT id, string_split(regexp_replace(text, '([.!?]["'')\]]*)\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM {docs}),
+sx AS (SELECT id, i, p, {last} AS lw FROM (SELECT id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM sp)),
+sj AS (SELECT id, string_agg(p || CASE WHEN lw IN (SELECT word FROM abbr) THEN ' ' ELSE chr(2) END, '' ORDER BY i) AS t FROM sx GROUP BY id),
+sents AS (SELECT id, list_filter(list_transform(string_split(t, chr(2)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM sj)"""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import coref as CO
 from . import roles
-from .catalog import register
+from ..functions.treebank import treebank_sql
+from .catalog import register, sentences_sql
 
 BASE = """
 gold AS (SELECT conv_id AS doc_key, role AS cluster, turn AS start, turn AS "end" FROM conversations),
@@ -222,7 +223,8 @@ def coref_attach_clusters(spark, sf):
                       F.size(F.flatten("clusters")).alias("n_mentions"))
 
 
-@register("coref_sentences")
+@register("coref_sentences", "WITH " + sentences_sql("(SELECT conv_id * 1000 + turn AS id, text FROM conversations)") + f"""
+SELECT CAST(id AS VARCHAR) AS doc_key, len(s) AS n_sentences, len(flatten(list_transform(s, lambda x: {treebank_sql('x')}))) AS n_tokens FROM sents""")
 def coref_sentences(spark, sf):
     c = roles.table(spark, sf, "conversations")
     return CO.sentences(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_key"), "text")).select(

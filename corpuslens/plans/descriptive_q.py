@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.treebank import treebank_sql
 from ..operators import descriptive as D
+from ..operators import sentences as SE
 from ..operators import similarity as S
 from . import roles
-from .catalog import REF, SYN, register, ws
+from .catalog import REF, SYN, register, sentences_sql, ws
 
 _RULES = D.rules_pattern()
 _LABEL = "CASE " + " ".join(
@@ -220,3 +222,15 @@ UNION ALL
 SELECT 'jaccard', round(avg(c / (ka + kb - c)), 6) FROM pairs WHERE ka + kb > 0""")
 def compare_corpora(spark, sf):
     return S.compare_corpora(roles.syn_docs(spark, sf), roles.ref_docs(spark, sf))
+
+
+@register("ngram_counts_treebank", "WITH " + sentences_sql("(SELECT doc_id AS id, text FROM documents)") + f""",
+tb AS (SELECT id AS doc_id, flatten(list_transform(s, lambda x: {treebank_sql('lower(x)')})) AS t FROM sents),
+tg AS (SELECT doc_id, unnest(range(0, len(t) - 1)) AS pos, unnest(list_transform(range(0, len(t) - 1), lambda i: t[i + 1] || ' ' || t[i + 2])) AS ngram FROM tb),
+tc AS (SELECT ngram, count(*) AS cnt, min({{'d': doc_id, 'p': pos}}) AS f FROM tg GROUP BY ngram)
+SELECT ngram, cnt, f.d AS first_doc, f.p AS first_pos FROM tc""")
+def ngram_counts_treebank(spark, sf):
+    """Bigram counts over Treebank tokens of learnt sentences."""
+    docs = roles.documents(spark, sf).select("doc_id", "text")
+    tokens = SE.treebank_documents(docs, SE.learn_abbreviations(docs))
+    return D.ngram_counts(tokens, 2, tokens=F.col("tokens"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import models as MD
 from ..operators import quality as Q
 from ..operators import ranking as R
+from ..operators import rouge as RG
 from . import roles
 from .catalog import register
 
@@ -82,17 +83,17 @@ SELECT id, round(precision, 6) AS precision, round(recall, 6) AS recall,
 
 @register("rouge1", _rouge_sql(1))
 def rouge1(spark, sf):
-    return MD.rouge_n(_pairs(spark, sf), 1)
+    return RG.rouge_n(_pairs(spark, sf), 1)
 
 
 @register("rouge2", _rouge_sql(2))
 def rouge2(spark, sf):
-    return MD.rouge_n(_pairs(spark, sf), 2)
+    return RG.rouge_n(_pairs(spark, sf), 2)
 
 
 @register("rouge_summary")
 def rouge_summary(spark, sf):
-    return MD.rouge_summary(_pairs(spark, sf))
+    return RG.rouge_summary(_pairs(spark, sf))
 
 
 @register("quality_report")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import first_paragraphs, last_period_prefix
 from ..operators import descriptive as D
 from ..operators import filters as FL
+from ..operators import lemmas as LM
 from ..operators import ranking as R
 from ..operators import records as RC
 from ..operators.search import entity_mentions
@@ -30,6 +31,20 @@ def normalise_text(spark, sf):
     return d.select("doc_id", FL.normalise_text(F.col("text")).alias("norm"))
 
 
+_FORMS = "list_filter([" + ", ".join(f"CASE WHEN ends_with(w, '{e}') THEN left(w, length(w) - {len(e)}) || '{n}' END" for e, n in LM.DETACHMENTS) + f"], lambda f: f IS NOT NULL AND length(f) >= {LM.LEAST})"
+
+
+@register("normalise_lemmas", f"""
+WITH n AS (SELECT doc_id, {_norm_sql('text')} AS norm FROM documents),
+w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(norm, ' ')) AS w FROM n) WHERE w <> ''),
+c AS (SELECT w, unnest({_FORMS}) AS form FROM w),
+l AS (SELECT c.w, min({{'n': length(form), 'f': form}}) AS m FROM c JOIN w k ON c.form = k.w GROUP BY c.w),
+t AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(string_split(norm, ' ')) AS x, unnest(range(len(string_split(norm, ' ')))) AS i FROM n))
+SELECT doc_id, string_agg(CASE WHEN m.n <= length(x) THEN m.f ELSE x END, ' ' ORDER BY i) AS norm FROM t LEFT JOIN l ON t.x = l.w GROUP BY doc_id""")
+def normalise_lemmas(spark, sf):
+    return LM.normalise_documents(roles.documents(spark, sf).select("doc_id", "text")).select("doc_id", "norm")
+
+
 def _maxcount_sql(x: str) -> str:
     return f"coalesce((SELECT max(c) FROM (SELECT count(*) AS c FROM unnest({ws(x)}) t(w) GROUP BY w)), 0)"
 

@@ -6,7 +6,7 @@ import importlib
 
 from .catalog import REGISTRY
 
-_MODULES = ["privacy_q", "descriptive_q", "classify_q", "quality_q", "canary_q", "coref_q", "records_q", "models_q", "corpus_q"]
+_MODULES = ["privacy_q", "descriptive_q", "classify_q", "quality_q", "canary_q", "coref_q", "records_q", "models_q", "corpus_q", "sources_q"]
 
 
 def _load():

@@ -3,6 +3,7 @@ split directories, nested annotation and coref JSON, result writers."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.records import rank_within
 from ..session import join_scalars
+from .quoted_csv import read_quoted_csv
 
 
 def load_corpus(spark: SparkSession, src, fmt: str = "parquet", *, text_col: str = "text",
@@ -18,13 +20,15 @@ def load_corpus(spark: SparkSession, src, fmt: str = "parquet", *, text_col: str
     """(doc_id, text) from a path (csv / parquet / json) or a DataFrame.
 
     CSV is read with a header and ``"`` escapes; fields with line breaks need
-    ``multi_line`` (such a file is one task). JSON needs a schema. A missing id column is derived with ``monotonically_increasing_id`` (unique,
+    ``multi_line`` (two passes, still in parallel, see ``quoted_csv``). JSON needs a schema. A missing id column is derived with ``monotonically_increasing_id`` (unique,
     not consecutive). The text column must be a string; NULL texts are dropped.
     """
     if isinstance(src, DataFrame):
         df = src
+    elif fmt == "csv" and multi_line:
+        df = read_quoted_csv(spark, src, schema)
     elif fmt == "csv":
-        r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+        r = spark.read.option("header", True).option("escape", '"')
         df = (r.schema(schema) if schema is not None else r).csv(src)
     elif fmt == "json":
         if schema is None:
@@ -45,8 +49,7 @@ def read_splits(spark: SparkSession, base: str, splits=("train", "validation", "
     frames = []
     for s in splits:
         path = f"{base.rstrip('/')}/{s}.{fmt}"
-        r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        df = r.csv(path) if fmt == "csv" else spark.read.parquet(path)
+        df = read_quoted_csv(spark, path) if fmt == "csv" else spark.read.parquet(path)
         frames.append(df.withColumn("split", F.lit(s)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -97,8 +100,7 @@ def ingest_csvs(spark: SparkSession, paths: list[str], text_col: str, *, sample_
     for p in paths:
         if not p.endswith(".csv"):
             raise ValueError(f"not a .csv file: {p}")
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("mode", "DROPMALFORMED").csv(paths))
+    df = read_quoted_csv(spark, paths, drop_malformed=True)
     df = df.filter(F.col(text_col).isNotNull()).withColumn(
         "_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(text_col))))
     df = df.orderBy("_key")
@@ -118,9 +120,26 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
         w.parquet(path)
 
 
-def append_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append metric rows to a results table (created on first write)."""
-    write_result(df, path, fmt, mode="append")
+def append_result(df: DataFrame, path: str, run_id: str | None = None, fmt: str = "parquet") -> None:
+    """Add one run's rows to a results table (created on first write).
+
+    With a ``run_id`` the table is partitioned by it and a run's partition is
+    replaced whole: a job that is tried again leaves its rows once, and runs that
+    write at the same time do not touch one another. Without, rows are appended.
+    """
+    if run_id is None:
+        write_result(df, path, fmt, mode="append")
+        return
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError("run_id must consist of letters, digits, '_', '.' and '-'")
+    write_result(df, f"{path.rstrip('/')}/run_id={run_id}", fmt)
+
+
+def read_results(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
+    """All runs of a results table, with ``run_id`` as text."""
+    reader = spark.read.option("basePath", path).option("header", True)
+    reader = reader.schema(schema) if schema is not None else reader
+    return reader.format(fmt).load(f"{path.rstrip('/')}/run_id=*").withColumn("run_id", F.col("run_id").cast("string"))
 
 
 def align_corpora(syn: DataFrame, real: DataFrame, *, max_real_chars: int | None = 3000,

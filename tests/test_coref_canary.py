@@ -25,18 +25,73 @@ def test_ceafe_singletons(spark):
     assert abs(s["ceafe"].precision - 1.0) < 1e-12 and abs(s["ceafe"].recall - 0.5) < 1e-12
 
 
-def test_hungarian_matches_brute_force():
+def best_assignment(w):
+    """Greatest weight over all injective maps of the smaller side."""
+    small, large = (w, w.T)[w.shape[0] > w.shape[1]], None
+    large = small.shape[1]
+    return max(sum(small[i, j] for i, j in enumerate(perm)) for perm in itertools.permutations(range(large), small.shape[0]))
+
+
+def test_sparse_assignment_matches_brute_force():
     rng = np.random.default_rng(3)
-    for r, c in [(3, 3), (2, 4), (4, 2), (5, 5)]:
-        m = rng.random((r, c))
-        best = 0.0
-        if r <= c:
-            for perm in itertools.permutations(range(c), r):
-                best = max(best, sum(m[i, perm[i]] for i in range(r)))
-        else:
-            for perm in itertools.permutations(range(r), c):
-                best = max(best, sum(m[perm[j], j] for j in range(c)))
-        assert abs(CO.max_assignment(m) - best) < 1e-9
+    for r, c in [(3, 3), (2, 4), (4, 2), (5, 5), (1, 6), (6, 5)] * 6:
+        w = np.where(rng.random((r, c)) < 0.6, rng.integers(1, 9, (r, c)) / 8, 0)
+        edges = [(i, j, w[i, j]) for i in range(r) for j in range(c) if w[i, j]]
+        assert abs(CO.sparse_assignment(edges) - best_assignment(w)) < 1e-9
+
+
+def dense_assignment(w):
+    """Best assignment of a square matrix by Bellman-Ford augmentation over all cells."""
+    n = len(w)
+    owner, col = [-1] * n, [-1] * n
+    for _ in range(n):
+        dist, came = [-math.inf] * n, [None] * n  # best gain of reaching a column
+        gain = {i: 0.0 for i in range(n) if col[i] < 0}
+        for _ in range(n + 1):
+            moved = False
+            for i, g in list(gain.items()):
+                for j in range(n):
+                    new = g + w[i][j]
+                    if j != col[i] and new > dist[j] + 1e-12:
+                        dist[j], came[j], moved = new, i, True
+                        if owner[j] >= 0 and new - w[owner[j]][j] > gain.get(owner[j], -math.inf) + 1e-12:
+                            gain[owner[j]] = new - w[owner[j]][j]
+            if not moved:
+                break
+        end = max((j for j in range(n) if owner[j] < 0), key=lambda j: dist[j])
+        while end >= 0:
+            i = came[end]
+            owner[end], col[i], end = i, end, col[i]
+    return sum(w[i][col[i]] for i in range(n))
+
+
+def test_ceafe_of_two_hundred_clusters_in_a_document(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(x), int(rng.integers(0, 200)), int(rng.integers(0, 200))) for x in range(700)]
+    gold = _mentions(spark, [("d", f"c{g}", x, x) for x, g, _ in rows] + [("e", "c1", 0, 0), ("e", "c1", 1, 1)])
+    pred = _mentions(spark, [("d", f"k{p}", x, x) for x, _, p in rows] + [("e", "k1", 0, 0), ("e", "k1", 1, 1)])
+    gs, ps = np.bincount([g for _, g, _ in rows], minlength=200), np.bincount([p for _, _, p in rows], minlength=200)
+    w = np.zeros((200, 200))
+    for _, g, p in rows:
+        if ps[p] > 1:
+            w[g, p] += 2 / (gs[g] + ps[p])
+    want = dense_assignment(w.tolist()) + 1
+    got = CO.ceafe_counts(pred, gold).first()
+    assert abs(got.p_num - want) < 1e-9 and (got.p_den, got.r_den) == ((ps > 1).sum() + 1, (gs > 0).sum() + 1)
+
+
+def test_components_of_paths_and_rings(spark):
+    from corpuslens.operators.components import component_roots
+    rows = [("a", k, k + 1) for k in range(40)] + [("a", 100, 60), ("b", 5, 9), ("b", 9, 5), ("b", 3, 3)] + [("c", k, (k + 1) % 7) for k in range(7)]
+    got = {(r.key, r.node): r.root for r in component_roots(spark.createDataFrame(rows, "key string, u long, v long"), "key").collect()}
+    assert got == {**{("a", k): 0 for k in range(41)}, ("a", 100): 60, ("a", 60): 60, ("b", 5): 5, ("b", 9): 5, **{("c", k): 0 for k in range(7)}}
+
+
+def test_scores_without_predictions_are_zero(spark):
+    gold = _mentions(spark, [("d", "a", 0, 0), ("d", "a", 1, 1), ("d", "b", 2, 2)])
+    none = gold.filter("false")
+    for pred, ref in ((none, gold), (gold, none), (none, none)):
+        assert {(r.precision, r.recall, r.f1) for r in CO.coref_scores(pred, ref, with_lea=True).collect()} == {(0.0, 0.0, 0.0)}
 
 
 def test_muc_hand_case(spark):
