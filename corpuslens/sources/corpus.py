@@ -113,7 +113,7 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)  # as the readers expect it
     elif fmt == "json":
         w.json(path)
     else:
