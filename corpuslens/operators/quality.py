@@ -82,9 +82,17 @@ _PARTIAL = T.StructType([T.StructField("n", T.LongType()),
                          T.StructField("g", T.ArrayType(T.DoubleType()))])
 
 
+def whole_vectors(df: DataFrame, col: str) -> DataFrame:
+    """The rows whose vector is there and holds only finite numbers."""
+    vec = F.col(col).cast("array<double>")
+    return df.filter(vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+
+
 def moments(emb: DataFrame, col: str = "embedding", fan: int = 32) -> DataFrame:
     """One row (n, sum vector, Gram matrix flattened): a partial per partition,
-    written once, then added up ``fan`` at a time."""
+    written once, then added up ``fan`` at a time. Rows without a whole vector
+    take no part; without any row there is no result row."""
+    emb = whole_vectors(emb, col)
     parts = emb.select(F.col(col).cast("array<double>").alias(col)).mapInPandas(_gram_partials(col), _PARTIAL)
     parts = materialise(parts.withColumn("slot", F.spark_partition_id().cast("long")), "gram-partials")
 
@@ -104,10 +112,14 @@ def frechet_distance(a: DataFrame, b: DataFrame, col: str = "embedding") -> Data
     """||mu_a - mu_b||^2 + Tr(S_a + S_b - 2 (S_a S_b)^(1/2)), sample covariances.
 
     Moments are Spark aggregates; the d x d eigen-decomposition (d = embedding
-    width) runs on the driver on two d x d matrices.
+    width) runs on the driver on two d x d matrices. A side of fewer than two
+    whole vectors has no covariance: the distance is NULL.
     """
     spark = a.sparkSession
     ma, mb = moments(a, col).first(), moments(b, col).first()
+    n_a, n_b = (int(m["n"]) if m is not None else 0 for m in (ma, mb))
+    if min(n_a, n_b) < 2:
+        return spark.createDataFrame([(n_a, n_b, None)], "n_a long, n_b long, frechet double")
 
     def fit(m):
         n = m["n"]
@@ -126,7 +138,7 @@ def frechet_distance(a: DataFrame, b: DataFrame, col: str = "embedding") -> Data
     ev = np.linalg.eigvalsh(r1 @ s2 @ r1)
     tr_sqrt = float(np.sqrt(np.clip(ev, 0, None)).sum())
     fd = float(((mu1 - mu2) ** 2).sum() + np.trace(s1) + np.trace(s2) - 2 * tr_sqrt)
-    return spark.createDataFrame([(int(ma["n"]), int(mb["n"]), fd)], "n_a long, n_b long, frechet double")
+    return spark.createDataFrame([(n_a, n_b, fd)], "n_a long, n_b long, frechet double")
 
 
 # ---------------------------------------------------------------------------
@@ -301,13 +313,14 @@ def nearest_real(syn: DataFrame, real: DataFrame, *, col: str = "embedding", id_
 
     Tiles of unit-normalised rows are multiplied; each keeps k rows a synthetic
     row, and the lists are merged ``fan`` at a time. Join the real ids back to
-    the corpus for the texts.
+    the corpus for the texts. Ids may be of any type; rows without an id or a
+    whole vector take no part, and a zero vector has cosine 0 with all.
     """
-    rows = lambda df: materialise(df.select(F.col(id_col).alias("id"), F.col(col).cast("array<double>").alias("v")), "vectors")
+    rows = lambda df: materialise(whole_vectors(df.filter(F.col(id_col).isNotNull()), col).select(F.col(id_col).alias("id"), F.col(col).cast("array<double>").alias("v")), "vectors")
     s, r = rows(syn), rows(real)
 
     def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = t.column("id").to_numpy()
+        ids = np.array(t.column("id").to_pylist())
         v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
         return ids[order], v[order] / np.maximum(np.linalg.norm(v[order], axis=1, keepdims=True), 1e-300)
@@ -318,16 +331,17 @@ def nearest_real(syn: DataFrame, real: DataFrame, *, col: str = "embedding", id_
             part = b.column("_j")[0].as_py()
             (ids, x), (near, y) = unit(a), unit(b)
             for at in range(0, len(ids), 256):
-                for i, row in zip(ids[at:at + 256], x[at:at + 256] @ y.T):
+                for i, row in zip(ids[at:at + 256].tolist(), x[at:at + 256] @ y.T):
                     least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else row.min()
                     top = np.flatnonzero(row >= least)
                     top = top[np.argsort(-row[top], kind="stable")][:k]
                     for values, more in zip(out, ([i] * len(top), near[top].tolist(), row[top].tolist(), [part] * len(top))):
                         values += more
-        return pa.table({"syn_id": pa.array(out[0], pa.int64()), "real_id": pa.array(out[1], pa.int64()),
+        return pa.table({"syn_id": pa.array(out[0], a.schema.field("id").type), "real_id": pa.array(out[1], b.schema.field("id").type),
                          "cosine": pa.array(out[2], pa.float64()), "part": pa.array(out[3], pa.int64())})
 
-    found = tile_apply(s, r, best, "syn_id long, real_id long, cosine double, part long", left_key="id", right_key="id",
+    kinds = [df.schema["id"].dataType.simpleString() for df in (s, r)]
+    found = tile_apply(s, r, best, f"syn_id {kinds[0]}, real_id {kinds[1]}, cosine double, part long", left_key="id", right_key="id",
                        left_rows=syn_rows, right_rows=real_rows)
     parts = max(1, -(-r.count() // real_rows))
     while True:
@@ -340,6 +354,14 @@ def nearest_real(syn: DataFrame, real: DataFrame, *, col: str = "embedding", id_
         found = found.drop("rank")
 
 
+def shared_entity_documents(syn_mentions: DataFrame, ref_mentions: DataFrame) -> DataFrame:
+    """(entity, doc_id): the real documents of every entity that some synthetic
+    document mentions too. A lookup table from entities to texts, one row a
+    mentioning document; no document pairs are formed."""
+    wanted = syn_mentions.select("entity").distinct()
+    return ref_mentions.select("entity", "doc_id").distinct().join(wanted, "entity", "left_semi")
+
+
 def shared_entities(syn_mentions: DataFrame, ref_mentions: DataFrame) -> DataFrame:
     """For each synthetic document and entity it mentions: how many real
     documents mention the same entity (0 = synthetic-only entity).

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_scalars
+from ..session import join_scalars, materialise
 
 
 def seeded_key(id_col, seed: int | str = 42) -> Column:
@@ -40,6 +40,20 @@ def global_rank(df: DataFrame, key: Column, *, prefix: int = 3, rank_col: str =
     return ranked.drop("_bucket", "_off", "_key")
 
 
+def ordered_rank(df: DataFrame, order_col: str, *, rank_col: str = "rank") -> DataFrame:
+    """Add the 1-based position of each row by ``order_col`` (unique, not null).
+
+    The values are range-sorted and written with the number of their range; the
+    ranges' counts give offsets, so no task ranks more than one range.
+    """
+    ranged = df.select(order_col).repartitionByRange(order_col).select(F.col(order_col).alias("_v"), F.spark_partition_id().alias("_part"))
+    ranged = materialise(ranged, "ranges")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    place = ranged.join(F.broadcast(offsets), "_part").select("_v", (F.col("_off") + F.row_number().over(Window.partitionBy("_part").orderBy("_v"))).alias(rank_col))
+    return df.join(place, df[order_col] == place["_v"]).drop("_v")
+
+
 def split_sizes(n: Column, val_ratio: float, test_ratio: float) -> tuple[Column, Column]:
     """(n_val, n_test) as in scikit-learn's two-step train_test_split:
     held-out = ceil(n (val + test)), test = ceil(held-out * test / (val + test))."""
@@ -105,7 +119,9 @@ def bootstrap_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> Data
 
 def pick_positions(df: DataFrame, id_col: str, total: int, seed: int = 42) -> DataFrame:
     """``total`` distinct rows chosen at random, never the last row (by id);
-    raises when fewer than ``total`` rows are eligible."""
+    raises when fewer than ``total`` rows are eligible. The rows are written once
+    and read for the last id, the count and the ranks."""
+    df = materialise(df, "pick-from")
     last = df.agg(F.max(id_col).alias("_last"))
     eligible = join_scalars(df, last).filter(F.col(id_col) != F.col("_last")).drop("_last")
     ranked = global_rank(eligible, seeded_key(id_col, seed), rank_col="_r")

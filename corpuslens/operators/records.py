@@ -116,18 +116,14 @@ def control_code_lines(df: DataFrame, text_col: str = "text", ann_col: str = "an
                        identifier_types: tuple[str, ...] = ("DIRECT", "QUASI")) -> DataFrame:
     """Per document: ``TYPE: a, b`` lines (first annotator, identifying spans
     that occur in the first paragraphs), types and spans in mention order."""
-    head = df.select(id_col, first_paragraphs(F.col(text_col), paragraphs).alias("_head"))
-    m = annotation_mentions(df, ann_col, id_col, first_annotator_only=True) \
-        .filter(F.col("identifier_type").isin(list(identifier_types)))
-    m = m.join(head, id_col).filter(F.contains(F.col("_head"), F.col("span_text")))
-    per_type = m.groupBy(id_col, "entity_type").agg(
-        F.min("pos").alias("_first"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "span_text"))), lambda s: s["span_text"]).alias("_spans"))
-    lines = per_type.select(id_col, "_first", F.concat(F.col("entity_type"), F.lit(": "),
-                                                       F.array_join("_spans", ", ")).alias("_line"))
-    return lines.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_line"))), lambda s: s["_line"]),
-                     "\n").alias("control_codes"))
+    head = first_paragraphs(F.col(text_col), paragraphs)
+    first = F.get(F.map_values(ann_col), F.lit(0))["entity_mentions"]
+    rows = df.select(id_col, head.alias("_head"), first.alias("_all"))
+    own = lambda m: m["identifier_type"].isin(list(identifier_types)) & F.contains(F.col("_head"), m["span_text"])
+    rows = rows.select(id_col, F.filter("_all", own).alias("_m")).select(id_col, "_m", F.array_distinct(F.transform("_m", lambda m: m["entity_type"])).alias("_types"))
+    spans = lambda t: F.transform(F.filter("_m", lambda m: m["entity_type"] == t), lambda m: m["span_text"])
+    lines = F.transform("_types", lambda t: F.concat(t, F.lit(": "), F.array_join(spans(t), ", ")))
+    return rows.filter(F.size("_m") > 0).select(id_col, F.array_join(lines, "\n").alias("control_codes"))
 
 
 # Control-code categories recognised when parsing lines back.

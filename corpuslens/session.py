@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,9 +68,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+_SCOPES: list[list[str]] = []  # folders made inside the open scopes, the innermost last
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path inside the shared scratch folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpuslens-{uuid.uuid4().hex}/{tag}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpuslens-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(folder)
+    return f"{folder}/{tag}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made inside once the block ends.
+
+    Results are lazy and may still read them: write what is to stay (anywhere but
+    in the scratch folder, or with :func:`materialise` outside the block) before
+    the block ends. Tables made outside any scope stay until someone clears
+    ``spark.checkpoint.dir``.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in _SCOPES.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

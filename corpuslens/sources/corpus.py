@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.records import rank_within
+from ..operators.ranking import ordered_rank
 from ..session import join_scalars
 from .quoted_csv import read_quoted_csv
 
@@ -148,8 +148,7 @@ def align_corpora(syn: DataFrame, real: DataFrame, *, max_real_chars: int | None
     n = the smaller size. Adds ``position`` (1-based, by id)."""
     if max_real_chars is not None:
         real = real.filter(F.length(text_col) < max_real_chars)
-    rs = rank_within(syn.withColumn("_all", F.lit(0)), "_all", id_col).drop("_all")
-    rr = rank_within(real.withColumn("_all", F.lit(0)), "_all", id_col).drop("_all")
+    rs, rr = (ordered_rank(d, id_col, rank_col="position") for d in (syn, real))
     n = join_scalars(syn.agg(F.count("*").alias("a")), real.agg(F.count("*").alias("b"))).select(
         F.least("a", "b").alias("_n"))
     keep = lambda d: join_scalars(d, n).filter(F.col("position") <= F.col("_n")).drop("_n")
