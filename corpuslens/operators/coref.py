@@ -24,6 +24,7 @@ from .components import component_roots
 from .sentences import learn_abbreviations, with_sentences
 
 M = ["doc_key", "start", "end"]
+MOST_TOGETHER = 1000  # overlapping cluster pairs of a document that are assigned in one task
 
 
 def mention_map(clusters: DataFrame) -> DataFrame:
@@ -138,8 +139,9 @@ def _ceafe_counts(mentions: DataFrame, side: str = "preds", other: str = "golds"
     one-to-one assignment.
 
     The assignment falls apart into the connected components of the overlaps:
-    pairs that touch no other pair are summed, the rest is solved component by
-    component, whatever the number of clusters of a document.
+    pairs that touch no other pair are summed; documents of up to
+    ``MOST_TOGETHER`` other overlaps are solved as they are, larger ones component
+    by component, whatever the number of clusters of a document.
     """
     psz = _sizes(mentions, side).filter(F.col("size") != 1)
     gsz = _sizes(mentions, other)
@@ -154,10 +156,15 @@ def _ceafe_counts(mentions: DataFrame, side: str = "preds", other: str = "golds"
     phi = materialise(phi.join(degree("gold"), ["doc_key", "gold"]).join(degree("pred"), ["doc_key", "pred"]), "overlaps")
     alone = (F.col("gold_n") == 1) & (F.col("pred_n") == 1)
     sims, linked = phi.filter(alone).select(F.col("phi").alias("sim")), phi.filter(~alone)
-    if not linked.isEmpty():
-        roots = component_roots(linked.select("doc_key", F.col("gold").alias("u"), F.col("pred").alias("v")), "doc_key").withColumnRenamed("node", "gold")
-        solved = linked.join(roots, ["doc_key", "gold"]).groupBy("doc_key", "root").applyInPandas(_component_assignment, schema="sim double")
-        sims = sims.unionByName(solved)
+    large = linked.groupBy("doc_key").count().filter(F.col("count") > MOST_TOGETHER).select("doc_key")
+    if large.isEmpty():
+        sims = sims.unionByName(linked.groupBy("doc_key").applyInPandas(_component_assignment, schema="sim double"))
+    else:
+        large = materialise(large, "large-documents")
+        few, many = linked.join(large, "doc_key", "left_anti"), linked.join(large, "doc_key", "left_semi")
+        roots = component_roots(many.select("doc_key", F.col("gold").alias("u"), F.col("pred").alias("v")), "doc_key").withColumnRenamed("node", "gold")
+        solved = many.join(roots, ["doc_key", "gold"]).groupBy("doc_key", "root").applyInPandas(_component_assignment, schema="sim double")
+        sims = sims.unionByName(few.groupBy("doc_key").applyInPandas(_component_assignment, schema="sim double")).unionByName(solved)
     sim = sims.agg(F.coalesce(F.sum("sim"), F.lit(0.0)).alias("sim"))
     return join_scalars(sim, psz.agg(F.count("*").alias("p_den")), gsz.agg(F.count("*").alias("r_den"))).select(
         F.col("sim").alias("p_num"), F.col("p_den").cast("double").alias("p_den"), F.col("sim").alias("r_num"), F.col("r_den").cast("double").alias("r_den"))

@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 
 from corpuslens.operators import canary as K
 from corpuslens.operators import coref as CO
@@ -65,7 +66,9 @@ def dense_assignment(w):
     return sum(w[i][col[i]] for i in range(n))
 
 
-def test_ceafe_of_two_hundred_clusters_in_a_document(spark):
+@pytest.mark.parametrize("together", [1000, 50])
+def test_ceafe_of_two_hundred_clusters_in_a_document(spark, monkeypatch, together):
+    monkeypatch.setattr(CO, "MOST_TOGETHER", together)
     rng = np.random.default_rng(8)
     rows = [(int(x), int(rng.integers(0, 200)), int(rng.integers(0, 200))) for x in range(700)]
     gold = _mentions(spark, [("d", f"c{g}", x, x) for x, g, _ in rows] + [("e", "c1", 0, 0), ("e", "c1", 1, 1)])
