@@ -69,7 +69,7 @@ def exact_split(df: DataFrame, id_col: str, *, train_ratio: float = 0.8, val_rat
     Test takes the first ranks by the seeded key, validation the next ones.
     """
     if abs(train_ratio + val_ratio + test_ratio - 1.0) > 1e-9:
-        raise ValueError("Ratios must sum to 1")
+        raise ValueError("train, validation and test shares have to add up to 1")
     ranked = global_rank(df, seeded_key(id_col, seed), rank_col="_r")
     n = df.agg(F.count("*").alias("_n"))
     n_val, n_test = split_sizes(F.col("_n"), val_ratio, test_ratio)
