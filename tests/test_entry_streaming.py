@@ -1,5 +1,7 @@
 import os
 import shutil
+import subprocess
+import sys
 import tempfile
 
 from pyspark.sql import functions as F
@@ -34,3 +36,19 @@ def test_stream_equals_batch(spark, sf):
     streamed = {tuple(r) for r in spark.read.parquet(os.path.join(d, "out")).select("doc_id", "entity_id", "entity").collect()}
     batch = {tuple(r) for r in search.entity_mentions(docs, ents).collect()}
     assert streamed == batch and len(batch) > 0
+
+
+def test_entry_works_where_the_training_data_operators_cannot_be_imported():
+    code = """
+import sys
+
+class Missing:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("corpuslens.llm"):
+            raise ImportError(name)
+
+sys.meta_path.insert(0, Missing())
+import __spark_entry__ as e
+assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries()) and not any(q.startswith("op") for q in e.queries())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
