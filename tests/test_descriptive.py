@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuslens.operators import descriptive as D
@@ -105,3 +106,24 @@ def test_ngram_extremes(spark):
     rows = {(r.kind, r["rank"]): (r.ngram, r.cnt) for r in D.ngram_extremes(counts, 2).collect()}
     assert rows[("most", 1)] == ("a b", 2)
     assert rows[("least", 1)] == ("c d", 1)
+
+
+def test_jaccard_blocks_are_few(spark):
+    """Each block goes to every block of the other side: large corpora need few of them."""
+    sets = spark.range(300_000).select(F.lit(100).alias("k"))
+    sides = int((4 * spark.sparkContext.defaultParallelism) ** 0.5) + 1
+    assert -(-300_000 // S._block_rows(sets, S.BLOCK_ROWS)) <= max(sides, 5)
+    assert S._block_rows(sets.limit(10), S.BLOCK_ROWS) >= 10 and S._block_rows(sets.filter("false"), 7) >= 1
+
+
+def test_jaccard_frequent_and_rare_words(spark, monkeypatch):
+    """Words counted by matrices, by the index, and across several slices give the brute-force mean."""
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join([f"common{i}" for i in range(5) if rng.random() < 0.7] + [f"rare{i}" for i in rng.integers(0, 400, 12)])
+    a, b = [text() for _ in range(60)] + [""], [text() for _ in range(50)] + [""]
+    sets = [[set(t.split()) for t in side] for side in (a, b)]
+    pairs = [len(p & q) / len(p | q) for p in sets[0] for q in sets[1] if p | q]
+    t = lambda side: pa.table({"k": pa.array([len(s) for s in side], pa.int32()), "h": pa.array([[hash(w) for w in s] for s in side], pa.list_(pa.int64()))})
+    monkeypatch.setattr(S, "CELLS", 300)
+    assert abs(S._jaccard_tile(t(sets[0]), t(sets[1]))["num"][0].as_py() - sum(pairs)) < 1e-9
+    assert abs(S.jaccard_mean(_docs(spark, a), _docs(spark, b)).first().jaccard - np.mean(pairs)) < 1e-9
