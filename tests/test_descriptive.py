@@ -127,3 +127,12 @@ def test_jaccard_frequent_and_rare_words(spark, monkeypatch):
     monkeypatch.setattr(S, "CELLS", 300)
     assert abs(S._jaccard_tile(t(sets[0]), t(sets[1]))["num"][0].as_py() - sum(pairs)) < 1e-9
     assert abs(S.jaccard_mean(_docs(spark, a), _docs(spark, b)).first().jaccard - np.mean(pairs)) < 1e-9
+
+
+def test_term_counts_shuffle_texts_alone(spark, sf):
+    """One exchange, of the texts by id: the lists of terms are counted where they are."""
+    plan = S.term_counts(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "hashpartitioning(doc_id#0L, term" not in plan
+    assert plan.index("Exchange hashpartitioning") > plan.index("Generate explode")  # printed from the top: the terms come after the exchange
+    twice = spark.createDataFrame([(1, "pear plum"), (1, "pear"), (None, "plum"), (None, "plum fig")], "doc_id int, text string")
+    assert sorted(map(tuple, S.term_counts(twice).collect()), key=str) == sorted([(1, "pear", 2), (1, "plum", 1), (None, "plum", 2), (None, "fig", 1)], key=str)
