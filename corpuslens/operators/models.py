@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .classify import argmax_label, multiclass_metrics
 
 # Short stop-word list for topic preprocessing.
@@ -81,13 +82,15 @@ def silver_labels(model, df: DataFrame, *, out_col: str = "annotated_label") ->
 
 
 def hashed_embeddings(df: DataFrame, *, text_col: str = "text", dims: int = 64, num_features: int = 1 << 10):
-    """Fallback sentence embeddings: hashed TF-IDF projected to ``dims`` with PCA."""
+    """Fallback sentence embeddings: hashed TF-IDF projected to ``dims`` with PCA.
+    The texts are read once; the fits and every later read take the written counts."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
-    pipe = Pipeline(stages=text_features(text_col, num_features) + [PCA(k=dims, inputCol="features",
-                                                                        outputCol="_emb")]).fit(df)
-    return pipe.transform(df).withColumn("embedding", vector_to_array("_emb").cast("array<float>"))
+    words, counts, idf = text_features(text_col, num_features)
+    hashed = materialise(counts.transform(words.transform(df)).drop(words.getOutputCol()), "hashed-counts")
+    pipe = Pipeline(stages=[idf, PCA(k=dims, inputCol="features", outputCol="_emb")]).fit(hashed.select("_tf"))
+    return pipe.transform(hashed).withColumn("embedding", vector_to_array("_emb").cast("array<float>"))
 
 
 def quality_report(rows: list[tuple[str, str, str, DataFrame, str]]) -> DataFrame:

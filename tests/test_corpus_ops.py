@@ -102,3 +102,14 @@ def test_digamma(spark):
     got = spark.createDataFrame([(1.0,), (0.5,), (10.0,), (1e6,)], "x double").select(TP.digamma(F.col("x"))).collect()
     want = (-0.5772156649, -1.9635100260, 2.2517525890, 13.8155100579)
     assert all(abs(g[0] - w) < 1e-7 for g, w in zip(got, want))
+
+
+def test_hashed_embeddings_read_the_texts_once(spark):
+    """Fits and scores read the written counts; the texts are not tokenised again."""
+    from corpuslens.operators import models as MD
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 5} gamma w{i % 3}") for i in range(30)], "doc_id int, text string")
+    emb = MD.hashed_embeddings(docs, dims=3, num_features=64)
+    plan = emb.select("doc_id", "embedding")._jdf.queryExecution().executedPlan().toString()
+    assert "hashed-counts" in plan and "RegexTokenizer" not in plan and "LocalTableScan" not in plan and "ExistingRDD" not in plan
+    rows = emb.collect()
+    assert len(rows) == 30 and all(len(r["embedding"]) == 3 for r in rows) and {"doc_id", "text"} <= set(emb.columns)
