@@ -136,3 +136,22 @@ def test_term_counts_shuffle_texts_alone(spark, sf):
     assert plan.index("Exchange hashpartitioning") > plan.index("Generate explode")  # printed from the top: the terms come after the exchange
     twice = spark.createDataFrame([(1, "pear plum"), (1, "pear"), (None, "plum"), (None, "plum fig")], "doc_id int, text string")
     assert sorted(map(tuple, S.term_counts(twice).collect()), key=str) == sorted([(1, "pear", 2), (1, "plum", 1), (None, "plum", 2), (None, "fig", 1)], key=str)
+
+
+def test_infinite_share_of_few_term_sets(spark):
+    """Documents of equal term sets meet as classes: 4 million pairs of one class are one pair."""
+    terms = F.explode(F.array(*[F.lit(t) for t in ("fig", "pear", "plum")])).alias("term")
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), terms, F.lit(0.5).alias("x"))
+    one = spark.createDataFrame([(2000,)], "n long")
+    assert S._term_classes(rows, "i").count() == 1
+    assert S._kl_inf_share(rows, rows, one, one).first()[0] == 0
+
+
+def test_infinite_share_brute_force(spark):
+    rng = np.random.default_rng(11)
+    sides = [[sorted({f"t{t}" for t in rng.zipf(1.6, rng.integers(1, size)) if t < 60}) for _ in range(n)] for size, n in ((6, 80), (40, 70))]
+    frames = [spark.createDataFrame([(i, t, 1.0) for i, s in enumerate(side) for t in s], "doc_id long, term string, x double") for side in sides]
+    n1, n2 = (spark.createDataFrame([(len(s),)], "n long") for s in sides)
+    want = np.mean([not set(p) <= set(q) for p in sides[0] for q in sides[1]])
+    assert {min(len(p), 4) for p in sides[0]} >= {1, 2, 3}
+    assert abs(S._kl_inf_share(*frames, n1, n2).first()[0] - want) < 1e-12
