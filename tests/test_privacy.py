@@ -172,3 +172,14 @@ def test_stream_search_is_stateless(spark, sf):
         search.entity_mentions(docs, ents, key="rarest")
     with pytest.raises(ValueError):
         search.context_phrases(docs, ents)
+
+
+def test_neighbour_keys(spark):
+    """Entities of several words meet only the documents that hold two of them side by side."""
+    from corpuslens.operators import search
+    docs = spark.createDataFrame([(1, "Anna met ANNA  Bo-Lee."), (2, "Lee Bo, Anna."), (3, "anna bo-lee, x"), (4, None), (5, "--")], "doc_id int, text string")
+    ents = spark.createDataFrame([(1, "Anna Bo-Lee"), (2, "Anna"), (3, "bo-lee"), (4, "Lee Bo"), (5, ", x"), (6, "Anna  Bo")], "entity_id int, entity string")
+    rows = lambda key: {tuple(r) for r in search.entity_mentions(docs, ents, key=key).collect()}
+    assert rows("neighbours") == rows("longest") and len(rows("longest")) >= 7
+    keys = search.neighbours(search.word_runs(F.lit("Anna Bo-Lee")))
+    assert docs.limit(1).select(keys.alias("k")).first()["k"] == ["anna\x01bo", "bo\x01lee"]
