@@ -140,3 +140,21 @@ def test_kneser_ney_probabilities(spark):
     w = ["<s>", "<s>", "a", "b", "z"]
     want = math.exp(-sum(math.log(slow(*g)) for g in zip(w, w[1:], w[2:])) / 3)
     assert set(ppl) == {1, 4} and abs(ppl[1] - want) < 1e-9 and ppl[4] < ppl[1]
+
+
+def test_perplexities_count_in_place(spark):
+    """The texts go to their documents once; lists of bigrams or trigrams are not shuffled by document first."""
+    import re
+
+    from corpuslens.operators import quality as Q
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "b c"), (2, "b c d"), (3, None), (None, "a z")], "doc_id int, text string")
+    bigram = Q.write_lm(Q.ngram_lm_fit(docs.filter("doc_id < 3")))
+    scored = [Q.document_perplexity(docs, bigram, Q.lm_vocab_size(bigram)), KN.kneser_ney_perplexity(docs, KN.fit_kneser_ney(docs.filter("doc_id < 3")))]
+    for found in scored:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(doc_id#\d+L?, [^\d]", plan) and re.search(r"hashpartitioning\(doc_id#\d+L?, \d+\)", plan)
+        rows = {r["doc_id"]: r for r in found.collect()}
+        assert {k: r["n_tokens"] for k, r in rows.items()} == {1: 4, 2: 5, None: 2}
+    # p(a|<s>), p(b|a), p(a|b), p(b|a) with add-one over the five symbols <s>, a, b, c, d
+    want = (2 / 8 * 3 / 7 * 2 / 8 * 3 / 7) ** -0.25
+    assert abs({r["doc_id"]: r["ppl"] for r in scored[0].collect()}[1] - want) < 1e-9
