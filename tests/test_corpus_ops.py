@@ -112,3 +112,47 @@ def test_hashed_embeddings_read_the_texts_once(spark):
     assert emb.inputFiles() and all("hashed-counts" in f for f in emb.inputFiles())
     rows = emb.collect()
     assert len(rows) == 30 and all(len(r["embedding"]) == 3 for r in rows) and {"doc_id", "text"} <= set(emb.columns)
+
+
+def _topic_steps(counts, k, passes, seed=7):
+    """The same passes, count by count."""
+    import hashlib
+
+    import numpy as np
+    terms, docs = sorted({t for _, t in counts}), sorted({d for d, _ in counts})
+    start = lambda t, j: 1 + int(hashlib.md5(f"{seed}:{t}:{j}".encode()).hexdigest()[:8], 16) / (1 << 32)
+    words = {t: np.array([start(t, j) for j in range(k)]) for t in terms}
+    mixtures = {d: 1 / k + np.full(k, sum(n for (e, _), n in counts.items() if e == d) / k) for d in docs}
+    psi = lambda x: TP.digamma(x, np.log)
+    for _ in range(passes):
+        total = sum(words.values())
+        beta = {t: np.exp(psi(w) - psi(total)) for t, w in words.items()}
+        for own, of in ((0, docs), (1, terms)):
+            theta = {d: np.exp(psi(g) - psi(g.sum())) for d, g in mixtures.items()}
+            new = {x: np.full(k, 1 / k) for x in of}
+            for key, n in counts.items():
+                p = theta[key[0]] * beta[key[1]]
+                new[key[own]] += n * p / p.sum()
+            mixtures, words = (new, words) if own == 0 else (mixtures, new)
+    return words, mixtures
+
+
+def test_passes_move_terms_instead_of_counts(spark, monkeypatch):
+    """Counts lie in blocks that stay; the fit over several blocks and slices equals the fit count by count."""
+    monkeypatch.setattr(TP, "BLOCK_COUNTS", 60)
+    rng = random.Random(9)
+    rows = [(d, rng.choices([f"word{chr(97 + i)}" for i in range(20)], k=30)) for d in range(30)]
+    counts = {}
+    for d, ws in rows:
+        for w in ws:
+            counts[d, w] = counts.get((d, w), 0) + 1
+    docs = spark.createDataFrame([(d, " ".join(ws)) for d, ws in rows] + [(None, "worda wordz"), (50, None)], "doc_id int, text string")
+    packed, terms, n_blocks = TP._blocks(TP.topic_counts(docs))
+    assert n_blocks > 3 and packed.count() == n_blocks and terms.count() == 21
+    got = TP.fit_topics(docs, k=2, passes=1)
+    assert {r["term"] for r in got.words.collect()} == {t for _, t in counts}  # rows without an id have no mixture
+    found = TP.fit_topics(docs.filter("doc_id is not null"), k=2, passes=2)
+    words, mixtures = _topic_steps(counts, 2, 2)
+    assert all(abs(r[f"l{t}"] - words[r["term"]][t]) < 1e-9 for r in found.words.collect() for t in range(2))
+    assert {r["doc_id"] for r in found.mixtures.collect()} == set(mixtures)
+    assert all(abs(r[f"g{t}"] - mixtures[r["doc_id"]][t]) < 1e-9 for r in found.mixtures.collect() for t in range(2))
