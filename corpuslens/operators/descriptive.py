@@ -6,9 +6,16 @@ counters) is the pair (doc_id, position within the document).
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ngrams, word_punct_tokens, ws_tokens
 from ..session import join_scalars
@@ -93,18 +100,77 @@ def _ranked(df: DataFrame, order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+#: Tokens that are counted at a time in a task.
+GRAM_CHUNK = 4_000_000
+
+
+def _chunk_grams(batches: list[pa.RecordBatch], n: int) -> pa.RecordBatch | None:
+    """(ngram, cnt, doc_id, pos) of the documents of some batches: tokens as
+    numbers, equal n-grams grouped by number, each spelled out once."""
+    docs = pa.Table.from_batches(batches).combine_chunks()
+    docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")], null_placement="at_start")).combine_chunks()
+    lists, ids = docs["_t"].combine_chunks(), docs["doc_id"].combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    if not (size >= n).any():
+        return None
+    runs = pc.run_end_encode(ids)  # rows of one id are one document
+    doc = np.searchsorted(runs.run_ends.to_numpy(), np.arange(len(size)), side="right")
+    words = lists.flatten().dictionary_encode(null_encoding="encode")
+    start = np.cumsum(size) - size
+    pos = np.arange(size.sum()) - np.repeat(start, size)
+    at = np.flatnonzero(pos <= np.repeat(size, size) - n)
+    word = words.indices.to_numpy().astype(np.int64)
+    gram, base = word[at], len(words.dictionary)
+    for k in range(1, n):
+        if k > 1:
+            gram = np.unique(gram, return_inverse=True)[1]
+        gram = gram * base + word[at + k]
+    bits = len(gram).bit_length()
+    if int(gram.max()) >> (62 - bits):
+        gram = np.unique(gram, return_inverse=True)[1]
+    both = np.sort(gram << bits | np.arange(len(gram)))  # one sort of (n-gram, place)
+    gram, at = both >> bits, at[both & ((1 << bits) - 1)]
+    first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    seen = np.minimum.reduceat((np.repeat(doc, size)[at] << 32) + pos[at], first)
+    parts = [words.dictionary.take(pa.array(word[at[first] + k])) for k in range(n)]
+    text = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", parts[0].type), null_handling="skip")
+    count = np.diff(np.append(first, len(gram)))
+    return pa.RecordBatch.from_arrays([text, pa.array(count), runs.values.take(pa.array(seen >> 32)), pa.array((seen & 0xFFFFFFFF).astype(np.int32))],
+                                      names=["ngram", "cnt", "doc_id", "pos"])
+
+
+def _gram_rows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens = [], 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                tokens += len(b["_t"].values)
+            if held and (b is None or tokens >= GRAM_CHUNK):
+                out = _chunk_grams(held, n)
+                held, tokens = [], 0
+                for k in range(0, 0 if out is None else len(out), 1 << 16):
+                    yield out.slice(k, 1 << 16)
+    return rows
+
+
 def ngram_counts(docs: DataFrame, n: int = 2, *, text_col: str = "text", id_col: str = "doc_id",
                  tokens=None) -> DataFrame:
     """(ngram, cnt, first_doc, first_pos); n-grams never cross documents.
 
     Tokens default to lower-cased word/punctuation tokens; pass ``tokens`` (a
-    Column of string arrays) to use another tokeniser.
+    Column of string arrays) to use another tokeniser. A task counts the n-grams
+    of some millions of tokens by number before they are grouped as texts.
     """
     tok = tokens if tokens is not None else word_punct_tokens(F.col(text_col))
     t = docs.select(F.col(id_col).alias("doc_id"), tok.alias("_t"))
-    g = t.select("doc_id", F.posexplode(ngrams(F.col("_t"), n)).alias("pos", "ngram"))
+    kind = t.schema["doc_id"].dataType
+    if isinstance(kind, (T.IntegralType, T.DateType)) or kind == T.StringType():
+        g = t.mapInArrow(_gram_rows(n), f"ngram string, cnt long, doc_id {kind.simpleString()}, pos int")
+    else:  # other ids are ordered by Spark
+        g = t.select("doc_id", F.posexplode(ngrams(F.col("_t"), n)).alias("pos", "ngram")).withColumn("cnt", F.lit(1).cast("long"))
     return (g.groupBy("ngram")
-            .agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "pos")).alias("_f"))
+            .agg(F.sum("cnt").alias("cnt"), F.min(F.struct("doc_id", "pos")).alias("_f"))
             .select("ngram", "cnt", F.col("_f.doc_id").alias("first_doc"),
                     F.col("_f.pos").alias("first_pos")))
 

@@ -155,3 +155,21 @@ def test_infinite_share_brute_force(spark):
     want = np.mean([not set(p) <= set(q) for p in sides[0] for q in sides[1]])
     assert {min(len(p), 4) for p in sides[0]} >= {1, 2, 3}
     assert abs(S._kl_inf_share(*frames, n1, n2).first()[0] - want) < 1e-12
+
+
+def test_ngrams_are_counted_before_they_are_grouped_as_texts(spark):
+    """Any n, repeated and null ids, null tokens: one row an n-gram of the chunk, as exploded rows give."""
+    rows = [(3, ["a", "b", "a", "b", None, "c"]), (1, ["b", "a", "b"]), (1, ["x", "a", "b"]), (None, ["a", "b c"]), (2, []), (4, None), (5, ["a b", "c"]), (1, ["a", "b"])]
+    for kind in ("int", "string", "double"):
+        docs = spark.createDataFrame([(None if i is None else {"int": int, "string": str, "double": float}[kind](i), t) for i, t in rows], f"doc_id {kind}, t array<string>").coalesce(1)
+        for n in (1, 2, 3):
+            want = {}
+            for i, t in rows:
+                for p in range(len(t or []) - n + 1):
+                    g = t[p] if n == 1 else " ".join(x for x in t[p:p + n] if x is not None)
+                    c, first = want.get(g, (0, ((True, 9), 9)))
+                    want[g] = c + 1, min(first, ((i is not None, i or 0), p))
+            got = D.ngram_counts(docs, n, tokens=F.col("t"))
+            assert {r["ngram"]: (r["cnt"], r["first_doc"] is not None, float(r["first_doc"] or 0), r["first_pos"]) for r in got.collect()} == {g: (c, f[0][0], f[0][1], f[1]) for g, (c, f) in want.items()}
+    plan = D.ngram_counts(docs.select(F.col("doc_id").cast("int").alias("doc_id"), "t"), 2, tokens=F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
