@@ -7,6 +7,8 @@ every regex engine reads them alike.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,10 @@ RULES = (
     (r"(?i) (wan)(na) ", r" \1 \2 "),
 )
 
+#: Runs of rules that change nothing where a text is missing: first: (end, the text as a literal or pattern).
+NEEDED = {0: (2, '"'), 2: (3, "..."), 9: (10, "--"), 12: (13, '"'), 13: (17, "'"),
+          17: (27, re.compile(r"(?i) (?:cannot|d'ye|gimme|gonna|gotta|lemme|more'n|'tis|'twas|wanna) "))}
+
 
 def _java(replacement: str) -> str:
     out = replacement.replace("$", r"\$")
@@ -49,11 +55,27 @@ def _java(replacement: str) -> str:
     return out
 
 
-def treebank_tokens(sentence: Column) -> Column:
-    """Tokens of one sentence."""
-    text = sentence
-    for pattern, replacement in RULES:
+def _rewritten(text: Column, first: int, end: int) -> Column:
+    for pattern, replacement in RULES[first:end]:
         text = F.regexp_replace(text, pattern, _java(replacement))
+    return text
+
+
+def _run(text: Column, first: int, end: int, need: str | re.Pattern) -> Column:
+    """Rules first to end of a text that holds what they need; another text as it is."""
+    def one(t: Column) -> Column:
+        holds = F.contains(t, F.lit(need)) if isinstance(need, str) else t.rlike(need.pattern)
+        return F.when(holds, _rewritten(t, first, end)).otherwise(t)
+    return F.transform(F.array(text), one)[0]  # the text is named once, so it is computed once
+
+
+def treebank_tokens(sentence: Column) -> Column:
+    """Tokens of one sentence; runs of rules are skipped where they would change nothing."""
+    text, k = sentence, 0
+    while k < len(RULES):
+        end, need = NEEDED.get(k, (k + 1, None))
+        text = _rewritten(text, k, end) if need is None else _run(text, k, end, need)
+        k = end
     return F.filter(F.split(text, r"\s+"), lambda t: t != F.lit(""))
 
 

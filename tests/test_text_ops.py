@@ -158,3 +158,27 @@ def test_perplexities_count_in_place(spark):
     # p(a|<s>), p(b|a), p(a|b), p(b|a) with add-one over the five symbols <s>, a, b, c, d
     want = (2 / 8 * 3 / 7 * 2 / 8 * 3 / 7) ** -0.25
     assert abs({r["doc_id"]: r["ppl"] for r in scored[0].collect()}[1] - want) < 1e-9
+
+
+def test_sentences_are_cut_where_the_texts_lie(spark, monkeypatch):
+    """A short list of abbreviations goes to the texts, which are neither joined nor shuffled; a long one gives the same."""
+    texts = ["Dr. Smith met Mr. Jones. He left.", "See fig. 3 and (fig. 4). Done", "tab\tfig. x\nfig.\u0085 y", "etc.. fig. end.\n", None, "fig. one"]
+    docs = spark.createDataFrame(list(zip([1, 2, 2, None, 5, None], texts)), "doc_id int, text string")
+    known = spark.createDataFrame([("dr",), ("mr",), ("fig",), (None,)], "word string")
+    few = SE.with_sentences(docs, known)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(SE, "FEW", 1)
+    many = SE.with_sentences(docs, known)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert {r["text"]: r["sentences"] for r in few.collect()}[texts[0]] == ["Dr. Smith met Mr. Jones.", "He left."]
+
+
+def test_skipped_treebank_rules_would_change_nothing(spark):
+    from corpuslens.functions import treebank as TB
+    rng = random.Random(4)
+    parts = ["cannot", "Cannot", "CANNOT", "d'ye", "gimme", "gonna", "wanna", "lemme", "gotta", "more'n", "'tis", "'twas", "don't", "it's", "we'll", "a...b", "--", '"', "''", "'", ".", "?", ",", "x:y", "(", "]", "word", "é", "\n", "3.5"]
+    rows = [("".join(rng.choice(parts) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(0, 8))),) for _ in range(300)] + [(None,)]
+    df = spark.createDataFrame(rows, "t string")
+    plain = F.filter(F.split(TB._rewritten(F.col("t"), 0, len(TB.RULES)), r"\s+"), lambda t: t != F.lit(""))
+    assert all(r["a"] == r["b"] for r in df.select(plain.alias("a"), treebank_tokens(F.col("t")).alias("b")).collect())
