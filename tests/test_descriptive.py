@@ -116,6 +116,17 @@ def test_jaccard_blocks_are_few(spark):
     assert S._block_rows(sets.limit(10), S.BLOCK_ROWS) >= 10 and S._block_rows(sets.filter("false"), 7) >= 1
 
 
+def test_jaccard_blocks_are_shuffled_once(spark):
+    """A block is one row that every tile reads where it lies; it is not copied for each block of the other side."""
+    texts = [" ".join(f"w{(i * j) % 23}" for j in range(i % 6)) for i in range(40)]
+    found = S.jaccard_mean(_docs(spark, texts[:25]), _docs(spark, texts[15:]), left_rows=4, right_rows=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "CoGroup" not in plan and plan.count("Exchange rangepartitioning(block") == 2
+    sets = [set(t.split()) for t in texts]
+    pairs = [len(p & q) / len(p | q) for p in sets[:25] for q in sets[15:] if p | q]
+    assert abs(found.first().jaccard - np.mean(pairs)) < 1e-12
+
+
 def test_jaccard_frequent_and_rare_words(spark, monkeypatch):
     """Words counted by matrices, by the index, and across several slices give the brute-force mean."""
     rng = np.random.default_rng(3)
