@@ -1,5 +1,6 @@
 """Treebank tokens, learnt sentence cuts, lemmas, quoted CSV, repeated appends, Kneser-Ney."""
 
+import collections
 import itertools
 import math
 import random
@@ -160,6 +161,38 @@ def test_perplexities_count_in_place(spark):
     assert abs({r["doc_id"]: r["ppl"] for r in scored[0].collect()}[1] - want) < 1e-9
 
 
+def test_bigram_scores_by_blocks(spark, monkeypatch):
+    """Blocks and buckets of any number give the plain counts' perplexities; no bigram is joined or shuffled by itself."""
+    from corpuslens.operators import ngram_blocks as NB
+    from corpuslens.operators import quality as Q
+    monkeypatch.setattr(NB, "LEAST_TOKENS", 5)
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice("a b c dd ee F <s>".split()) for _ in range(rng.randint(0, 9)))
+    real, syn = [(i // 2, text()) for i in range(30)] + [(None, "a a"), (99, None)], [(i, text() + " z") for i in range(12)] + [(3, "")]
+    frames = [spark.createDataFrame(x, "doc_id int, text string").repartition(5) for x in (syn, real)]
+    tokens = lambda t: ["<s>", *(t or "").lower().split()]
+    pairs = collections.Counter(p for _, t in real for p in zip(tokens(t), tokens(t)[1:]))
+    heads, size = collections.Counter(), len({w for _, w in pairs}) + 1
+    for (v, _), n in pairs.items():
+        heads[v] += n
+
+    def mean(rows):
+        sums = collections.defaultdict(list)
+        for i, t in rows:
+            sums[i] += [math.log((pairs[v, w] + 1) / (heads[v] + size)) for v, w in zip(tokens(t), tokens(t)[1:])]
+        each = [math.exp(-sum(x) / len(x)) for x in sums.values() if x]
+        return len(each), sum(each) / len(each)
+
+    found = Q.corpus_perplexity(*frames)
+    got = {r["corpus"]: (r["n_docs"], r["mean_perplexity"]) for r in found.collect()}
+    for name, rows in (("synthetic", syn), ("real", real)):
+        assert got[name][0] == mean(rows)[0] and abs(got[name][1] - mean(rows)[1]) < 1e-9
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(prev" not in plan and "hashpartitioning(block" in plan
+    empty = Q.corpus_perplexity(frames[0], frames[1].filter("false")).collect()
+    assert {r["corpus"]: r["n_docs"] for r in empty} == {"synthetic": 12, "real": 0}
+
+
 def test_sentences_are_cut_where_the_texts_lie(spark, monkeypatch):
     """A short list of abbreviations goes to the texts, which are neither joined nor shuffled; a long one gives the same."""
     texts = ["Dr. Smith met Mr. Jones. He left.", "See fig. 3 and (fig. 4). Done", "tab\tfig. x\nfig.\u0085 y", "etc.. fig. end.\n", None, "fig. one"]
