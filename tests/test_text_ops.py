@@ -161,6 +161,33 @@ def test_perplexities_count_in_place(spark):
     assert abs({r["doc_id"]: r["ppl"] for r in scored[0].collect()}[1] - want) < 1e-9
 
 
+def test_kneser_ney_by_blocks(spark, monkeypatch):
+    """Many blocks and buckets give the plain counts' perplexities; no trigram is joined or shuffled by itself."""
+    from corpuslens.operators import ngram_blocks as NB
+    monkeypatch.setattr(NB, "LEAST_TOKENS", 5)
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice("a b c dd".split()) for _ in range(rng.randint(1, 9)))
+    real, syn = [(i, text()) for i in range(25)] + [(None, "a dd"), (99, None)], [(i // 2, text() + " z a") for i in range(9)] + [(9, "")]
+    frames = [spark.createDataFrame(x, "doc_id int, text string").repartition(4) for x in (syn, real)]
+    slow, _ = slow_kn([t for _, t in real if t])
+
+    def mean(rows):
+        sums = collections.defaultdict(list)
+        for i, t in rows:
+            w = ["<s>", "<s>", *(t or "").split()]
+            sums[i] += [math.log(slow(*g)) for g in zip(w, w[1:], w[2:])]
+        each = [math.exp(-sum(x) / len(x)) for x in sums.values() if x]
+        return len(each), sum(each) / len(each)
+
+    got = {r["corpus"]: (r["n_docs"], r["mean_perplexity"]) for r in KN.compare_perplexity(*frames).collect()}
+    for name, rows in (("synthetic", syn), ("real", real)):
+        assert got[name][0] == mean(rows)[0] and abs(got[name][1] - mean(rows)[1]) < 1e-9
+    plan = KN.kneser_ney_perplexity(frames[0], KN.fit_kneser_ney(frames[1]))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(block" in plan
+    empty = KN.compare_perplexity(frames[0], frames[1].filter("false")).collect()
+    assert {r["corpus"]: (r["n_docs"], r["mean_perplexity"]) for r in empty} == {"synthetic": (5, 1.0), "real": (0, None)}
+
+
 def test_bigram_scores_by_blocks(spark, monkeypatch):
     """Blocks and buckets of any number give the plain counts' perplexities; no bigram is joined or shuffled by itself."""
     from corpuslens.operators import ngram_blocks as NB
