@@ -183,3 +183,26 @@ def test_neighbour_keys(spark):
     assert rows("neighbours") == rows("longest") and len(rows("longest")) >= 7
     keys = search.neighbours(search.word_runs(F.lit("Anna Bo-Lee")))
     assert docs.limit(1).select(keys.alias("k")).first()["k"] == ["anna\x01bo", "bo\x01lee"]
+
+
+def test_many_entities_meet_few_tokens(spark, monkeypatch):
+    """More entities than are sent at once: only tokens that may be a key are shuffled, and
+    pairs are numbers; repeated words meet the texts that hold as many of them, or 8, in a row."""
+    import random
+
+    from corpuslens.operators import search
+    rng = random.Random(9)
+    word = lambda: rng.choice(["die", "Die", "\u017fie", "die,", "la", "LA", "o'la", "\u212aa", "ka", "stra\u00dfe", "\u00b5", "i\u0307", "-"])
+    texts = [" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["die " * 20, "Die Die Die", "\x01die\x01 die", None, "a.b. c"]
+    names = ["Die " * k + "Die" for k in range(12)] + ["la die", "die, la", "Ka", "o'la", "\u00b5", "STRA\u00dfE", "-", " ", "", ". c", "a.b", ", die", "die la die la", "sie", '"la"', "la\n", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").unionByName(spark.createDataFrame([(0, "la die"), (None, "die die")], "doc_id int, text string"))
+    ents = spark.createDataFrame([*enumerate(names), (None, "die")], "entity_id int, entity string")
+    rows = lambda key: sorted(map(str, search.entity_mentions(docs, ents, key=key).collect()))
+    want = rows("longest")
+    assert rows("neighbours") == want and len(want) > 100
+    monkeypatch.setattr(search, "MOST_SENT", 5)
+    few = search.entity_mentions(docs.filter("doc_id > 0"), ents, key="neighbours")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "_slot" in plan and all("_look" not in x and "_pat" not in x for x in plan.splitlines() if "HashAggregate" in x)
+    unique = lambda key: sorted(map(str, search.entity_mentions(docs.filter("doc_id > 0"), ents, key=key).collect()))
+    assert sorted(map(str, few.collect())) == unique("longest") == [r for r in want if "doc_id=0," not in r and "doc_id=None" not in r]
